@@ -1,0 +1 @@
+"""Intentionally empty: every input of this engine is a finite set of files, so there is no stream operator to offer."""
