@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swathline.functions import spectral
-from swathline.plans.ordered import with_running_sum
 
 
 def average_frame(px_long: DataFrame, keep: list[str], value: str, integer: bool = True) -> DataFrame:
@@ -35,8 +34,8 @@ def percentile_levels(
 ) -> DataFrame:
     """Exact order statistics ``black`` = sorted[int(low*n)] and ``white`` = sorted[int(high*n)] per key.
 
-    No sort of the pixels: a histogram (at most ``bins`` rows per key) finds the bin of each rank, then only the
-    values of those bins are counted. ``widen_when_equal`` takes minimum and maximum if both ranks are the same.
+    No sort of the pixels: a histogram (at most ``bins`` rows per key) finds the bin of each rank, a second one the
+    sub-bin, and only the values in there are put in order. ``widen_when_equal`` takes minimum and maximum if both ranks are the same.
     """
     values = values.where(F.col(value).isNotNull()).select(*keys, value)
     stats = values.groupBy(*keys).agg(
@@ -55,15 +54,25 @@ def percentile_levels(
         lo_rank, hi_rank = F.when(same, 0).otherwise(lo_rank), F.when(same, F.col("_n") - 1).otherwise(hi_rank)
     wanted = hist.select(*keys, "_bin", "_before", "_c", F.posexplode(F.array(lo_rank, hi_rank)).alias("_which", "_rank"))
     wanted = wanted.where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_c")))
+    wanted = wanted.withColumn("_rank", F.col("_rank") - F.col("_before")).drop("_before", "_c")
     bins_hit = wanted.select(*keys, "_bin").distinct()
-    counts = binned.join(bins_hit, [*keys, "_bin"], "left_semi").groupBy(*keys, "_bin", value).agg(
+    inner = binned.withColumn("_sub", F.when(span > 0, F.floor(((F.col(value) - F.col("_lo")) / span * bins % 1) * bins)).otherwise(0))
+    inner = inner.withColumn("_sub", F.when(F.col(value) == F.col("_hi"), F.lit(bins)).otherwise(F.col("_sub")))
+    counts = inner.join(bins_hit, [*keys, "_bin"], "left_semi").groupBy(*keys, "_bin", "_sub", value).agg(
         F.count(F.lit(1)).alias("_c")
     )
-    counts = with_running_sum(counts, [*keys, "_bin"], value, F.col("_c"), "_end")
-    counts = counts.withColumnRenamed("_c", "_vc")
-    picked = counts.join(wanted, [*keys, "_bin"]).where(
-        (F.col("_before") + F.col("_end") > F.col("_rank"))
-        & (F.col("_before") + F.col("_end") - F.col("_vc") <= F.col("_rank"))
+    # values of a bin are ranked per sub-bin; the sums of earlier sub-bins (at most ``bins`` rows) come by join
+    subs = counts.groupBy(*keys, "_bin", "_sub").agg(F.sum("_c").alias("_c"))
+    before = Window.partitionBy(*keys, "_bin").orderBy("_sub").rowsBetween(Window.unboundedPreceding, 0)
+    subs = subs.withColumn("_end", F.sum("_c").over(before)).join(wanted, [*keys, "_bin"])
+    subs = subs.where((F.col("_end") > F.col("_rank")) & (F.col("_end") - F.col("_c") <= F.col("_rank"))).select(
+        *keys, "_bin", "_sub", "_which", (F.col("_rank") - F.col("_end") + F.col("_c")).alias("_rank")
+    )
+    ranked = Window.partitionBy(*keys, "_bin", "_sub").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    hits = counts.join(subs.select(*keys, "_bin", "_sub").distinct(), [*keys, "_bin", "_sub"], "left_semi")
+    hits = hits.withColumn("_end", F.sum("_c").over(ranked))
+    picked = hits.join(subs, [*keys, "_bin", "_sub"]).where(
+        (F.col("_end") > F.col("_rank")) & (F.col("_end") - F.col("_c") <= F.col("_rank"))
     )
     return picked.groupBy(*keys).agg(
         F.max(F.when(F.col("_which") == 0, F.col(value))).alias("black"),

@@ -1,9 +1,13 @@
 """Ordered operations (previous row, running sum, as-of lookup) that never put a whole key into one task.
 
 A plain ``Window.partitionBy(flight).orderBy(t)`` sends every row of a flight to one task. Here a key is cut
-into *slots*: ranges of the order column sized by the number of rows in them. Windows run per slot, one summary
-row per slot carries state across slot borders, and the summary is joined back on the slot key, which is also the
-window key, so the big side is not shuffled again.
+into *slots* of fixed width on the order column (some minutes of time, some thousand lines). Windows run per slot,
+one summary row per slot carries state across slot borders, and the summary is joined back on the slot key, which is
+also the window key, so the big side is not shuffled again. A slot is a function of the row alone: no statistics pass,
+and a recomputed task gets the same slots.
+
+Sensors bound the rows per slot (a rate in Hz times the width), and copies of one order value are reduced before the
+window where an operator allows copies.
 """
 
 from __future__ import annotations
@@ -13,31 +17,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_SLOT = 8192
-SLOT = ["_s1", "_s2"]
-
-
-def _split(df: DataFrame, keys: list[str], order: str, rows: int, name: str) -> DataFrame:
-    """Add ``name``: equal-width range number of ``order`` inside each key, about count/rows ranges per key.
-
-    Bounds come from exact min/max/count, hence a recomputed task gets the same slots.
-    """
-    stats = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
-        F.min(order).cast("double").alias("_lo"),
-        F.max(order).cast("double").alias("_hi"),
-        F.ceil(F.count(F.lit(1)) / rows).cast("double").alias("_n"),
-    )
-    same_key = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    joined = df.join(stats, same_key).drop(*[f"_k_{k}" for k in keys])
-    spread = F.col("_hi") - F.col("_lo")
-    number = F.when(spread > 0, F.floor((F.col(order).cast("double") - F.col("_lo")) / spread * F.col("_n")))
-    slot = F.least(F.coalesce(number, F.lit(0)), F.col("_n") - 1).cast("int")
-    return joined.withColumn(name, slot).drop("_lo", "_hi", "_n")
+SLOT_SECONDS = 600.0
+SLOT_LINES = 4096
+SLOT = ["_s"]
 
 
-def with_slots(df: DataFrame, keys: list[str], order: str, rows: int = ROWS_PER_SLOT) -> DataFrame:
-    """Two-level slots: the second level re-cuts ranges that stayed full because values clump (outliers, bursts)."""
-    return _split(_split(df, keys, order, rows, "_s1"), [*keys, "_s1"], order, rows, "_s2")
+def with_slots(df: DataFrame, keys: list[str], order: str, width: float) -> DataFrame:
+    return df.withColumn("_s", F.floor(F.col(order) / width))
 
 
 def _slot_window(keys: list[str], *order: Column | str) -> Window:
@@ -45,7 +31,7 @@ def _slot_window(keys: list[str], *order: Column | str) -> Window:
 
 
 def _carry(summary: DataFrame, keys: list[str], forward: bool) -> Window:
-    """Window over the slot table (one row per ~8k input rows), strictly before/after the current slot."""
+    """Window over the slot table (one row per slot), strictly before/after the current slot."""
     order = [F.col(c).asc() if forward else F.col(c).desc() for c in SLOT]
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -58,11 +44,11 @@ def _join_slots(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame
 
 
 def with_previous(
-    df: DataFrame, keys: list[str], order: str, cols: list[str], name: str = "prev", rows: int = ROWS_PER_SLOT,
+    df: DataFrame, keys: list[str], order: str, cols: list[str], name: str = "prev", width: float = SLOT_SECONDS,
     following: bool = False,
 ) -> DataFrame:
     """Add struct ``name`` holding ``cols`` of the previous (or following) row of the same key."""
-    slotted = with_slots(df, keys, order, rows)
+    slotted = with_slots(df, keys, order, width)
     here = F.struct(*cols)
     edge = F.min_by(here, order) if following else F.max_by(here, order)
     summary = slotted.groupBy(*keys, *SLOT).agg(edge.alias("_edge"))
@@ -76,11 +62,11 @@ def with_previous(
 
 
 def with_running_sum(
-    df: DataFrame, keys: list[str], order: str, value: Column, name: str, rows: int = ROWS_PER_SLOT,
+    df: DataFrame, keys: list[str], order: str, value: Column, name: str, width: float = SLOT_SECONDS,
     inclusive: bool = True,
 ) -> DataFrame:
     """Add ``name`` = sum of ``value`` over all rows of the key up to this row (or before it)."""
-    slotted = with_slots(df.withColumn("_v", value), keys, order, rows)
+    slotted = with_slots(df.withColumn("_v", value), keys, order, width)
     summary = slotted.groupBy(*keys, *SLOT).agg(F.sum("_v").alias("_sum"))
     summary = summary.withColumn("_before", F.sum("_sum").over(_carry(summary, keys, True))).drop("_sum")
     frame = _slot_window(keys, order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
@@ -91,9 +77,9 @@ def with_running_sum(
     return out.withColumn(name, total).drop("_v", "_run", "_before", *SLOT)
 
 
-def with_row_index(df: DataFrame, keys: list[str], order: str, name: str, rows: int = ROWS_PER_SLOT) -> DataFrame:
+def with_row_index(df: DataFrame, keys: list[str], order: str, name: str, width: float = SLOT_SECONDS) -> DataFrame:
     """Add ``name`` = 0-based position of the row in the key by ``order`` (order values distinct)."""
-    slotted = with_slots(df, keys, order, rows)
+    slotted = with_slots(df, keys, order, width)
     summary = slotted.groupBy(*keys, *SLOT).agg(F.count(F.lit(1)).alias("_n"))
     summary = summary.withColumn("_before", F.sum("_n").over(_carry(summary, keys, True))).drop("_n")
     local = slotted.withColumn("_rn", F.row_number().over(_slot_window(keys, order)))
@@ -102,7 +88,7 @@ def with_row_index(df: DataFrame, keys: list[str], order: str, name: str, rows:
 
 
 def asof_bracket(
-    poses: DataFrame, queries: DataFrame, keys: list[str], order: str, cols: list[str], rows: int = ROWS_PER_SLOT,
+    poses: DataFrame, queries: DataFrame, keys: list[str], order: str, cols: list[str], width: float = SLOT_SECONDS,
 ) -> DataFrame:
     """For each distinct (key, order) of ``queries``: structs ``lower`` (last pose at or before) and ``upper``
     (first pose at or after), NULL where there is none; both hold ``order`` and ``cols``.
@@ -115,7 +101,7 @@ def asof_bracket(
     both = known.withColumn("_ask", F.lit(False)).unionByName(
         asked.withColumn("_ask", F.lit(True)), allowMissingColumns=True
     )
-    slotted = with_slots(both, keys, order, rows)
+    slotted = with_slots(both, keys, order, width)
     summary = slotted.groupBy(*keys, *SLOT).agg(
         F.max_by("_p", F.when(~F.col("_ask"), F.col(order))).alias("_last"),
         F.min_by("_p", F.when(~F.col("_ask"), F.col(order))).alias("_first"),
