@@ -42,6 +42,8 @@ CTES: dict[str, str] = {
              l_returnflag = 'N' AS ok FROM lineitem""",
     "shifts": """SELECT line, ((line * 37) % 7 - 3) / 2 AS dx FROM (SELECT DISTINCT line FROM px)
              WHERE line < (SELECT max(line) FROM px)""",
+    "lp": """SELECT DISTINCT file_id, line, (line % 7 - 3) / 100 AS r0, (line % 5 - 2) / 100 AS r1, (line % 3 - 1) / 100 AS r2,
+             5 + line * 0.4::DOUBLE AS p0, 25 + line % 4 * 0.1::DOUBLE AS p1, 160::DOUBLE AS p2 FROM px""",
     "clock": """SELECT event_id AS line, event_id * 465 AS clock, event_type = 'error' AS flag, event_id * 1000 AS tow,
              event_id * 465 - event_id % 200 AS pps FROM events""",
     "wl": """SELECT band, 380 + 2110 * band::DOUBLE / (n - 1) AS wl FROM (SELECT DISTINCT band FROM px),

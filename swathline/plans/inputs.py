@@ -188,3 +188,17 @@ def frame_clock(spark: SparkSession, sf: str) -> DataFrame:
         e.alias("line"), (e * 465).alias("clock"), (F.col("event_type") == "error").alias("flag"),
         (e * 1000).alias("tow"), (e * 465 - e % 200).alias("pps"),
     )
+
+
+def line_poses(px: DataFrame) -> DataFrame:
+    """A pose per cube line in terrain coordinates: file_id, line, r_0..2, p_0..2 (height 160 above a plane at 100)."""
+    n = F.col("line")
+    return px.select("file_id", "line").distinct().select(
+        "file_id", "line", ((n % 7 - 3) / 100).alias("r_0"), ((n % 5 - 2) / 100).alias("r_1"), ((n % 3 - 1) / 100).alias("r_2"),
+        (5 + n * 0.4).alias("p_0"), (25 + n % 4 * 0.1).alias("p_1"), F.lit(160.0).alias("p_2"),
+    )
+
+
+def flat_dtm(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid of B7 at a height of 100 everywhere."""
+    return dtm(spark, sf).select("i", "j", F.lit(100.0).alias("z"))
