@@ -72,10 +72,10 @@ def _(spark, sf):
 
 
 @query("P10_patch_band", sql(f"SELECT file_id, y, x, {s6('w', 'w', 5)}, band, {s6('v', 'v', 3)} FROM (SELECT file_id, y, x, band, sum(w) AS w, sum(w * dn) / nullif(sum(w), 0) AS v FROM sp JOIN px USING (file_id, line, sample) GROUP BY 1, 2, 3, 4) WHERE w > 1e-9", **PLANE,
-       sp="""SELECT file_id, line, sample, xi AS x, yi + 6 AS y, wx * wy AS w FROM (SELECT file_id, line, sample, unnest([floor(x + 10), ceil(x + 10)])::BIGINT AS xi,
-           unnest([1 - (x - floor(x)), CASE WHEN floor(x) = ceil(x) THEN 1 ELSE x - floor(x) END]) AS wx, y FROM pl WHERE abs(line - ref_line) <= 4) a,
-           LATERAL (SELECT unnest([floor(y), ceil(y)])::BIGINT AS yi, unnest([1 - (y - floor(y)), CASE WHEN floor(y) = ceil(y) THEN 1 ELSE y - floor(y) END]) AS wy) b
-           WHERE xi >= 0 AND xi < 20 AND abs(yi) <= 6"""))
+       rp="SELECT file_id, line, sample, ref_line, round(x + 10, 9) AS x, round(y, 9) AS y FROM pl WHERE abs(line - ref_line) <= 4",
+       sp="""SELECT file_id, line, sample, x, y + 6 AS y, wx * wy AS w FROM (SELECT file_id, line, sample, floor(x)::BIGINT + a AS x, floor(y)::BIGINT + b AS y,
+           CASE a WHEN 0 THEN 1 - (x - floor(x)) ELSE x - floor(x) END AS wx, CASE b WHEN 0 THEN 1 - (y - floor(y)) ELSE y - floor(y) END AS wy
+           FROM rp, (VALUES (0), (1)) p(a), (VALUES (0), (1)) q(b)) WHERE wx > 0 AND wy > 0 AND x >= 0 AND x < 20 AND abs(y) <= 6"""))
 def _(spark, sf):
     px = inp.pixels(spark, sf)
     lines = inp.line_poses(px)
@@ -127,7 +127,7 @@ def _(spark, sf):
     return geometry(spark, sf).select("line", "sample", r6("x", digits=9), r6("y", digits=9), r6("z"))
 
 
-@query("P7_view_angles", sql("SELECT flight, t, sample, round(degrees(acos(cs)) * 100)::BIGINT AS zenith, round(degrees(CASE WHEN hd < 0 THEN hd + 2 * pi() ELSE hd END) * 10)::BIGINT AS heading, round(height - 100 - sample)::BIGINT AS height FROM v6",
+@query("P7_view_angles", sql("SELECT flight, t, sample, round(degrees(acos(cs)) * 100)::BIGINT AS zenith, round(degrees(CASE WHEN hd < 0 THEN hd + 2 * pi() ELSE hd END) * 10)::BIGINT AS heading, round(height - 100.123::DOUBLE - sample)::BIGINT AS height FROM v6",
        **sv.ecef_poses(),
        v1=f"SELECT ep.*, lat, lon, height, {sv.cols('m', sv.rod(['ep.r0', 'ep.r1', 'ep.r2']))}, {sv.cols('n', sv.ecef('(lat + 1 / 3600)', 'lon', 'height'))}, {sv.cols('u', sv.frame('ned', 'lat', 'lon')[6:])} FROM ep JOIN poses USING (flight, t)",
        v2=f"SELECT flight, t, height, sample, {sv.cols('v', sv.mv(sv.n('m', 9), ['0', '(sample - 9.5::DOUBLE)', F_C]))}, {sv.cols('n', [f'n{k} - p{k}' for k in range(3)])}, u0, u1, u2 FROM (SELECT *, unnest(range(20)) AS sample FROM v1)",
@@ -137,7 +137,7 @@ def _(spark, sf):
        v6="SELECT flight, t, height, sample, cs, atan2(-((f1 * n2 - f2 * n1) * u0 + (f2 * n0 - f0 * n2) * u1 + (f0 * n1 - f1 * n0) * u2), f0 * n0 + f1 * n1 + f2 * n2) AS hd FROM v5"))
 def _(spark, sf):
     poses = poses_to_ecef(inp.poses_raw(spark, sf))
-    ray = op.rays(poses, S, lambda s: op.fov_direction(s, S, FOV), ["flight", "t"]).withColumn("ground", 100 + F.col("sample"))
+    ray = op.rays(poses, S, lambda s: op.fov_direction(s, S, FOV), ["flight", "t"]).withColumn("ground", 100.123 + F.col("sample"))
     return op.view_angles(ray, ["flight", "t", "sample"])
 
 

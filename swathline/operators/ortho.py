@@ -51,22 +51,21 @@ def tile_grid_fit(rois: DataFrame, scale: float, tile: int) -> DataFrame:
         F.min("min_i").alias("i"), F.min("min_j").alias("j"), (F.max("max_i") - F.min("min_i")).alias("h"),
         (F.max("max_j") - F.min("min_j")).alias("w"))).scalar()
     side = tile / scale
-    r = rois.withColumn("_b", box)
-    n_i, n_j = F.ceil(F.col("_b.h") / side), F.ceil(F.col("_b.w") / side)
-    r = r.withColumns({"_ni": n_i, "_nj": n_j})
-    r = r.withColumns({"_di": F.col("_b.h") / F.col("_ni"), "_dj": F.col("_b.w") / F.col("_nj")})
+    r = rois.withColumn("_b", box).withColumns({f"_{k}": F.col(f"_b.{k}") for k in "ijhw"}).drop("_b")
+    r = r.withColumns({"_ni": F.ceil(F.col("_h") / side), "_nj": F.ceil(F.col("_w") / side)})
+    r = r.withColumns({"_di": F.col("_h") / F.col("_ni"), "_dj": F.col("_w") / F.col("_nj")})
     def met(axis: str) -> Column:
-        low = F.floor(F.try_divide(F.col(f"min_{axis}") - F.col(f"_b.{axis}"), F.col(f"_d{axis}"))) - 1
-        high = F.floor(F.try_divide(F.col(f"max_{axis}") - F.col(f"_b.{axis}"), F.col(f"_d{axis}"))) + 1
-        start = F.col(f"_b.{axis}")
+        low = F.floor(F.try_divide(F.col(f"min_{axis}") - F.col(f"_{axis}"), F.col(f"_d{axis}"))) - 1
+        high = F.floor(F.try_divide(F.col(f"max_{axis}") - F.col(f"_{axis}"), F.col(f"_d{axis}"))) + 1
+        start, step = F.col(f"_{axis}"), F.col(f"_d{axis}")
         return F.filter(
             F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.col(f"_n{axis}") - 1)),
-            lambda k: (F.col(f"max_{axis}") > start + k * F.col(f"_d{axis}")) & (F.col(f"min_{axis}") < start + (k + 1) * F.col(f"_d{axis}")),
+            lambda k: (F.col(f"max_{axis}") > start + k * step) & (F.col(f"min_{axis}") < start + (k + 1) * step),
         )
     tiles = r.withColumn("tile_i", F.explode(met("i"))).withColumn("tile_j", F.explode(met("j")))
     tiles = tiles.select(
         "tile_i", "tile_j",
-        (F.col("_b.i") + F.col("tile_i") * F.col("_di")).alias("i0"), (F.col("_b.j") + F.col("tile_j") * F.col("_dj")).alias("j0"),
+        (F.col("_i") + F.col("tile_i") * F.col("_di")).alias("i0"), (F.col("_j") + F.col("tile_j") * F.col("_dj")).alias("j0"),
         F.col("_di"), F.col("_dj"),
     ).distinct()
     return tiles.select(

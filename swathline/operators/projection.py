@@ -43,7 +43,7 @@ def rays(lines: DataFrame, n_samples: int, direction, keep: list[str]) -> DataFr
     """One ray per line and sample: ``keep``, sample, o_0..2 (origin), d_0..2. Samples are generated per line row,
     so lines and samples meet without a join. ``direction`` maps the sample column to a vector."""
     rotated = vec.with_rodrigues(lines.select(*keep, *POSE), "m", vec.ref("r"))
-    wide = rotated.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).cast("bigint"))
+    wide = rotated.withColumn("sample", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_samples - 1).cast("bigint"))))
     d = vec.matvec(vec.ref("m", 9), direction(F.col("sample")))
     wide = vec.keep(wide, o=vec.ref("p"), d=d)
     return wide.select(*keep, "sample", *[f"{n}_{k}" for n in "od" for k in range(3)])
@@ -64,7 +64,7 @@ def project_to_plane(
     back = vec.transpose(vec.ref("n", 9))
     pairs = vec.keep(pairs, c=vec.matmul(back, vec.ref("m", 9)), t=vec.matvec(back, vec.sub(vec.ref("p"), vec.ref("ref_p"))))
     pairs = pairs.select(key, "line", *[f"c_{k}" for k in range(9)], *[f"t_{k}" for k in range(3)])
-    wide = pairs.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).cast("bigint"))
+    wide = pairs.withColumn("sample", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_samples - 1).cast("bigint"))))
     d = vec.matvec(vec.ref("c", 9), [F.col("sample") - mid, F.lit(0.0), F.lit(f)])
     wide = vec.keep(wide, d=d)
     s = F.try_divide(ground - F.col("t_2"), F.col("d_2"))
@@ -93,11 +93,12 @@ def patch_band(
     plane = project_to_plane(near, reference, key, n_samples, fov_deg, ground)
     x, y = F.col("x") + n_samples / 2, F.col("y")
     def taps(c: Column) -> Column:
-        """Cells floor and ceil; at an integer both are one cell, which then gets the weight 1 of either visit."""
-        lo, hi = F.floor(c), F.ceil(c)
+        """Cells floor and ceil with bilinear weights; an integer position (to 1e-9) is one cell of weight 1."""
+        c = F.round(c, 9)
+        lo = F.floor(c)
         first = F.struct(lo.alias("c"), (1 - (c - lo)).alias("w"))
-        second = F.struct(hi.alias("c"), (c - lo).alias("w"))
-        return F.when(lo == hi, F.array(first, first)).otherwise(F.array(first, second))
+        second = F.struct((lo + 1).alias("c"), (c - lo).alias("w"))
+        return F.when(lo == c, F.array(first)).otherwise(F.array(first, second))
     cells = plane.where("x is not null").select(
         key, "line", "sample", F.explode(taps(x)).alias("_x"), y.alias("_yc")
     ).select(key, "line", "sample", "_x", F.explode(taps(F.col("_yc"))).alias("_y"))
@@ -249,8 +250,9 @@ def project_to_terrain(
     parts = parts.withColumn("_b", F.floor(F.col(line) / block)).select(
         *group, *keys, *[f"{n}_{k}" for n in "od" for k in range(3)], "_s0", "_s1"
     )
-    needed = parts.select(*group).distinct()
-    ground = terrain_tiles(dtm, tile).join(needed, ["ti", "tj"])
+    needed = parts.select(F.col("ti").alias("gi"), F.col("tj").alias("gj"), F.col("_b").alias("gb")).distinct()
+    ground = terrain_tiles(dtm, tile).join(needed, (F.col("ti") == F.col("gi")) & (F.col("tj") == F.col("gj")))
+    ground = ground.select("gi", "gj", "gb", "i", "j", "z")
     names = [*keys, "s", "pi", "pj", "z"]
 
     def solve(key: tuple, r, g) -> Iterator:
@@ -269,7 +271,7 @@ def project_to_terrain(
         return out[~np.isnan(s)][names]
 
     key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ray_table.select(*keys).schema.fields)
-    hits = parts.groupBy(*group).cogroup(ground.groupBy(*group)).applyInPandas(
+    hits = parts.groupBy(*group).cogroup(ground.groupBy("gi", "gj", "gb")).applyInPandas(
         solve, f"{key_types}, s double, pi double, pj double, z double"
     )
     first = hits.groupBy(*keys).agg(F.min_by(F.struct("pi", "pj", "z"), "s").alias("_h"))
