@@ -124,14 +124,14 @@ def accumulate_shifts(shifts: DataFrame) -> DataFrame:
 
     ``shifts`` holds dx from line to line + 1 for lines 0..L-2; line 0 starts at -floor(min(0, running sum)).
     """
-    run = with_running_sum(shifts, ["seq"], "line", -F.col("dx"), "_run", SLOT_LINES)
-    run = run.select("seq", (F.col("line") + 1).alias("line"), "_run")
+    run = with_running_sum(shifts, ["seq"], "line", -F.col("dx"), "total", SLOT_LINES)
+    run = run.select("seq", (F.col("line") + 1).alias("line"), "total")
     ends = run.groupBy("seq").agg(
-        F.floor(F.least(F.lit(0.0), F.min("_run"))).alias("min_delta"), F.ceil(F.greatest(F.lit(0.0), F.max("_run"))).alias("max_delta")
+        F.floor(F.least(F.lit(0.0), F.min("total"))).alias("min_delta"), F.ceil(F.greatest(F.lit(0.0), F.max("total"))).alias("max_delta")
     )
-    first = ends.select("seq", F.lit(0).cast("bigint").alias("line"), F.lit(0.0).alias("_run"))
+    first = ends.select("seq", F.lit(0).cast("bigint").alias("line"), F.lit(0.0).alias("total"))
     return run.unionByName(first).join(ends, "seq").select(
-        "seq", "line", (F.col("_run") - F.col("min_delta")).alias("acc"), "min_delta", "max_delta"
+        "seq", "line", (F.col("total") - F.col("min_delta")).alias("acc"), "min_delta", "max_delta"
     )
 
 
@@ -379,6 +379,7 @@ def reorder_lines(costs: DataFrame, lines: DataFrame) -> DataFrame:
     """
     nodes = lines.select("seq", "line", F.col("line").alias("path"), F.lit(0).cast("bigint").alias("pos"), F.lit(1).cast("bigint").alias("size"))
     edges = costs.where("cost is not null and not isnan(cost)").select("seq", F.col("i").alias("u"), (F.col("i") + F.col("c") + 1).alias("v"), "cost")
+    edges, nodes = cut_lineage(edges), cut_lineage(nodes)
     while True:
         ends = nodes.where("pos = 0 or pos = size - 1")
         at = lambda n: ends.select("seq", F.col("line").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("path", "pos", "size")])
@@ -546,13 +547,15 @@ def undistort(
     acc = None
     if mode in ("horizontal", "both"):
         if method == "bayes":
-            found = likely_shift(shift_likelihood(px, array, n_samples, window, penalty, rho))
+            found = cut_lineage(likely_shift(cut_lineage(shift_likelihood(px, array, n_samples, window, penalty, rho))))
             converged = found.where("not converged").limit(1).count() == 0
             relative = smooth_shifts(found.select("seq", "line", "dx"))
         else:
             converged = True
-            relative = subpixel_shift(line_pair_products(px, array, n_samples)).select("seq", "line", "dx")
-        acc = accumulate_shifts(relative)
+            # a few rows per line from here on: keep them, so that no later step goes back to the pixels
+            products = cut_lineage(line_pair_products(px, array, n_samples))
+            relative = subpixel_shift(products).select("seq", "line", "dx")
+        acc = cut_lineage(accumulate_shifts(cut_lineage(relative)))
         if not converged:
             mode = "horizontal"
     order = None
