@@ -148,7 +148,7 @@ def event_shifts(spark, sf):
        nx="SELECT *, lead(dx) OVER (PARTITION BY seq ORDER BY line) AS nxt FROM ev",
        sm="SELECT seq, line, dx FROM nx WHERE line = 0 UNION ALL SELECT n.seq, n.line, CASE WHEN n.nxt IS NOT NULL AND abs(n.dx - (s.dx + n.nxt) / 2) > 4 * greatest(abs(s.dx), abs(n.nxt)) THEN (s.dx + n.nxt) / 2 ELSE n.dx END FROM sm s JOIN nx n ON n.seq = s.seq AND n.line = s.line + 1")[5:])
 def _(spark, sf):
-    return op.smooth_shifts(event_shifts(spark, sf), block=16).select("seq", "line", r6("dx"))
+    return op.smooth_shifts(event_shifts(spark, sf)).select("seq", "line", r6("dx"))
 
 
 COSTS = """SELECT a.line AS i, b.line - a.line - 1 AS c, sum(abs(a.dn - b.dn))::DOUBLE / 20 AS cost FROM px a JOIN px b ON b.line BETWEEN a.line + 1 AND a.line + 6

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,14 +28,24 @@ def local_session(cores: int | str = 8, app: str = "swathline", **conf: str) ->
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a folder of our own only where it is unset (tests)."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if configured is None and current.isDefined():
+        configured = current.get()
+    if configured is None:
+        configured = tempfile.mkdtemp(prefix="swathline-ckpt-")
+        spark.sparkContext.setCheckpointDir(configured)
+    return configured
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the folder the cluster names.
+    """``df`` written as parquet to the shared folder and read back.
 
-    Executors may vanish, so the copy must not live on their disks: the session's
-    ``spark.checkpoint.dir`` is used, and a folder of our own only where none is set (tests).
+    The copy survives lost executors, later steps prune its columns, and, unlike after ``checkpoint()``, the optimizer
+    starts afresh: a checkpointed plan keeps its inferred constraints, which double with every round of a loop.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="swathline-ckpt-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/swathline/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
