@@ -152,11 +152,9 @@ def _(spark, sf):
 @query("L7_reprojection_errors")
 def _(spark, sf):
     """The whole chain: line time, pose on the trajectory, lever arm, distortion."""
-    from swathline.operators.geodesy import local_track
-
-    track = local_track(inp.poses_raw(spark, sf)).select("flight", "t", *[F.col(c).alias(f"p_{k}") for k, c in enumerate("xyz")])
-    turn = inp.poses_raw(spark, sf).select("flight", "t", F.col("roll").alias("r_0"), F.col("pitch").alias("r_1"), F.col("yaw").alias("r_2"))
-    poses = track.join(turn, ["flight", "t"]).withColumnRenamed("flight", "seq")
+    e = inp.poses_raw(spark, sf)
+    poses = vec.keep(e, r=[F.col(c) for c in ("roll", "pitch", "yaw")], p=[F.col("n") % 97 / 2, F.col("n") % 89 / 2, -F.col("height") / 10])
+    poses = poses.select(F.col("flight").alias("seq"), "t", *[f"{n}_{k}" for n in "rp" for k in range(3)])
     out = op.reprojection_errors(inp.landmark_obs(spark, sf), inp.landmarks(spark, sf), lines(spark, sf), poses, seq_mounting(spark, sf), **CAM)
     return out.select("obs_id", "lm_id", r6("res_u", digits=3), r6("res_v", digits=3))
 
@@ -214,7 +212,7 @@ def _(spark, sf):
     return op.dtm_prior(inp.landmark_obs(spark, sf), inp.dtm(spark, sf), GT, 46.0, 6.0).select("obs_id", "lm_id", *rounded("e", digits=3))
 
 
-@query("L12_valid_observations", sql("SELECT obs_id, reason, CASE WHEN reason = 'ok' THEN 2 ELSE 0 END AS equations FROM (SELECT obs_id, CASE WHEN l.lm_id IS NULL THEN 'no landmark' WHEN NOT enabled THEN 'disabled' WHEN NOT is_set THEN 'no position' WHEN t IS NULL THEN 'no time' WHEN t0 IS NULL THEN 'no trajectory' WHEN t < t0 OR t > t1 THEN 'outside trajectory' ELSE 'ok' END AS reason FROM tm LEFT JOIN lms l USING (lm_id) LEFT JOIN (SELECT flight, min(t) AS t0, max(t) AS t1 FROM poses GROUP BY 1) USING (flight))", tm=TIMED))
+@query("L12_valid_observations", sql("SELECT obs_id, reason, CASE WHEN reason = 'ok' THEN 2 ELSE 0 END::BIGINT AS equations FROM (SELECT obs_id, CASE WHEN l.lm_id IS NULL THEN 'no landmark' WHEN NOT enabled THEN 'disabled' WHEN NOT is_set THEN 'no position' WHEN t IS NULL THEN 'no time' WHEN t0 IS NULL THEN 'no trajectory' WHEN t < t0 OR t > t1 THEN 'outside trajectory' ELSE 'ok' END AS reason FROM tm LEFT JOIN lms l USING (lm_id) LEFT JOIN (SELECT flight, min(t) AS t0, max(t) AS t1 FROM poses GROUP BY 1) USING (flight))", tm=TIMED))
 def _(spark, sf):
     poses = inp.poses_raw(spark, sf).withColumnRenamed("flight", "seq")
     return op.valid_observations(inp.landmark_obs(spark, sf), inp.landmarks(spark, sf), lines(spark, sf), poses)

@@ -149,9 +149,9 @@ def reprojection_errors(
 ) -> DataFrame:
     """Residual of every observation at the pose of its line time (manifold blend): obs_id, lm_id, res_u, res_v."""
     timed = trajectory.time_at_line(lines, obs)
-    at = trajectory.pose_at_time(poses, timed, key="seq")
+    at = trajectory.pose_at_time(poses, timed, key="seq", inside_only=True)
     lm = landmarks.select("lm_id", F.col("x").alias("l_0"), F.col("y").alias("l_1"), F.col("z").alias("l_2"))
-    met = timed.join(at, ["seq", "t"]).where("r_0 is not null").join(lm, "lm_id").join(mounting, "seq", "left")
+    met = timed.join(at, ["seq", "t"]).join(lm, "lm_id").join(mounting, "seq", "left")
     met = met.fillna(0.0, [f"m{n}_{k}" for n in "rt" for k in range(3)])
     met = met.withColumns({"u": F.col("x"), "v": F.lit(0.0)})
     return reprojection_residual(met, focal, pp, width, a, b).select("obs_id", "lm_id", "res_u", "res_v")
@@ -255,13 +255,13 @@ def ray_pairs(
 ) -> DataFrame:
     """Ray pairs for boresight alignment: match_id, v1_*, v2_* (sensor rays), r_0..8, t_0..2 (body 1 to body 2).
 
-    Poses are looked up once per line, not per match. Matches inside one image, on lines without a pose, or outside the
-    inliers (if given) drop out. ``matches``: match_id, c1, c2, x1, y1, x2, y2.
+    Poses are looked up once per line, not per match. Matches inside one image, on lines without a (finite) pose, or
+    outside the inliers (if given) drop out. ``matches``: match_id, c1, c2, x1, y1, x2, y2.
     """
     if inliers is not None:
         matches = matches.join(inliers.select("match_id"), "match_id", "left_semi")
-    at = trajectory.pose_at_time(poses, lines, "components", key="seq").where("r_0 is not null")
-    line_pose = lines.join(at, ["seq", "t"]).select("seq", "line", *trajectory.POSE)
+    at = trajectory.pose_at_time(poses, lines, "components", key="seq", inside_only=True)
+    line_pose = lines.join(at.where(" and ".join(f"not isnan({c})" for c in trajectory.POSE)), ["seq", "t"]).select("seq", "line", *trajectory.POSE)
     side = lambda n: line_pose.select(
         F.col("seq").alias(f"b{n}"), F.col("line").alias(f"y{n}"), *[F.col(f"{c}_{k}").alias(f"{c}{n}_{k}") for c in "rp" for k in range(3)])
     image = lambda n: chunks.select(F.col("chunk_id").alias(f"c{n}"), F.col("bil_id").alias(f"b{n}"))
@@ -274,8 +274,6 @@ def ray_pairs(
         v1=projection.fov_direction(F.col("x1"), n_samples, fov_deg, flipped=True),
         v2=projection.fov_direction(F.col("x2"), n_samples, fov_deg, flipped=True),
     )
-    finite = [~F.isnan(c) for c in vec.ref("t")]
-    met = met.where(finite[0] & finite[1] & finite[2])
     return met.select("match_id", *[f"v{n}_{k}" for n in (1, 2) for k in range(3)], *[f"r_{k}" for k in range(9)], *[f"t_{k}" for k in range(3)])
 
 

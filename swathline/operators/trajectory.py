@@ -109,9 +109,16 @@ def blend(found: DataFrame, mode: str = "manifold") -> DataFrame:
     return vec.drop(out, "a", "b", "s", "e", "m", "q", "d", "z").drop("lower", "upper", "w")
 
 
-def pose_at_time(poses: DataFrame, asked: DataFrame, mode: str = "manifold", key: str = "flight") -> DataFrame:
-    """Pose r_*, p_* for each distinct (key, t) asked; NULL outside the trajectory."""
-    return blend(bracket_poses(poses, asked, key), mode)
+def pose_at_time(
+    poses: DataFrame, asked: DataFrame, mode: str = "manifold", key: str = "flight", inside_only: bool = False,
+) -> DataFrame:
+    """Pose r_*, p_* for each distinct (key, t) asked; NULL outside the trajectory, or no row with ``inside_only``.
+
+    Filter with ``inside_only`` rather than on the pose columns: a predicate on them would be pushed down through the
+    rotation steps as one expression that repeats all of them.
+    """
+    found = bracket_poses(poses, asked, key)
+    return blend(found.where("w is not null") if inside_only else found, mode)
 
 
 def scanline_poses(headers: DataFrame, poses: DataFrame, flip_yz: bool = True) -> DataFrame:
