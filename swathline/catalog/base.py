@@ -5,4 +5,4 @@ from swathline.catalog import Catalog
 CATALOG = Catalog()
 query = CATALOG.add
 
-MODULES: list[str] = ["radiometry", "geodesy", "trajectory", "motion", "projection", "ortho", "shifts", "tiepoints"]
+MODULES: list[str] = ["radiometry", "geodesy", "trajectory", "motion", "projection", "ortho", "shifts", "tiepoints", "files"]
