@@ -137,8 +137,7 @@ def _(spark, sf):
        v6="SELECT flight, t, height, sample, cs, atan2(-((f1 * n2 - f2 * n1) * u0 + (f2 * n0 - f0 * n2) * u1 + (f0 * n1 - f1 * n0) * u2), f0 * n0 + f1 * n1 + f2 * n2) AS hd FROM v5"))
 def _(spark, sf):
     poses = poses_to_ecef(inp.poses_raw(spark, sf))
-    ray = op.rays(poses, S, lambda s: op.fov_direction(s, S, FOV), ["flight", "t"]).withColumn("ground", 100.123 + F.col("sample"))
-    return op.view_angles(ray, ["flight", "t", "sample"])
+    return op.view_angles(poses, S, lambda s: op.fov_direction(s, S, FOV), ["flight", "t"], 100.123 + F.col("sample"))
 
 
 FOOT = dict(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from swathline.functions import geo, spectral, vec
 from swathline.functions.vec import Vec
+from swathline.plans.lines import spread
 
 POSE = [f"{n}_{k}" for n in "rp" for k in range(3)]
 
@@ -42,7 +43,7 @@ def pinhole_direction(u: Column, width: float, focal: float, pp: float, a: list[
 def rays(lines: DataFrame, n_samples: int, direction, keep: list[str]) -> DataFrame:
     """One ray per line and sample: ``keep``, sample, o_0..2 (origin), d_0..2. Samples are generated per line row,
     so lines and samples meet without a join. ``direction`` maps the sample column to a vector."""
-    rotated = vec.with_rodrigues(lines.select(*keep, *POSE), "m", vec.ref("r"))
+    rotated = vec.with_rodrigues(spread(lines.select(*keep, *POSE), *keep), "m", vec.ref("r"))
     wide = rotated.withColumn("sample", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_samples - 1).cast("bigint"))))
     d = vec.matvec(vec.ref("m", 9), direction(F.col("sample")))
     wide = vec.keep(wide, o=vec.ref("p"), d=d)
@@ -64,6 +65,7 @@ def project_to_plane(
     back = vec.transpose(vec.ref("n", 9))
     pairs = vec.keep(pairs, c=vec.matmul(back, vec.ref("m", 9)), t=vec.matvec(back, vec.sub(vec.ref("p"), vec.ref("ref_p"))))
     pairs = pairs.select(key, "line", *[f"c_{k}" for k in range(9)], *[f"t_{k}" for k in range(3)])
+    pairs = spread(pairs, key, "line")
     wide = pairs.withColumn("sample", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_samples - 1).cast("bigint"))))
     d = vec.matvec(vec.ref("c", 9), [F.col("sample") - mid, F.lit(0.0), F.lit(f)])
     wide = vec.keep(wide, d=d)
@@ -300,22 +302,29 @@ def coverage_mask(dtm: DataFrame, cells: DataFrame) -> DataFrame:
     return dtm.select("i", "j").join(seen, ["i", "j"], "left").fillna(False, ["covered"])
 
 
-def view_angles(ray_table: DataFrame, keep: list[str], ground: str = "ground") -> DataFrame:
-    """zenith (deg x100), heading (deg x10) and height above ``ground``, rounded; rays in ECEF."""
-    lat, lon, h = geo.ecef_to_geodetic(*vec.ref("o"))
-    df = ray_table.withColumns({"_lat": lat, "_lon": lon, "_h": h})
+def view_angles(lines: DataFrame, n_samples: int, direction, keep: list[str], ground: Column) -> DataFrame:
+    """zenith (deg x100), heading (deg x10) and height above ``ground``, rounded, per line and sample.
+
+    ``lines`` has ECEF poses. Geodetic position, down and north are worked out once per line, before samples are made;
+    ``ground`` may use the sample column.
+    """
+    lat, lon, h = geo.ecef_to_geodetic(*vec.ref("p"))
+    at = lines.select(*keep, *POSE).withColumns({"_lat": lat, "_lon": lon, "_h": h})
     north = geo.geodetic_to_ecef(F.col("_lat") + 1 / 3600, F.col("_lon"), F.col("_h"))
-    df = vec.keep(df, n=vec.sub(north, vec.ref("o")), w=vec.scale(geo.up(F.col("_lat"), F.col("_lon")), -1.0),
-                  v=vec.scale(vec.ref("d"), 1 / vec.norm(vec.ref("d"))))
-    df = vec.keep(df, n=vec.scale(vec.ref("n"), 1 / vec.norm(vec.ref("n"))))
+    at = vec.keep(at, n=vec.sub(north, vec.ref("p")), w=vec.scale(geo.up(F.col("_lat"), F.col("_lon")), -1.0))
+    at = vec.keep(at, n=vec.scale(vec.ref("n"), 1 / vec.norm(vec.ref("n"))))
+    frame = ["_h", *[f"{c}_{k}" for c in "nw" for k in range(3)]]
+    df = rays(at, n_samples, direction, [*keep, *frame])
+    df = vec.keep(df, v=vec.scale(vec.ref("d"), 1 / vec.norm(vec.ref("d"))))
     df = df.withColumn("_cos", vec.dot(vec.ref("v"), vec.ref("w")))
     df = vec.keep(df, f=vec.sub(vec.ref("v"), vec.scale(vec.ref("w"), F.col("_cos"))))
     across = vec.dot(vec.cross(vec.ref("f"), vec.ref("n")), vec.scale(vec.ref("w"), -1.0))
     heading = F.atan2(across, vec.dot(vec.ref("f"), vec.ref("n")))
-    heading = F.when(heading < 0, heading + 2 * math.pi).otherwise(heading)
+    df = df.withColumn("_heading", heading)
+    turned = F.when(F.col("_heading") < 0, F.col("_heading") + 2 * math.pi).otherwise(F.col("_heading"))
     zenith = F.acos(F.least(F.greatest(F.col("_cos"), F.lit(-1.0)), F.lit(1.0)))
     return df.select(
-        *keep, F.round(F.degrees(zenith) * 100).cast("bigint").alias("zenith"),
-        F.round(F.degrees(heading) * 10).cast("bigint").alias("heading"),
-        F.round(F.col("_h") - F.col(ground)).cast("bigint").alias("height"),
+        *keep, "sample", F.round(F.degrees(zenith) * 100).cast("bigint").alias("zenith"),
+        F.round(F.degrees(turned) * 10).cast("bigint").alias("heading"),
+        F.round(F.col("_h") - ground).cast("bigint").alias("height"),
     )

@@ -255,22 +255,22 @@ def ray_pairs(
 ) -> DataFrame:
     """Ray pairs for boresight alignment: match_id, v1_*, v2_* (sensor rays), r_0..8, t_0..2 (body 1 to body 2).
 
-    Poses are looked up once per line, not per match. Matches inside one image, on lines without a (finite) pose, or
-    outside the inliers (if given) drop out. ``matches``: match_id, c1, c2, x1, y1, x2, y2.
+    Poses and their matrices are made once per line, not per match. Matches inside one image, on lines outside the
+    trajectory, or outside the inliers (if given) drop out. ``matches``: match_id, c1, c2, x1, y1, x2, y2.
     """
     if inliers is not None:
         matches = matches.join(inliers.select("match_id"), "match_id", "left_semi")
     at = trajectory.pose_at_time(poses, lines, "components", key="seq", inside_only=True)
-    line_pose = lines.join(at.where(" and ".join(f"not isnan({c})" for c in trajectory.POSE)), ["seq", "t"]).select("seq", "line", *trajectory.POSE)
+    line_pose = vec.with_rodrigues(lines.join(at, ["seq", "t"]), "m", vec.ref("r"))
+    matrix = [f"m_{k}" for k in range(9)] + [f"p_{k}" for k in range(3)]
     side = lambda n: line_pose.select(
-        F.col("seq").alias(f"b{n}"), F.col("line").alias(f"y{n}"), *[F.col(f"{c}_{k}").alias(f"{c}{n}_{k}") for c in "rp" for k in range(3)])
+        F.col("seq").alias(f"b{n}"), F.col("line").alias(f"y{n}"), *[F.col(c).alias(f"{c[0]}{n}{c[1:]}") for c in matrix])
     image = lambda n: chunks.select(F.col("chunk_id").alias(f"c{n}"), F.col("bil_id").alias(f"b{n}"))
     met = matches.join(image(1), "c1").join(image(2), "c2").where("b1 <> b2")
     met = met.join(side(1), ["b1", "y1"]).join(side(2), ["b2", "y2"])
-    met = vec.with_rodrigues(vec.with_rodrigues(met, "m", vec.ref("r1")), "n", vec.ref("r2"))
-    back = vec.transpose(vec.ref("n", 9))
+    back = vec.transpose(vec.ref("m2", 9))
     met = vec.keep(
-        met, r=vec.matmul(back, vec.ref("m", 9)), t=vec.matvec(back, vec.sub(vec.ref("p1"), vec.ref("p2"))),
+        met, r=vec.matmul(back, vec.ref("m1", 9)), t=vec.matvec(back, vec.sub(vec.ref("p1"), vec.ref("p2"))),
         v1=projection.fov_direction(F.col("x1"), n_samples, fov_deg, flipped=True),
         v2=projection.fov_direction(F.col("x2"), n_samples, fov_deg, flipped=True),
     )

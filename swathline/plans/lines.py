@@ -33,6 +33,15 @@ def with_line_neighbours(
     return out.where(F.col("_block") == here).drop("_block")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Line table spread over all shuffle partitions before it grows by the sensor width.
+
+    Scan partitions are sized by the bytes of the narrow line table, a thousand times less than what comes out of it; the
+    explicit number also keeps adaptive execution from merging them again.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def sum_over(values: Column) -> Column:
     """Sum of a numeric array, as double."""
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
