@@ -11,6 +11,7 @@ from swathline.functions import spectral
 from swathline.operators.radiometry import percentile_levels
 from swathline.plans.lines import sum_over, with_line_neighbours
 from swathline.plans.ordered import SLOT_LINES, with_previous, with_row_index
+from swathline.session import cut_lineage
 
 EARTH_RADIUS = 6.3781e6  # fixed value: mean radius used for degree steps
 
@@ -82,11 +83,12 @@ def clean_line_mask(
     """
     velocity = _shifted(track, keys, "line", derivative_taps(radius, std_dev), ["x", "y", "z"])
     speed = F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2 + F.col("dz") ** 2)
-    velocity = velocity.withColumn("speed", speed)
+    velocity = cut_lineage(velocity.withColumn("speed", speed))
     unit = velocity.select(*keys, "line", *[F.coalesce(F.try_divide(f"d{c}", "speed"), F.lit(0.0)).alias(f"u{c}") for c in "xyz"])
     turn = _shifted(unit, keys, "line", [(-1, -1.0), (1, 1.0)], ["ux", "uy", "uz"])
     turn = turn.select(*keys, "line", F.sqrt(F.col("dux") ** 2 + F.col("duy") ** 2 + F.col("duz") ** 2).alias("turn"))
-    rated = velocity.select(*keys, "line", "speed").join(turn, [*keys, "line"])
+    # one narrow row per line, read many times by the medians: keep it instead of recomputing it each time
+    rated = cut_lineage(velocity.select(*keys, "line", "speed").join(turn, [*keys, "line"]))
     ms = percentile_levels(rated, keys, "speed", 0.5, 0.5).select(*keys, F.col("black").alias("_ms"))
     mt = percentile_levels(rated, keys, "turn", 0.5, 0.5).select(*keys, F.col("black").alias("_mt"))
     steady = (F.abs(F.col("speed") - F.col("_ms")) < (1 - speed_thresh) * F.col("_ms")) & (
