@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from swathline.llm import bpe, packing
 from swathline.llm.common import table
 from swathline.llm.ngram_join import near_duplicates
+from swathline.llm.token_counts import section_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +19,26 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op3_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoding at forced boundaries and decoding of every text."""
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
+
+
+def op6_section_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens per line of every document, from whole-document encodings."""
+    return section_token_counts(table(spark, sf_dir, "documents"))
+
+
+def op7_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_bpe_forced_boundaries": op3_bpe_forced_boundaries,
+    "op6_section_token_counts": op6_section_token_counts,
+    "op7_minimum_slack_packing": op7_minimum_slack_packing,
 }
 
 ORACLES: dict[str, str] = {}
