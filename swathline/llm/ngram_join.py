@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 from swathline.llm.common import mix, shingle_sets, slices, stored, text_of
 from swathline.llm.components import components
 
-COMMON = 1 << 16
-"""So many of the most frequent shingles get a place of their own in the global order (a table of 1 MB); all others count
+COMMON = 1 << 18
+"""So many of the most frequent shingles get a place of their own in the global order (a table of 4 MB); all others count
 as rare and are ordered by hash. The order never changes a result, only how many candidates there are."""
 CHUNK = 1 << 22
-MAX_MATCH = 4
+MAX_MATCH = 8
+SLOTS = 1 << 21
+"""Hash slots of document ids that can be broadcast: this bounds the table, whatever the number of ids."""
 COMMON_BIT = 1 << 62
 
 
@@ -91,7 +93,7 @@ def _prefixes(width: int, num: int, den: int, common: np.ndarray, counts: np.nda
                     matches.append(0)
                     prefixes.append(np.zeros(0, np.int64))
                     continue
-                sigs.append(int(mix(np.add.reduce(mix(tokens ^ np.uint64(0xA5A5A5A5)), keepdims=True) + np.uint64(n)).view(np.int64)[0]))
+                sigs.append(_signature(tokens))
                 keys, cost = ranked(tokens)
                 need = -(-num * n // den)
                 base = n - need
@@ -151,15 +153,33 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = [c[-1:] for c in (token, pos, sig, n, l)]
 
 
+def _signature(tokens: np.ndarray) -> int:
+    """Of a whole set, whatever the order; 0 for the empty set."""
+    if not len(tokens):
+        return 0
+    total = np.add.reduce(mix(tokens ^ np.uint64(0xA5A5A5A5)), keepdims=True) + np.uint64(len(tokens))
+    return int(mix(total).view(np.int64)[0])
+
+
 def _sets(width: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            tokens = [t.view(np.int64) for t in shingle_sets(text_of(part), width)]
-            yield pa.RecordBatch.from_arrays([part.column("sig"), pa.array(tokens, pa.list_(pa.int64()))], ["sig", "tokens"])
+            found = [(s, t.view(np.int64)) for s, t in zip(part.column("sig").to_pylist(), shingle_sets(text_of(part), width), strict=True) if _signature(t) == s]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([t for _, t in found], pa.list_(pa.int64()))], ["sig", "tokens"])
 
     return sets
 
 
+def _needed_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """The sets of all nodes in ``pairs``. Only texts whose id falls in a hit slot are shuffled; there are ``SLOTS`` at most."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    sigs = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
+    wanted = stored(nodes.join(sigs, "sig").select(F.col("rep").alias("doc_id"), "sig"))
+    hit = wanted.select(slot.alias("slot")).distinct()
+    near = docs.withColumn("slot", slot).join(F.broadcast(hit), "slot", "left_semi").select("doc_id", "text")
+    return stored(near.join(wanted, "doc_id").select("sig", "text").mapInArrow(_sets(width), "sig long, tokens array<long>"))
+
+
 def _close(num: int, den: int, a: str, b: str):
     """Sizes that allow the similarity at all."""
     n, m = F.col(f"n{a}"), F.col(f"n{b}")
@@ -205,10 +225,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     heads = met.groupBy("sig", "sig1").agg(F.count("*").alias("many"))
     best = stored(heads.groupBy("sig").agg(F.max_by("sig1", F.struct("many", "sig1")).alias("b")).withColumnRenamed("sig", "a"))
 
-    active = shared.select("sig").distinct()
-    wanted = nodes.join(active, "sig").select(F.col("rep").alias("doc_id"), "sig")
-    sets = stored(docs.join(wanted, "doc_id").select("sig", "text").mapInArrow(_sets(width), "sig long, tokens array<long>").dropDuplicates(["sig"]))
-    links = stored(_verified(best, sets, num, den))
+    links = stored(_verified(best, _needed_sets(docs, nodes, best, width), num, den))
     roots = stored(components(links))
 
     # all candidate pairs that are still apart
@@ -234,7 +251,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
         F.count("*").alias("many"), left, F.first(need).alias("need"), F.first("na").alias("na"), F.first("nb").alias("nb")
     )
     pairs = pairs.where("many >= need").where(_enough(num, den, "a", "b", F.col("left"))).toDF("a", "b", "many", "left", "need", "na", "nb")
-    more = _verified(stored(pairs.select("a", "b")), sets, num, den)
+    pairs = stored(pairs.select("a", "b"))
+    more = _verified(pairs, _needed_sets(docs, nodes, pairs, width), num, den)
 
     joined = components(links.union(more))
     named = joined.join(nodes, joined.node == nodes.sig).select("node", "root", "rep")

@@ -10,6 +10,7 @@ from swathline.llm import bpe, packing
 from swathline.llm.common import table
 from swathline.llm.ngram_join import near_duplicates
 from swathline.llm.token_counts import section_token_counts
+from swathline.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,11 +35,17 @@ def op7_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document from its restored text."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_bpe_forced_boundaries": op3_bpe_forced_boundaries,
     "op6_section_token_counts": op6_section_token_counts,
     "op7_minimum_slack_packing": op7_minimum_slack_packing,
+    "op8_toxicity_deobfuscation": op8_toxicity_deobfuscation,
 }
 
 ORACLES: dict[str, str] = {}

@@ -1,7 +1,8 @@
-"""Encoding in tasks: texts are cut where no token can reach across, and equal pieces are encoded once."""
+"""Tokenizer files in tasks: loaded once per Python worker, equal pieces encoded once."""
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable
 from itertools import chain
@@ -9,6 +10,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import tiktoken
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -72,28 +74,36 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
-_SPACE_LIKE = np.zeros(256, bool)
-_SPACE_LIKE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True  # white space, or the first byte of one
+def _byte_level(path: str) -> tuple[tiktoken.Encoding, dict[str, int]]:
+    """The byte-level tokenizer file as ranks: same vocabulary, pattern and special tokens, so the same ids, in less time.
 
+    Such a file's merges make the tokens in the order of their ids, after the single bytes; anything else is refused.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    byte_of = {c: b for b, c in byte_alphabet().items()}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+    for i, merge in enumerate(spec["model"]["merges"]):
+        left, right = merge if isinstance(merge, list) else merge.split(" ")
+        if ranks[bytes(byte_of[c] for c in left + right)] != 256 + i:
+            raise ValueError("the ids of this vocabulary don't follow its merges")
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special), special
 
-def before_words(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Cuts that the byte-level pattern always makes: before a blank that something other than white space follows."""
-    if len(raw) < 2:
-        return offsets
-    blank = np.flatnonzero((raw[:-1] == 0x20) & ~_SPACE_LIKE[raw[1:]])
-    inside = blank[~np.isin(blank + 1, offsets)]  # a blank that ends its text stays with it
-    return np.union1d(inside, offsets)
+
+def byte_alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte in the names of byte-level tokens."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 def encode_bytes(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of every text by the byte-level tokenizer file at ``path``: offsets per text and all ids."""
-    def make() -> Pieces:
-        tokenizer = load_tokenizer(path)
-        return Pieces(lambda pieces: [e.ids for e in tokenizer.encode_batch(pieces, add_special_tokens=False)])
-
-    store = once(f"pieces {path}", make)
-    raw, offsets = buffer_of(texts)
-    cuts = before_words(raw, offsets)
-    pieces = pa.Array.from_buffers(pa.string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(raw.tobytes())])
-    many, ids = store.ids(pieces)
-    return np.concatenate(([0], np.cumsum(many)))[np.searchsorted(cuts, offsets)], ids
+    encoding, special = once(f"ranks {path}", lambda: _byte_level(path))
+    each = []
+    for text in texts.to_pylist():
+        allowed = {s for s in special if s in text}
+        each.append(encoding.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()))
+    ids = np.concatenate(each).astype(np.int32) if each else np.zeros(0, np.int32)
+    return np.concatenate(([0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each))))), ids
