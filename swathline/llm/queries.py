@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from swathline.llm import bpe, packing
+from swathline.llm import bpe, licenses, packing, quality
 from swathline.llm.common import table
 from swathline.llm.ngram_join import near_duplicates
 from swathline.llm.token_counts import section_token_counts
@@ -25,6 +25,11 @@ def op3_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_section_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens per line of every document, from whole-document encodings."""
     return section_token_counts(table(spark, sf_dir, "documents"))
@@ -40,12 +45,22 @@ def op8_toxicity_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of the quality rules for every document."""
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_bpe_forced_boundaries": op3_bpe_forced_boundaries,
+    "op5_license_set_join": op5_license_set_join,
     "op6_section_token_counts": op6_section_token_counts,
     "op7_minimum_slack_packing": op7_minimum_slack_packing,
     "op8_toxicity_deobfuscation": op8_toxicity_deobfuscation,
+    "op9_quality_cascade": op9_quality_cascade,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_license_set_join": licenses.SQL,
+    "op9_quality_cascade": quality.SQL,
+}
