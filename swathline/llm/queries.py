@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from swathline.llm import bpe, licenses, packing, quality
+from swathline.llm import bpe, licenses, packing, quality, warc
 from swathline.llm.common import table
+from swathline.llm.fingerprints import fingerprint_table
 from swathline.llm.ngram_join import near_duplicates
+from swathline.llm.sharding import shard_table
 from swathline.llm.token_counts import section_token_counts
 from swathline.llm.toxicity import toxicity
 
@@ -20,11 +22,21 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding at forced boundaries and decoding of every text."""
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes."""
+    return shard_table(table(spark, sf_dir, "documents"))
+
+
 def op5_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates in every document."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
@@ -50,17 +62,26 @@ def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprint_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_warc_zstd": op2_warc_zstd,
     "op3_bpe_forced_boundaries": op3_bpe_forced_boundaries,
+    "op4_best_fit_shards": op4_best_fit_shards,
     "op5_license_set_join": op5_license_set_join,
     "op6_section_token_counts": op6_section_token_counts,
     "op7_minimum_slack_packing": op7_minimum_slack_packing,
     "op8_toxicity_deobfuscation": op8_toxicity_deobfuscation,
     "op9_quality_cascade": op9_quality_cascade,
+    "op10_minhash_fingerprints": op10_minhash_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_warc_zstd": warc.SQL,
     "op5_license_set_join": licenses.SQL,
     "op9_quality_cascade": quality.SQL,
 }
