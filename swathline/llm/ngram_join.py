@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from swathline.llm.common import mix, shingle_sets, slices, stored, text_of
@@ -200,6 +200,47 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.select("a", "b", shared.alias("o"), (F.size("ta") + F.size("tb")).alias("s")).where(f"o * {num + den} >= s * {num}").select("a", "b")
 
 
+def _still_open(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """Places of shingles that two components or more have, of nodes that may still link with another component.
+
+    A shingle met in one component only can't be shared across. ``most`` is the overlap left to a node without those of its
+    prefix; a node with fewer open places than its match count can't reach any other component.
+    """
+    placed = placed.select("token", "sig", "n", "pos", "l", "root")
+    apart = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+    open_ = stored(placed.join(apart, "token"))
+    most = F.ceil(F.first("n") * num / den) - F.first("l") + F.count("*")
+    able = open_.groupBy("sig").agg(most.cast("long").alias("most"), F.count("*").alias("places"), F.first("l").alias("least"))
+    return open_.join(able.where("places >= least").select("sig", "most"), "sig")
+
+
+def _candidates(open_: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of nodes in different components that share enough open shingles of their prefixes.
+
+    A pair meets at its first shared shingle, which lies in the shortest prefix of both. A row whose open shingle before
+    is the same on both sides isn't the first and is dropped in the join. Pairs that are asked for more than one match are
+    then held against their longer prefixes.
+    """
+    before = F.lag("token").over(Window.partitionBy("sig").orderBy("pos")).alias("before")
+    columns = ["sig", "n", "pos", "l", "root", "most", "before"]
+    short = open_.select("token", *columns[:-1], before).where(f"pos <= n - ceil(n * {num} / {den})")
+    one = short.select("token", *[F.col(c).alias(f"{c}a") for c in columns])
+    two = short.select("token", *[F.col(c).alias(f"{c}b") for c in columns])
+    found = one.join(two, "token").where("siga < sigb and roota <> rootb and (beforea is null or beforeb is null or beforea <> beforeb)")
+    found = found.where(_close(num, den, "a", "b") & _enough(num, den, "a", "b") & _enough(num, den, "a", "b", F.least("mosta", "mostb")))
+    pairs = stored(found.select(F.col("siga").alias("a"), F.col("sigb").alias("b"), "na", "nb", F.least("la", "lb").alias("need")).distinct())
+
+    lists = stored(open_.where("l > 1").groupBy("sig").agg(F.collect_list(F.struct("token", "pos")).alias("places")))  # parts of one prefix
+
+    def within(s: str):  # the shingles of the prefix that goes with the match count
+        base = F.col(f"n{s}") - F.ceil(F.col(f"n{s}") * num / den)
+        return F.transform(F.filter(f"places{s}", lambda x: x["pos"] < base + F.col("need")), lambda x: x["token"])
+
+    many = pairs.where("need > 1").join(lists.toDF("a", "placesa"), "a").join(lists.toDF("b", "placesb"), "b")
+    many = many.where(F.size(F.array_intersect(within("a"), within("b"))) >= F.col("need"))
+    return stored(pairs.where("need = 1").select("a", "b").union(many.select("a", "b")))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per document: linked documents have Jaccard similarity ``num/den`` or more.
 
@@ -232,26 +273,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     placed = shared.select("token", "sig", "n", "pos", "l").join(roots, shared.sig == roots.node, "left").select(
         "token", "sig", "n", "pos", "l", F.coalesce("root", "sig").alias("root")
     )
-    apart = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    open_ = stored(placed.join(apart, "token"))
-    one = open_.select("token", *[F.col(c).alias(f"{c}a") for c in ("sig", "n", "pos", "l", "root")])
-    two = open_.select("token", *[F.col(c).alias(f"{c}b") for c in ("sig", "n", "pos", "l", "root")])
-    need = F.least("la", "lb")
-
-    def level(s: str):  # the match count from which a place belongs to the prefix
-        n = F.col(f"n{s}")
-        return F.col(f"pos{s}") - (n - F.ceil(n * num / den)) + 1
-
-    found = one.join(two, "token").where("siga < sigb and roota <> rootb").where(_close(num, den, "a", "b"))
-    found = found.where((level("a") <= need) & (level("b") <= need))
-    # where one match is asked for, the first one alone decides; otherwise later ones count, and the first has most left
-    found = found.where((need > 1) | _enough(num, den, "a", "b"))
-    left = F.max(F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"))).alias("left")
-    pairs = found.groupBy("siga", "sigb").agg(
-        F.count("*").alias("many"), left, F.first(need).alias("need"), F.first("na").alias("na"), F.first("nb").alias("nb")
-    )
-    pairs = pairs.where("many >= need").where(_enough(num, den, "a", "b", F.col("left"))).toDF("a", "b", "many", "left", "need", "na", "nb")
-    pairs = stored(pairs.select("a", "b"))
+    open_ = stored(_still_open(_still_open(placed, num, den), num, den))
+    pairs = _candidates(open_, num, den)
     more = _verified(pairs, _needed_sets(docs, nodes, pairs, width), num, den)
 
     joined = components(links.union(more))
