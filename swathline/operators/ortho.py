@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathline.functions import geo, spectral, vec
-from swathline.operators.projection import weighted_means
+from swathline.operators.projection import band_count, weighted_means
 
 
 def file_roi(proj: DataFrame, keys: list[str]) -> DataFrame:
@@ -135,7 +135,7 @@ def splat(
         F.col("_i.t").alias("tile_i"), F.col("_j.t").alias("tile_j"), F.col("_i.c").alias("i"), F.col("_j.c").alias("j"),
         (F.col("_i.w") * F.col("_j.w")).alias("_weight"), array,
     )
-    return weighted_means(cells, ["tile_i", "tile_j", "i", "j"], array, F.col("_weight"), n_bands)
+    return weighted_means(cells, ["tile_i", "tile_j", "i", "j"], array, F.col("_weight"), band_count(px, array) if n_bands is None else n_bands)
 
 
 def ortho_rgb(ortho: DataFrame, array: str, bands: tuple[int, int, int] = (43, 27, 12)) -> DataFrame:

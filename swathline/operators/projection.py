@@ -84,7 +84,7 @@ def project_point_to_line(points: DataFrame, focal: float, pp: float) -> DataFra
 
 def patch_band(
     px: DataFrame, array: str, lines: DataFrame, reference: DataFrame, key: str, n_samples: int, fov_deg: float,
-    ground: float, max_delta: int, radius: int,
+    ground: float, max_delta: int, radius: int, n_bands: int | None = None,
 ) -> DataFrame:
     """Rectified patch around one reference line per key: key, y, x, w, patch (band means), weights above 0 only.
 
@@ -108,22 +108,29 @@ def patch_band(
         (F.col("_x.c") >= 0) & (F.col("_x.c") < n_samples) & (F.abs(F.col("_y.c")) <= radius)
     ).select(key, "line", "sample", F.col("_x.c").alias("x"), (F.col("_y.c") + radius).alias("y"), (F.col("_x.w") * F.col("_y.w")).alias("w"))
     joined = cells.join(px.select(key, "line", "sample", array), [key, "line", "sample"])
-    return weighted_means(joined, [key, "y", "x"], array, F.col("w"))
+    return weighted_means(joined, [key, "y", "x"], array, F.col("w"), band_count(px, array) if n_bands is None else n_bands)
 
 
 BANDS_PER_AGGREGATE = 64
 
 
-def weighted_means(cells: DataFrame, keys: list[str], array: str, w: Column, n_bands: int | None = None) -> DataFrame:
+def band_count(px: DataFrame, array: str) -> int:
+    """Length of all arrays of a pixel table (0 for an empty one); a scan of this table alone. Unequal lengths are an error."""
+    sizes = px.where(F.col(array).isNotNull()).agg(F.min(F.size(array)).alias("least"), F.max(F.size(array)).alias("most")).first()
+    if sizes["least"] != sizes["most"]:
+        raise ValueError(f"spectra have {sizes['least']} to {sizes['most']} bands")
+    return sizes["most"] or 0
+
+
+def weighted_means(cells: DataFrame, keys: list[str], array: str, w: Column, n_bands: int) -> DataFrame:
     """Weighted mean spectrum per key: keys, w, ``array``; cells whose weight is 0 are left out.
 
     One sum per band in a partial-plus-final hash aggregate, at most 64 bands at a time so that generated code stays
-    compilable; the parts share their hash partitioning and are joined without another shuffle.
+    compilable; the parts share their hash partitioning and are joined without another shuffle. A spectrum with another
+    number of bands ends the job.
     """
-    if n_bands is None:
-        row = cells.select(F.size(array).alias("n")).first()
-        n_bands = row["n"] if row else 0
-    weighted = cells.withColumn("_w", w)
+    wrong = F.raise_error(F.concat(F.lit(f"a spectrum doesn't have {n_bands} bands but "), F.size(array).cast("string"))).cast("double")
+    weighted = cells.withColumn("_w", F.when(F.size(array) == n_bands, w).when(F.col(array).isNotNull(), wrong))
     parts = []
     for start in range(0, n_bands, BANDS_PER_AGGREGATE):
         bands = range(start, min(start + BANDS_PER_AGGREGATE, n_bands))
@@ -236,11 +243,20 @@ def project_to_terrain(
         F.struct(F.max("z").alias("hi"), F.min("z").alias("lo"), F.max("i").alias("i"), F.max("j").alias("j"))
     ).scalar()
     ray = ray_table.withColumn("_t", span)
-    # parameters at which the ray passes the top and the bottom of the terrain; rays that do not descend have no hit
-    # unless they start inside the height range
-    s_top = F.greatest(F.lit(0.0), F.try_divide(F.col("_t.hi") + 1e-6 - F.col("o_2"), F.col("d_2")))
+    # parameters at which the ray passes the top and the bottom of the terrain
+    s_top = F.try_divide(F.col("_t.hi") + 1e-6 - F.col("o_2"), F.col("d_2"))
     s_low = F.try_divide(F.col("_t.lo") - 1e-6 - F.col("o_2"), F.col("d_2"))
-    ray = ray.withColumns({"_s0": s_top, "_s1": s_low}).where((F.col("d_2") < 0) & (F.col("_s1") >= F.col("_s0")))
+    # a level or rising ray can hit a slope until it leaves the top or the raster
+    below = F.when(F.col("o_2") <= F.col("_t.hi") + 1e-6, F.greatest(F.lit(0.0), F.when(F.col("d_2") > 0, s_low).otherwise(0.0)))
+    leaves = [
+        F.greatest(F.try_divide(-F.col(f"o_{k}"), F.col(f"d_{k}")), F.try_divide(F.col(f"_t.{last}") - F.col(f"o_{k}"), F.col(f"d_{k}")))
+        for k, last in ((0, "i"), (1, "j"))
+    ]
+    until = F.least(s_top, *leaves)  # what is parallel to a border is NULL and left out; all NULL: the ray stands still
+    falls = F.col("d_2") < 0
+    ray = ray.withColumns({
+        "_s0": F.when(falls, F.greatest(F.lit(0.0), s_top)).otherwise(below), "_s1": F.when(falls, s_low).otherwise(until + 1e-9),
+    }).where(F.col("_s1") >= F.col("_s0"))
     def tiles(axis: int, last: str) -> Column:
         a = F.col(f"o_{axis}") + F.col("_s0") * F.col(f"d_{axis}")
         b = F.col(f"o_{axis}") + F.col("_s1") * F.col(f"d_{axis}")

@@ -6,6 +6,9 @@ one summary row per slot carries state across slot borders, and the summary is j
 also the window key, so the big side is not shuffled again. A slot is a function of the row alone: no statistics pass,
 and a recomputed task gets the same slots.
 
+The summary may be as long as the data, if the unit of the order column makes slots narrow. So it is treated in the same
+way: slots are gathered in wider ones, ``FAN`` at a time, and those again, before a window takes what is left of a key.
+
 Sensors bound the rows per slot (a rate in Hz times the width), and copies of one order value are reduced before the
 window where an operator allows copies.
 """
@@ -30,10 +33,48 @@ def _slot_window(keys: list[str], *order: Column | str) -> Window:
     return Window.partitionBy(*keys, *SLOT).orderBy(*order)
 
 
-def _carry(summary: DataFrame, keys: list[str], forward: bool) -> Window:
-    """Window over the slot table (one row per slot), strictly before/after the current slot."""
-    order = [F.col(c).asc() if forward else F.col(c).desc() for c in SLOT]
-    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+FAN = 1 << 14
+LEVELS = 2
+
+
+def _combined(kind: str, near: Column, far: Column) -> Column:
+    if kind == "sum":
+        return F.when(near.isNull(), far).when(far.isNull(), near).otherwise(near + far)
+    return F.coalesce(near, far)
+
+
+def _carried(summary: DataFrame, keys: list[str], specs: list[tuple[str, str, str]], levels: int = LEVELS) -> DataFrame:
+    """Slot table with what comes from other slots of the key: keys, slot and a column per spec (value, kind, name).
+
+    ``sum`` adds the values of all earlier slots, ``last`` takes the nearest earlier one that is not NULL, ``next`` the
+    nearest later one. A window holds ``FAN`` slots at most, but for the last level: the rows of a key there are its
+    slots divided by ``FAN ** levels``.
+    """
+    wide = [] if levels == 0 else [F.floor(F.col("_s") / FAN).alias("_w")]
+    df = summary.select(*keys, "_s", *wide, *dict.fromkeys(v for v, _, _ in specs))
+    group = [*keys, *(["_w"] if wide else [])]
+
+    def over(value: str, kind: str) -> Column:
+        order = F.col("_s").desc() if kind == "next" else F.col("_s").asc()
+        w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return (F.sum(value) if kind == "sum" else F.last(value, ignorenulls=True)).over(w)
+
+    local = df.select(*group, "_s", *[over(v, k).alias(n) for v, k, n in specs])
+    if levels == 0:
+        return local
+
+    def whole(value: str, kind: str) -> Column:
+        if kind == "sum":
+            return F.sum(value)
+        at = F.when(F.col(value).isNotNull(), F.col("_s"))
+        return F.max_by(value, at) if kind == "last" else F.min_by(value, at)
+
+    up = df.groupBy(*keys, F.col("_w").alias("_g")).agg(*[whole(v, k).alias(f"_u{levels}_{i}") for i, (v, k, _) in enumerate(specs)])
+    up = _carried(up.withColumnRenamed("_g", "_s"), keys, [(f"_u{levels}_{i}", k, f"_f{levels}_{i}") for i, (_, k, _) in enumerate(specs)], levels - 1)
+    up = up.select(*[F.col(c).alias(f"_r_{c}") for c in keys], F.col("_s").alias("_r__w"), *[f"_f{levels}_{i}" for i in range(len(specs))])
+    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in group])
+    both = local.join(up, cond, "left")
+    return both.select(*keys, "_s", *[_combined(k, F.col(n), F.col(f"_f{levels}_{i}")).alias(n) for i, (_, k, n) in enumerate(specs)])
 
 
 def _join_slots(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,9 +93,7 @@ def with_previous(
     here = F.struct(*cols)
     edge = F.min_by(here, order) if following else F.max_by(here, order)
     summary = slotted.groupBy(*keys, *SLOT).agg(edge.alias("_edge"))
-    summary = summary.withColumn(
-        "_carry", F.last("_edge", ignorenulls=True).over(_carry(summary, keys, forward=not following))
-    ).drop("_edge")
+    summary = _carried(summary, keys, [("_edge", "next" if following else "last", "_carry")])
     step = F.lead if following else F.lag
     local = slotted.withColumn("_near", step(here).over(_slot_window(keys, order)))
     out = _join_slots(local, summary, keys)
@@ -68,7 +107,7 @@ def with_running_sum(
     """Add ``name`` = sum of ``value`` over all rows of the key up to this row (or before it)."""
     slotted = with_slots(df.withColumn("_v", value), keys, order, width)
     summary = slotted.groupBy(*keys, *SLOT).agg(F.sum("_v").alias("_sum"))
-    summary = summary.withColumn("_before", F.sum("_sum").over(_carry(summary, keys, True))).drop("_sum")
+    summary = _carried(summary, keys, [("_sum", "sum", "_before")])
     frame = _slot_window(keys, order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = slotted.withColumn("_run", F.sum("_v").over(frame))
     zero = F.lit(0).cast(slotted.schema["_v"].dataType)
@@ -81,7 +120,7 @@ def with_row_index(df: DataFrame, keys: list[str], order: str, name: str, width:
     """Add ``name`` = 0-based position of the row in the key by ``order`` (order values distinct)."""
     slotted = with_slots(df, keys, order, width)
     summary = slotted.groupBy(*keys, *SLOT).agg(F.count(F.lit(1)).alias("_n"))
-    summary = summary.withColumn("_before", F.sum("_n").over(_carry(summary, keys, True))).drop("_n")
+    summary = _carried(summary, keys, [("_n", "sum", "_before")])
     local = slotted.withColumn("_rn", F.row_number().over(_slot_window(keys, order)))
     out = _join_slots(local, summary, keys)
     return out.withColumn(name, F.col("_rn") - 1 + F.coalesce("_before", F.lit(0))).drop("_rn", "_before", *SLOT)
@@ -106,11 +145,7 @@ def asof_bracket(
         F.max_by("_p", F.when(~F.col("_ask"), F.col(order))).alias("_last"),
         F.min_by("_p", F.when(~F.col("_ask"), F.col(order))).alias("_first"),
     )
-    summary = summary.select(
-        *keys, *SLOT,
-        F.last("_last", ignorenulls=True).over(_carry(summary, keys, True)).alias("_below"),
-        F.last("_first", ignorenulls=True).over(_carry(summary, keys, False)).alias("_above"),
-    )
+    summary = _carried(summary, keys, [("_last", "last", "_below"), ("_first", "next", "_above")])
     so_far = (Window.unboundedPreceding, Window.currentRow)
     up = _slot_window(keys, F.col(order).asc(), F.col("_ask").asc()).rowsBetween(*so_far)
     down = _slot_window(keys, F.col(order).desc(), F.col("_ask").asc()).rowsBetween(*so_far)

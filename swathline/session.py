@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_MARKED: set[str] = set()
+
+
 def local_session(cores: int | str = 8, app: str = "swathline", **conf: str) -> SparkSession:
     """Session for tests and benchmarks on one machine; a cluster brings its own."""
     builder = (
@@ -36,17 +39,31 @@ def shared_folder(spark: SparkSession) -> str:
     if configured is None and current.isDefined():
         configured = current.get()
     if configured is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="swathline-ckpt-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """This session's part of the shared folder; it goes when the session's JVM ends."""
+    folder = f"{shared_folder(spark)}/swathline/{spark.sparkContext.applicationId}"
+    if folder not in _MARKED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _MARKED.add(folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written as parquet to the shared folder and read back.
 
     The copy survives lost executors, later steps prune its columns, and, unlike after ``checkpoint()``, the optimizer
     starts afresh: a checkpointed plan keeps its inferred constraints, which double with every round of a loop.
     """
-    path = f"{shared_folder(df.sparkSession)}/swathline/{uuid.uuid4().hex}"
+    path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

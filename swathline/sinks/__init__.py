@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from swathline.functions import geo, vec
 from swathline.operators import ortho, trajectory
-from swathline.sources.cubes import TYPES
+from swathline.sources.cubes import TYPES, file_system
 
 
 def cube_header_rows(px: DataFrame, keys: list[str], array: str, data_type: int = 12) -> DataFrame:
@@ -22,21 +22,33 @@ def write_cube(px: DataFrame, array: str, folder: str, block: int = 512, data_ty
     """Write BIL files with headers, one per block of lines (seq-block/frame.bil): path, lines, ceiling.
 
     A group is one block of lines. Files are written under their final name with the same content on every attempt, so
-    a task that is run again leaves the same result. The frame is lazy: files appear when it is evaluated.
+    a task that is run again leaves the same result. The frame is lazy: files appear when it is evaluated. Values are
+    placed by line and sample; a missing or repeated pixel, spectra of unequal length and values that the type can't hold
+    are errors.
     """
     kind = TYPES[data_type]
 
     def write(key, pdf):
         import numpy as np
         import pandas as pd
-        from pyarrow import fs
 
-        lines = np.sort(pdf["line"].unique())
-        pdf = pdf.sort_values(["line", "sample"])
-        cube = np.stack(pdf[array].to_numpy()).reshape(len(lines), -1, len(pdf[array].iloc[0]))
-        data = np.ascontiguousarray(cube.transpose(0, 2, 1)).astype(kind)
+        where = f"sequence {int(key[0])}, block {int(key[1])}"
+        lines, at = np.unique(pdf["line"].to_numpy(), return_inverse=True)
+        sample = pdf["sample"].to_numpy()
+        width = int(sample.max()) + 1
+        if len({len(v) for v in pdf[array]}) != 1:
+            raise ValueError(f"{where}: spectra differ in length")
+        if len(pdf) != len(lines) * width or len(np.unique(at * width + sample)) != len(pdf) or sample.min() < 0 or lines[-1] - lines[0] >= len(lines):
+            raise ValueError(f"{where}: pixels are missing or repeated")
+        values = np.stack(pdf[array].to_numpy())
+        if np.dtype(kind).kind in "iu":
+            bounds = np.iinfo(kind)
+            if values.min() < bounds.min or values.max() > bounds.max:
+                raise ValueError(f"{where}: values from {values.min()} to {values.max()} don't fit data type {data_type}")
+        data = np.empty((len(lines), values.shape[1], width), kind)
+        data[at, :, sample] = values
         peak = max(0, data.max())
-        system, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        system, root = file_system(folder)
         target = f"{root}/{int(key[0]):04d}-{int(key[1])}"
         system.create_dir(target, recursive=True)
         rows = {"interleave": "bil", "data type": data_type, "lines": len(lines), "samples": data.shape[2], "bands": data.shape[1], "ceiling": peak, **(extra or {})}

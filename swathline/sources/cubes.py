@@ -18,11 +18,28 @@ FRAME_LINE_BYTES = FRAME_HEADER_BYTES * (FRAME_BANDS + 1)
 PIXELS = "path string, line bigint, sample bigint, spectrum array<double>"
 
 
-def _open(path: str):
-    """Random-access file on any file system pyarrow knows; a plain path is local."""
+def file_system(path: str):
+    """File system and name of a path as Spark writes it: plain or ``file:`` paths are local (blanks may be escaped), and the
+    cluster scheme ``s3a`` is what pyarrow calls ``s3``."""
+    from urllib.parse import unquote
+
     from pyarrow import fs
 
-    system, name = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + unquote(path.removeprefix("file:")).lstrip("/")
+    if "://" not in path:
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(store_uri(path))
+
+
+def store_uri(path: str) -> str:
+    scheme, rest = path.split("://", 1)
+    return f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}"
+
+
+def _open(path: str):
+    """Random-access file on any file system pyarrow knows."""
+    system, name = file_system(path)
     return system.open_input_file(name)
 
 
@@ -36,7 +53,7 @@ def read_headers(spark: SparkSession, folder: str) -> DataFrame:
 def list_cubes(spark: SparkSession, folder: str) -> DataFrame:
     """Cube files below ``folder`` in sequence order; only names are read, no content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.bil").load(folder)
-    return text.list_sequence(files.select("path"))
+    return text.list_sequence(files.select(F.col("_metadata.file_path").alias("path")))  # spelled as in read_headers
 
 
 def line_blocks(files: DataFrame, first: int = 0, last: int = -1, block: int = 64) -> DataFrame:
@@ -72,8 +89,8 @@ def read_cube(blocks: DataFrame, bands: list[int] | None = None) -> DataFrame:
                 n_b, n_s = int(b.bands), int(b.samples)
                 picked = list(range(n_b)) if bands is None else bands
                 with _open(b.path) as f:
-                    if f.size() < b.lines * n_b * n_s * kind.itemsize:
-                        raise ValueError(f"{b.path}: file is shorter than its header says")
+                    if f.size() != b.lines * n_b * n_s * kind.itemsize:
+                        raise ValueError(f"{b.path}: file has {f.size()} bytes, not what its header says")
 
                     def take(offset: int, n: int):
                         f.seek(offset * kind.itemsize)
@@ -97,16 +114,27 @@ def read_cube(blocks: DataFrame, bands: list[int] | None = None) -> DataFrame:
 
 
 def read_sequence(spark: SparkSession, folder: str, first: int = 0, last: int = -1, bands: list[int] | None = None, block: int = 64) -> DataFrame:
-    """All cubes of a folder as one sequence of lines."""
+    """All cubes of a folder as one sequence of lines.
+
+    A cube whose header is missing or unreadable, or that differs from the others in samples, bands, type or interleave, is
+    an error: leaving it out would give all later lines wrong numbers. Only headers are looked at here.
+    """
     typed = text.typed_headers(read_headers(spark, folder))
-    files = list_cubes(spark, folder).join(typed, "path").withColumn("seq", F.lit(0))
+    files = list_cubes(spark, folder).join(typed, "path", "left").withColumn("seq", F.lit(0))
+    shape = ["samples", "bands", "data_type", "interleave"]
+    unread = files.where(F.col("lines").isNull() | F.col("samples").isNull() | F.col("bands").isNull()).select("path").take(5)
+    if unread:
+        raise ValueError("no usable header: " + ", ".join(r["path"] for r in unread))
+    kinds = files.select(*shape).distinct().take(2)
+    if len(kinds) > 1:
+        raise ValueError(f"cubes of one sequence differ: {kinds[0].asDict()}, {kinds[1].asDict()}")
     return read_cube(line_blocks(text.sequence_offsets(files), first, last, block), bands)
 
 
 def list_frames(spark: SparkSession, pattern: str) -> DataFrame:
     """Raw frames: path, lines (from the file size)."""
     files = spark.read.format("binaryFile").load(pattern)
-    return files.select("path", F.floor(F.col("length") / FRAME_LINE_BYTES).alias("lines"))
+    return files.select(F.col("_metadata.file_path").alias("path"), F.floor(F.col("length") / FRAME_LINE_BYTES).alias("lines"))
 
 
 def read_frames(frames: DataFrame, block: int = 16, headers_only: bool = False) -> DataFrame:
