@@ -251,7 +251,7 @@ def _(spark, sf):
 
 @query("L14_bootstrap_boresight")
 def _(spark, sf):
-    return op.bootstrap_boresight(pairs(spark, sf))
+    return op.bootstrap_boresight(pairs(spark, sf), max_obs=500)
 
 
 @query("L15_tie_point_uvt", sql(f"SELECT obs_id AS pt_id, seq, {s6('x', 'u')}, 0.0::DOUBLE AS v, {s6('coalesce(t, y)', 't', 3)} FROM tm", tm=TIMED))
@@ -271,7 +271,7 @@ HARRIS = {"im": "SELECT file_id AS img, line, sample, dn AS value FROM px WHERE
           "co": "SELECT * FROM sc a WHERE response > 0 AND response >= (SELECT max(response) FROM sc b WHERE a.img = b.img AND abs(a.line - b.line) <= 3 AND abs(a.sample - b.sample) <= 3)"}
 
 
-@query("L16_corner_candidates", sql("SELECT img, line, sample, row_number() OVER (PARTITION BY img ORDER BY response DESC, line, sample) AS rank FROM co QUALIFY rank <= 1000", **HARRIS))
+@query("L16_corner_candidates", sql("SELECT img, line, sample, row_number() OVER (PARTITION BY img ORDER BY response DESC, line, sample) AS rank FROM co", **HARRIS))
 def _(spark, sf):
     return op.corner_candidates(image(spark, sf)).select("img", "line", "sample", "rank")
 
@@ -294,7 +294,21 @@ def _(spark, sf):
     return matched(spark, sf).select("pair", "a", "b", r6("dist"))
 
 
-@query("L17_filter_inliers")
+def _moved(x: str, y: str) -> list[str]:
+    """A known affine map, and every fifth match thrown far off (in another direction each)."""
+    out = "CASE WHEN (a + pair) % 5 = 0 THEN {} * (200 + (a * 37) % 100) ELSE 0 END"
+    return [f"1.02 * {x} - 0.03 * {y} + 5 + {out.format('(1 - 2 * (a % 2))')}", f"0.03 * {x} + 0.98 * {y} - 7 + {out.format('(1 - 2 * (a % 3 % 2))')}"]
+
+
+@query("L17_filter_inliers", sql("SELECT file_id AS pair, line * 20 + sample AS a FROM px WHERE band = 0 AND (line * 20 + sample + file_id) % 5 <> 0"))
+def _(spark, sf):
+    at = inp.pixels(spark, sf).select(F.col("file_id").alias("pair"), (F.col("line") * 20 + F.col("sample")).alias("a"),
+                                      (F.col("sample") * 40.0).alias("x1"), ((F.col("line") % 10) * 40.0).alias("y1"))
+    x2, y2 = _moved("x1", "y1")
+    return op.filter_inliers(at.select("pair", "a", F.col("a").alias("b"), "x1", "y1", F.expr(x2).alias("x2"), F.expr(y2).alias("y2"))).select("pair", "a")
+
+
+@query("L17_matched_inliers")
 def _(spark, sf):
     m = matched(spark, sf)
     at = lambda c: [(F.col(c) % 20).alias(f"x{'12'['ab'.index(c)]}"), F.floor(F.col(c) / 20).alias(f"y{'12'['ab'.index(c)]}")]

@@ -161,9 +161,9 @@ def sampled_files(file_id: Column, n_files: Column, step: int) -> Column:
 
 
 def band_covariance(
-    px: DataFrame, array: str = "spectrum", file_step: int = 10, line_step: int = 500, sample_step: int = 100,
+    px: DataFrame, array: str = "spectrum", file_step: int = 1, line_step: int = 1, sample_step: int = 1,
 ) -> DataFrame:
-    """Sampled band covariance and correlation: band_a, band_b, n, cov, corr.
+    """Band covariance and correlation of all pixels, or of every so many files, lines and samples: band_a, band_b, n, cov, corr.
 
     Each task reduces its pixels to the matrix of cross products with one matrix product per Arrow batch; Spark
     sums the matrices. Values are shifted by the rounded band mean of the sample to keep the sums small.

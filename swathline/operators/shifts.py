@@ -254,9 +254,9 @@ def shift_candidates(reach: float = 3.0, step: float = 0.25) -> list[float]:
 
 def shift_likelihood(
     px: DataFrame, array: str, n_samples: int, window: int, penalty: float, rho: float,
-    candidates: list[float] | None = None, line_block: int = 16,
+    candidates: list[float] | None = None, line_block: int = 16, pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """Cost of every candidate shift of a line pair: seq, line, dx, cost.
+    """Cost of every candidate shift of a line pair: seq, line, dx, cost; of the given ``pairs`` (seq, line) or of all.
 
     cost = penalty*dx^2 + sum over windows and bands of log det K(dx) + I'K(dx)^-1 I, with standardised values I of the
     two lines; terms without dx are left out. K depends on the candidate only, so its inverse is made once and shipped
@@ -267,7 +267,11 @@ def shift_likelihood(
     width = min(window, n_samples)
     start = (n_samples % window) // 2
     starts = list(range(start, n_samples - width + 1, width))
-    blocks = line_blocks(standardized(px.select("seq", "line", "sample", array), array), line_block, 1)
+    scaled = standardized(px.select("seq", "line", "sample", array), array)
+    if pairs is not None:
+        both = pairs.select("seq", F.explode(F.array("line", F.col("line") + 1)).alias("line")).distinct()
+        scaled = scaled.join(both, ["seq", "line"], "left_semi")
+    blocks = line_blocks(scaled, line_block, 1)
 
     def costs(key, pdf):
         import numpy as np
@@ -291,7 +295,8 @@ def shift_likelihood(
             rows += [(int(key[0]), n, dx, total[q] + penalty * dx * dx) for q, dx in enumerate(candidates)]
         return pd.DataFrame(rows, columns=["seq", "line", "dx", "cost"])
 
-    return blocks.groupBy("seq", "_lb").applyInPandas(costs, "seq bigint, line bigint, dx double, cost double")
+    out = blocks.groupBy("seq", "_lb").applyInPandas(costs, "seq bigint, line bigint, dx double, cost double")
+    return out if pairs is None else out.join(pairs.select("seq", "line").distinct(), ["seq", "line"], "left_semi")
 
 
 def likely_shift(costs: DataFrame, step: float = 0.25) -> DataFrame:
@@ -308,6 +313,22 @@ def likely_shift(costs: DataFrame, step: float = 0.25) -> DataFrame:
     return three.select("seq", "line", (F.col("_dx") + F.coalesce(move, F.lit(0.0))).alias("dx"), bend.isNotNull().alias("converged"))
 
 
+def searched_shifts(
+    px: DataFrame, array: str, n_samples: int, window: int, penalty: float, rho: float, reach: float = 3.0, step: float = 0.25,
+) -> DataFrame:
+    """Likely shift of every line pair: seq, line, dx, converged. The search range is doubled for the pairs whose minimum
+    lies on its edge, until it is inside or the lines no longer overlap; only then a pair counts as not converged."""
+    found = cut_lineage(likely_shift(shift_likelihood(px, array, n_samples, window, penalty, rho, shift_candidates(reach, step)), step))
+    while reach < n_samples:
+        edge = found.where("not converged").select("seq", "line")
+        if not edge.take(1):
+            break
+        reach *= 2
+        costs = shift_likelihood(px, array, n_samples, window, penalty, rho, shift_candidates(reach, step), pairs=edge)
+        found = cut_lineage(found.where("converged").unionByName(likely_shift(costs, step)))
+    return found
+
+
 # ---- line order ------------------------------------------------------------------------------------------------
 
 
@@ -540,27 +561,28 @@ def undistort(
 ) -> tuple[DataFrame, DataFrame]:
     """Estimate and apply horizontal shifts, a vertical order, or both: (pixels, line table seq, line, acc, order_idx).
 
-    Shifts come from correlation ('ncc') or the likelihood ('bayes'); 'both' reorders after the shifts and stops with
-    the horizontal result when a shift did not converge.
+    Shifts come from correlation ('ncc') or the likelihood ('bayes'); 'both' reorders after the shifts. A sequence with a
+    shift that did not converge keeps its line order; others are not affected.
     """
     lines = px.select("seq", "line").distinct()
-    acc = None
+    acc = fixed = None
     if mode in ("horizontal", "both"):
         if method == "bayes":
-            found = cut_lineage(likely_shift(cut_lineage(shift_likelihood(px, array, n_samples, window, penalty, rho))))
-            converged = found.where("not converged").limit(1).count() == 0
+            found = searched_shifts(px, array, n_samples, window, penalty, rho)
+            fixed = found.where("not converged").select("seq").distinct()
             relative = smooth_shifts(found.select("seq", "line", "dx"))
         else:
-            converged = True
             # a few rows per line from here on: keep them, so that no later step goes back to the pixels
             products = cut_lineage(line_pair_products(px, array, n_samples))
             relative = subpixel_shift(products).select("seq", "line", "dx")
         acc = cut_lineage(accumulate_shifts(cut_lineage(relative)))
-        if not converged:
-            mode = "horizontal"
     order = None
     if mode in ("vertical", "both"):
-        order = reorder_lines(line_costs(px, array, n_samples, radius, acc), lines)
+        open_px, open_lines = (px, lines) if fixed is None else (px.join(fixed, "seq", "left_anti"), lines.join(fixed, "seq", "left_anti"))
+        order = reorder_lines(line_costs(open_px, array, n_samples, radius, acc), open_lines)
+        if fixed is not None:
+            kept = lines.join(fixed, "seq", "left_semi").withColumn("order_idx", F.col("line"))
+            order = order.select("seq", "line", "order_idx").unionByName(kept.select("seq", "line", F.col("order_idx").cast(order.schema["order_idx"].dataType)))
     out = px.select("seq", "line", "sample", array)
     if acc is not None:
         out = rectify_horizontal(out, array, acc, n_samples)

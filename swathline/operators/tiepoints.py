@@ -278,13 +278,14 @@ def ray_pairs(
 
 
 def bootstrap_boresight(
-    pairs: DataFrame, repeats: int = 100, share: float = 0.5, max_obs: int = 500, huber: float | None = None, max_iter: int = 50,
+    pairs: DataFrame, max_obs: int, repeats: int = 100, share: float = 0.5, huber: float | None = None, max_iter: int = 50,
 ) -> DataFrame:
     """Boresight rotation by resampling: n_ok, n_fail, mean axis-angle (degrees) and mean deviation (degrees), mean
     iterations.
 
-    Every repeat takes the rows with the smallest hash of (repeat, match): rows that cannot be among them are dropped in
-    the scan by a hash limit with a wide margin, so a repeat never holds much more than ``max_obs`` rows. Each repeat
+    Every repeat takes ``share`` of the rows, ``max_obs`` at most (the sample size of this estimator, so it has to be given):
+    those with the smallest hash of (repeat, match). A row is only copied for repeats that it can belong to by a hash limit
+    with a wide margin, so a repeat never holds much more than ``max_obs`` rows. Each repeat
     is aligned by Gauss-Newton on the coplanarity of the two rays with the baseline.
     """
     total = pairs.count()
@@ -292,8 +293,9 @@ def bootstrap_boresight(
     repeats = 1 if n == total else repeats
     names = [f"v{s}_{k}" for s in (1, 2) for k in range(3)] + [f"r_{k}" for k in range(9)] + [f"t_{k}" for k in range(3)]
     cut = 1.0 if total == 0 else min(1.0, (n + 8 * math.sqrt(n) + 32) / total)
-    rank = F.pmod(F.xxhash64("rep", "match_id"), F.lit(1 << 40)) / float(1 << 40)
-    drawn = pairs.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_h", rank).where(F.col("_h") < cut)
+    place = lambda r: F.struct(r.alias("rep"), (F.pmod(F.xxhash64(r, "match_id"), F.lit(1 << 40)) / float(1 << 40)).alias("_h"))
+    places = F.filter(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), place), lambda x: x["_h"] < cut)
+    drawn = pairs.withColumn("_d", F.explode(places)).withColumns({"rep": F.col("_d.rep"), "_h": F.col("_d._h")}).drop("_d")
     w = Window.partitionBy("rep").orderBy("_h", "match_id")
     drawn = drawn.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).select("rep", *names)
 
@@ -364,11 +366,11 @@ def tie_point_uvt(points: DataFrame, lines: DataFrame, start: int = 0) -> DataFr
     return timed.select("seq", "pt_id", "u", F.lit(0.0).alias("v"), F.coalesce("t", "y").alias("t"))
 
 
-def corner_candidates(image: DataFrame, radius: int = 3, top: int = 1000, k: float = 0.04) -> DataFrame:
-    """Strongest corners per image: img, line, sample, response, rank.
+def corner_candidates(image: DataFrame, radius: int = 3, top: int | None = None, k: float = 0.04) -> DataFrame:
+    """Corners per image, the strongest first: img, line, sample, response, rank.
 
     Harris response of central differences summed over a (2r+1)^2 window, kept where it is the maximum of such a
-    window, at most ``top`` per image. ``image`` has img, line, sample, value. Windows are summed one axis at a time by
+    window, all of them or the ``top`` ones of each image. ``image`` has img, line, sample, value. Windows are summed one axis at a time by
     sending narrow rows to their neighbours; ranking keeps ``top`` rows per task before its shuffle.
     """
     keys = ["img", "line", "sample"]
@@ -387,14 +389,14 @@ def corner_candidates(image: DataFrame, radius: int = 3, top: int = 1000, k: flo
     peak = windowed(windowed(score, "sample", F.max, ["response"]), "line", F.max, ["response"]).withColumnRenamed("response", "_m")
     corners = score.join(peak, keys).where("response >= _m and response > 0").select(*keys, "response")
     w = Window.partitionBy("img").orderBy(F.col("response").desc(), "line", "sample")
-    return corners.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    ranked = corners.withColumn("rank", F.row_number().over(w))
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
 def match_corners(left: DataFrame, right: DataFrame, cells: int = 8) -> DataFrame:
     """Mutual nearest neighbours of corner descriptors: pair, a, b, dist. Inputs: pair, id, desc ARRAY<DOUBLE>.
 
-    Both sides are corner lists of at most 1000 per image (``corner_candidates``), so an image pair compares a bounded
-    number of descriptors.
+    Every corner of one image is compared with every one of the other; ``corner_candidates`` with ``top`` bounds both.
     """
     met = left.select("pair", F.col("id").alias("a"), F.col("desc").alias("da")).join(
         right.select("pair", F.col("id").alias("b"), F.col("desc").alias("db")), "pair")
@@ -408,14 +410,14 @@ def match_corners(left: DataFrame, right: DataFrame, cells: int = 8) -> DataFram
 def filter_inliers(matches: DataFrame, iterations: int = 2000, threshold: float = 20.0) -> DataFrame:
     """Matches that agree with the best affine map of ``iterations`` hypotheses of three matches each.
 
-    ``matches``: pair, a, b, x1, y1, x2, y2, at most 1000 per image pair, so a group is bounded. Hypotheses are drawn
-    with a seed from the pair.
+    ``matches``: pair, a, b, x1, y1, x2, y2; the matches of an image pair are one group. Hypotheses are drawn with a seed
+    from the pair. Fewer than three matches fix no map, so none of them is an inlier.
     """
     def consensus(pdf):
         import numpy as np
 
         if len(pdf) < 3:
-            return pdf
+            return pdf[:0]
         pdf = pdf.sort_values(["a", "b"])
         src = np.c_[pdf[["x1", "y1"]].to_numpy(float), np.ones(len(pdf))]
         dst = pdf[["x2", "y2"]].to_numpy(float)
