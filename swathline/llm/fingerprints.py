@@ -18,13 +18,16 @@ WIDTH = 5
 BINS = 128
 BIN_BITS = 7
 VALUE_BITS = 8
-PRIME = 257  # above BINS: multiplying by a number below it permutes the bins
+PRIME = 131  # the first prime above BINS + 1: multiplying by a smaller number permutes the bins
 CHANCE = 1 / (1 << VALUE_BITS)
 SLOT_BITS = 9
 LEVEL_BITS = 16
 
 _TIMES = [1 + (b * b * 37 + b * 101 + 11) % (PRIME - 1) for b in range(BINS)]
 _PLUS = [(b * 59 + 7) % PRIME for b in range(BINS)]
+TRIES = 8
+# the bin that each bin asks first, second, ...: where (j + 1) * times + plus is 0, 1, ... (-1 or BINS and more: no bin)
+_ASKED = [[(r - p) * pow(t, -1, PRIME) % PRIME - 1 for t, p in zip(_TIMES, _PLUS, strict=True)] for r in range(TRIES)]
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -32,49 +35,66 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def shingle_hashes(text: Column) -> Column:
-    """Hashes of the five-word shingles (lower case in A-Z, words between ASCII white space), repeats included; a shorter text is
+def shingle_keys(text: Column) -> Column:
+    """63-bit hashes of the five-word shingles (lower case, words between ASCII white space), repeats included; a shorter text is
     one shingle, a text without words none."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    blank = F.lit(" \t\n\x0b\x0c\r")
 
     def grams(h: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(0), F.size(h) - WIDTH), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WIDTH)]))
-        return F.when(F.size(h) >= WIDTH, many).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+        many = F.transform(
+            F.sequence(F.lit(0), F.size(h) - WIDTH), lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(h, i + k) for k in range(WIDTH)]), 1)
+        )
+        return F.when(F.size(h) >= WIDTH, many).otherwise(F.array(F.shiftrightunsigned(F.xxhash64(h), 1)))
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), grams)
+    def words(inner: Column) -> Column:
+        hashes = F.transform(F.split(inner, r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))
+        return F.when(inner == "", F.array().cast("array<bigint>")).otherwise(let(hashes, grams))
+
+    return let(F.trim(F.lower(text), blank), words)
+
+
+_SHIFT = 63 - BIN_BITS
+_MASK = (1 << _SHIFT) - 1
 
 
 def fingerprint(text: Column) -> Column:
-    """``BINS`` signed bytes, or an empty array for a text without words."""
-    keys = F.sort_array(F.transform(shingle_hashes(text), lambda h: F.shiftrightunsigned(h, 1)))
-    shift = 63 - BIN_BITS
+    """``BINS`` signed bytes, or an empty array for a text without words.
 
-    def bin_of(key: Column) -> Column:
-        return F.shiftright(key, shift).cast("int")
+    The largest key of every bin is added to the keys, so that after sorting the first key of each bin is its smallest hash
+    or tells that the bin is empty.
+    """
+    largest, times, plus = F.lit([b << _SHIFT | _MASK for b in range(BINS)]), F.lit(_TIMES), F.lit(_PLUS)
+    asked = [F.lit(row) for row in _ASKED]
 
     def first_of_bin(s: Column) -> Column:
-        return F.filter(s, lambda k, i: (i == 0) | (bin_of(k) != bin_of(F.get(s, i - 1))))
+        return F.filter(s, lambda k, i: (i == 0) | (F.shiftright(k, _SHIFT) != F.shiftright(F.get(s, i - 1), _SHIFT)))
+
+    def low(key: Column) -> Column:
+        return (key.bitwiseAND((1 << VALUE_BITS) - 1) - (1 << VALUE_BITS - 1)).cast("tinyint")
+
+    def filled(key: Column) -> Column:
+        return key.bitwiseAND(_MASK) != _MASK
 
-    times, plus = F.lit(_TIMES), F.lit(_PLUS)
+    def dense(firsts: Column) -> Column:
+        def tried(b: Column, row: Column) -> Column:
+            key = F.get(firsts, F.get(row, b))
+            return F.when(filled(key), low(key))
 
-    def dense(low: Column) -> Column:
-        def with_bins(bins: Column) -> Column:
-            def borrowed(b: Column, filled: Column) -> Column:
-                turn = F.transform(bins, lambda j: ((j + 1) * F.get(times, b) + F.get(plus, b)) % PRIME * BINS + j)
-                return F.element_at(filled, (F.array_min(turn) % BINS).cast("int"))
+        def searched(b: Column) -> Column:  # the same order over all bins, for sets that fill few
+            full = F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: filled(F.get(firsts, j)))
+            turn = F.transform(full, lambda j: ((j + 1) * F.get(times, b) + F.get(plus, b)) % PRIME * BINS + j)
+            return low(F.get(firsts, (F.array_min(turn) % BINS).cast("int")))
 
-            def all_bins(filled: Column) -> Column:
-                return F.transform(
-                    F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.try_element_at(filled, b), borrowed(b, filled))
-                )
+        def value(k: Column, b: Column) -> Column:
+            return F.when(filled(k), low(k)).otherwise(F.coalesce(*[tried(b, row) for row in asked], searched(b)))
 
-            values = F.transform(low, lambda k: (k.bitwiseAND((1 << VALUE_BITS) - 1) - (1 << VALUE_BITS - 1)).cast("tinyint"))
-            return let(F.map_from_arrays(bins, values), all_bins)
+        return F.transform(firsts, value)
 
-        return F.when(F.size(low) > 0, let(F.transform(low, bin_of), with_bins)).otherwise(F.array().cast("array<tinyint>"))
+    def bins(keys: Column) -> Column:
+        full = let(let(F.sort_array(F.concat(keys, largest)), first_of_bin), dense)
+        return F.when(F.size(keys) > 0, full).otherwise(F.array().cast("array<tinyint>"))
 
-    return let(let(keys, first_of_bin), dense)
+    return let(shingle_keys(text), bins)
 
 
 def packed(values: Column) -> Column:
