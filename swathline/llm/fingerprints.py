@@ -110,17 +110,17 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def successors(keys: DataFrame, bits: int) -> DataFrame:
-    """``k, after`` for distinct numbers ``k``: the next larger one, null for the largest.
+    """``k, after`` for distinct signed numbers ``k`` of ``bits`` bits: the next larger one, null for the largest.
 
-    Windows run within slots of ``2**bits`` numbers; the way from a slot to the next filled one is found in the same way among
-    slots, so no window holds more than ``2**LEVEL_BITS`` rows however the numbers lie.
+    Windows run within slots of ``2**LEVEL_BITS`` numbers; the way from a slot to the next filled one is found in the same way
+    among slots, until their numbers are short. So no window holds more than ``2**LEVEL_BITS`` rows, however the numbers lie.
     """
-    placed = keys.select("k", F.shiftright("k", bits).alias("slot"))
+    if bits <= LEVEL_BITS:
+        return keys.select("k", F.lead("k").over(Window.orderBy("k")).alias("after"))
+    placed = keys.select("k", F.shiftright("k", LEVEL_BITS).alias("slot"))
     inner = placed.select("k", "slot", F.lead("k").over(Window.partitionBy("slot").orderBy("k")).alias("after"))
-    if bits >= 63:
-        return inner.select("k", "after")
     firsts = placed.groupBy("slot").agg(F.min("k").alias("first"))
-    up = successors(firsts.select(F.col("slot").alias("k")), bits + LEVEL_BITS if bits < 48 else 63) if bits < 63 else None
+    up = successors(firsts.select(F.col("slot").alias("k")), bits - LEVEL_BITS)
     ways = up.join(firsts, F.col("after") == F.col("slot")).select(F.col("k").alias("slot"), "first")
     return inner.join(ways, "slot", "left").select("k", F.coalesce("after", "first").alias("after"))
 
@@ -134,7 +134,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     firsts = stored(docs.groupBy("slot").agg(F.min("doc_id").alias("doc_id")))
     heads = docs.select("doc_id", "text").join(firsts, "doc_id").groupBy("slot").agg(F.min("text").alias("next_text"))
     heads = heads.select("slot", "next_text", fingerprint(F.col("next_text")).alias("next_fp"))
-    order = stored(successors(firsts.select(F.col("slot").alias("k")), LEVEL_BITS))
+    order = stored(successors(firsts.select(F.col("slot").alias("k")), 64 - SLOT_BITS))
     lowest = order.agg(F.min("k")).first()[0]
     links = order.select(F.col("k").alias("from"), F.coalesce("after", F.lit(lowest)).alias("slot"))
     borders = heads.join(links, "slot").select(F.col("from").alias("slot"), F.col("next_text").alias("border_text"), F.col("next_fp").alias("border_fp"))

@@ -135,7 +135,7 @@ def test_fingerprints(spark, ids):
     import hashlib
 
     texts = awkward_texts()
-    keys = list(range(10, 10 + len(texts))) if ids is None else sorted(random.Random(1).sample(range(-(2**62), 2**62), len(texts)))
+    keys = list(range(10, 10 + len(texts))) if ids is None else sorted(map(random.Random(1).randrange, [-(2**62)] * len(texts), [2**62] * len(texts)))
     rows = {r["doc_id"]: r for r in fingerprint_table(table(spark, texts, keys)).collect()}
     errors = []
     for k, (i, text) in enumerate(zip(keys, texts, strict=True)):
