@@ -76,10 +76,9 @@ def _(spark, sf):
 @query("F7_gamma_preview", sql(f"SELECT line, sample, channel, {s6('pow(value / peak, 1 / 2.2::DOUBLE) * 255', 'level', 4)} FROM rgb JOIN (SELECT channel, max(value) AS peak FROM rgb GROUP BY 1) USING (channel)", rgb=RGB_SQL))
 def _(spark, sf):
     long = rad.channels(inp.pixels(spark, sf), "dns", RGB)
-    peak = long.groupBy("channel").agg(F.max("value").alias("peak"))
-    return long.join(peak, "channel").select(
-        "line", "sample", "channel", r6(sp.gamma_level(F.col("value"), F.col("peak")), "level", 4)
-    )
+    peaks = long.groupBy("channel").agg(F.max("value").alias("peak")).agg(F.map_from_entries(F.collect_list(F.struct("channel", "peak")))).scalar()
+    peak = F.try_element_at("peaks", F.col("channel"))
+    return long.withColumn("peaks", peaks).select("line", "sample", "channel", r6(sp.gamma_level(F.col("value"), peak), "level", 4))
 
 
 def _ramp2(stops, p="q"):

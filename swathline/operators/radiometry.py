@@ -20,8 +20,10 @@ def average_frame(px_long: DataFrame, keep: list[str], value: str, integer: bool
 
 
 def subtract_dark(px: DataFrame, dark: DataFrame, array: str = "dns", floor_at_zero: bool = True) -> DataFrame:
-    """``array`` minus the dark frame of the sample, saturating at zero. One dark row per sample, joined on sample."""
-    left = px.join(dark, "sample", "left")
+    """``array`` minus the dark frame of the sample, saturating at zero. One dark row per sample of the sensor: the frame
+    enters as one scalar map, so the cube is not shuffled."""
+    frame = dark.agg(F.map_from_entries(F.collect_list(F.struct("sample", "dark")))).scalar()
+    left = px.withColumn("_frame", frame).withColumn("dark", F.try_element_at("_frame", F.col("sample"))).drop("_frame")
     def minus(v: Column, d: Column) -> Column:
         d = F.coalesce(d, F.lit(0))
         return v - (F.least(d, v) if floor_at_zero else d)
@@ -92,7 +94,11 @@ def stretch_preview(px: DataFrame, array: str, bands: list[int], per: list[str]
     per = per or []
     long = channels(px, array, bands)
     levels = percentile_levels(long, [*per, "channel"], "value")
-    joined = long.join(levels, [*per, "channel"])
+    if per:
+        joined = long.join(levels, [*per, "channel"])
+    else:  # a row per channel: no reason to move the pixels
+        table = levels.agg(F.map_from_entries(F.collect_list(F.struct("channel", F.struct("black", "white"))))).scalar()
+        joined = long.withColumn("_l", table).withColumn("_l", F.try_element_at("_l", F.col("channel"))).select("*", "_l.black", "_l.white").drop("_l")
     level = spectral.stretch(F.col("value").cast("double"), F.col("black"), F.col("white"))
     return joined.withColumn("level", level)
 

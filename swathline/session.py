@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _MARKED: set[str] = set()
+_SHIPPED: set[str] = set()
 
 
 def local_session(cores: int | str = 8, app: str = "swathline", **conf: str) -> SparkSession:
@@ -32,6 +37,21 @@ def local_session(cores: int | str = 8, app: str = "swathline", **conf: str) ->
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that a driver can run from any folder."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="swathline-ship-")  # of the driver, which serves the file while it lives
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = Path(folder) / "swathline.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for path in sorted(root.rglob("*.py")):
+                out.write(path, path.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        _SHIPPED.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a folder of our own only where it is unset (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
