@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from swathline.llm.common import stored, table
-from swathline.llm.ngram_join import near_duplicates
+from swathline.llm.ngram_join import SLOTS, near_duplicates
 from swathline.llm.packing import pack
 from swathline.llm.quality import keep_good
 from swathline.llm.toxicity import PREDICT, score_toxicity, train
@@ -33,11 +33,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat a doc_id are one document, of which the row with the smallest text stays. Rows without an id stay.
     """
     groups = near_duplicates(docs, width=5, num=4, den=5)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
+    per_id = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("low"))
+    decided = stored(per_id.where("n > 1 or low <> doc_id").select(F.col("doc_id").alias("id_"), (F.col("low") == F.col("doc_id")).alias("stays_")))
+    # only rows whose id falls in the slot of such an id are shuffled; the table of slots is bounded
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    hit = F.broadcast(decided.select(F.pmod(F.xxhash64("id_"), F.lit(SLOTS)).alias("slot_")).distinct())
+    placed = docs.withColumn("slot_of_id_", F.when(F.col("doc_id").isNotNull(), slot))
+    free = placed.join(hit, F.col("slot_of_id_") == F.col("slot_"), "left_anti").select(*docs.columns)
+    met = placed.join(hit, F.col("slot_of_id_") == F.col("slot_"), "left_semi").join(decided, F.col("doc_id") == F.col("id_"), "left")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    column = "place_among_rows_of_the_id"
-    named = docs.join(keep, "doc_id", "left_semi").withColumn(column, first).where(F.col(column) == 1).drop(column)
-    return named.select(*docs.columns).union(docs.where("doc_id is null"))
+    met = met.withColumn("row_", first).where("stays_ is null or stays_ and row_ = 1").select(*docs.columns)
+    return free.union(met)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ encoded without the word-end mark, the last one of a word with it.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +20,16 @@ from pyspark.sql import functions as F
 from tokenizers.models import BPE
 
 from swathline.llm.common import slices, split_words, text_of
-from swathline.llm.tokens import WORD_BPE, Pieces, default_path, load_tokenizer, once
+from swathline.llm.tokens import WORD_BPE, byte_alphabet, default_path, encode_distinct, load_tokenizer, once
 
 DECODE_TOKENS = 1 << 20
+ENCODE_BYTES = 8 << 20
+WORDS_KEPT = 1 << 17
+# fixed value: the word pattern of the vocabulary file; below it, what it comes to for letters before U+0250
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
+LATIN_END = "\u0250"
+OTHER_NUMBERS = re.compile("[\u00b2\u00b3\u00b9\u00bc\u00bd\u00be]")
 
 
 class ForcedBoundaries:
@@ -43,46 +51,49 @@ class ForcedBoundaries:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.middle = BPE(vocab=vocab, merges=merges)
         self.last = self.tokenizer.model
-        self.known: dict[tuple[str, bool], list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.bytes_as = {b: ch for b, ch in byte_alphabet().items() if chr(b) != ch}
+        steps = spec["pre_tokenizer"].get("pretokenizers", [])
+        self.latin = bool(steps) and steps[0].get("pattern") == {"Regex": PATTERN}
 
     def fragments(self, word: str) -> list[str]:
         """The byte-level word cut between all pairs that no token holds."""
         inside = self.inside
         cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in inside]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
 
-    def fragment_ids(self, fragment: str, ends_word: bool) -> list[int]:
-        key = (fragment, ends_word)
-        found = self.known.get(key)
+    def word_ids(self, word: str) -> bytes:
+        """Packed ids of a byte-level word; short words are kept, and the store starts anew when it is full."""
+        found = self.known.get(word)
         if found is None:
-            found = [t.id for t in (self.last if ends_word else self.middle).tokenize(fragment)]
-            if len(self.known) > 1 << 18:
-                self.known = {}
-            if len(fragment) <= 64:
-                self.known[key] = found
+            *front, tail = self.fragments(word)
+            ids = [t.id for f in front for t in self.middle.tokenize(f)] + [t.id for t in self.last.tokenize(tail)]
+            found = np.array(ids, np.int32).tobytes()
+            if len(word) <= 48:
+                if len(self.known) >= WORDS_KEPT:
+                    self.known = {}
+                self.known[word] = found
         return found
 
-    def word_ids(self, word: str) -> list[int]:
-        *front, tail = self.fragments(word)
-        return [i for f in front for i in self.fragment_ids(f, False)] + self.fragment_ids(tail, True)
-
-    def piece_ids(self, piece: str) -> list[int]:
-        if any(s in piece for s in self.special):  # their strings are taken out before the text is normalized
-            return self.tokenizer.encode(piece, add_special_tokens=False).ids
-        words = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(piece))
-        return [i for word, _ in words for i in self.word_ids(word)]
+    def piece_ids(self, piece: str) -> bytes:
+        if "<|" in piece and any(s in piece for s in self.special):  # their strings are taken out before the text is normalized
+            return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, np.int32).tobytes()
+        lower = piece.lower()
+        if self.latin and piece.isprintable() and (lower.isascii() or max(lower) < LATIN_END and not OTHER_NUMBERS.search(lower)):
+            words = [lower] if lower.isalpha() else LATIN_WORDS.findall(lower)  # the same rules without a call per piece
+            if not lower.isascii():
+                words = [w.encode().decode("latin-1").translate(self.bytes_as) for w in words]
+        else:
+            words = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(piece))]
+        return self.word_ids(words[0]) if len(words) == 1 else b"".join(map(self.word_ids, words))
 
 
 def _encoder(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def make() -> Pieces:
-            forced = ForcedBoundaries(path)
-            return Pieces(lambda pieces: [forced.piece_ids(p) for p in pieces])
-
-        store = once(f"forced {path}", make)
-        for part in slices(batches):
+        forced = once(f"forced {path}", lambda: ForcedBoundaries(path))
+        for part in slices(batches, limit=ENCODE_BYTES):
             offsets, words = split_words(text_of(part))
-            many, ids = store.ids(words)
+            many, ids = encode_distinct(words, forced.piece_ids)
             ends = np.concatenate(([0], np.cumsum(many)))[offsets]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"]

@@ -284,3 +284,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     known = nodes.join(label, "sig", "left").select("sig", F.coalesce("low", "rep").alias("component_id"))
     full = made.where("n > 0").join(known, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.union(made.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+
+
+def sql(width: int, num: int, den: int) -> str:
+    """The same result in DuckDB, by counting shared shingles of all pairs and walking the links."""
+    gram = "array_to_string(words[i:i + {}], ' ')".format(width - 1)
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({lower}, '[^\x20\x09-\x0D]+') AS words FROM documents),
+i AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - {width - 1}, least(len(words), 1)) + 1)) AS i FROM w),
+s AS (SELECT DISTINCT doc_id, {gram} AS gram FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {den} * o >= {num} * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.other) AS component_id
+FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n
+"""

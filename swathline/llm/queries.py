@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from swathline.llm import bpe, licenses, packing, quality, warc
+from swathline.llm import bpe, licenses, ngram_join, packing, quality, warc
 from swathline.llm.common import table
 from swathline.llm.fingerprints import fingerprint_table
 from swathline.llm.ngram_join import near_duplicates
@@ -81,6 +81,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_join.sql(4, 85, 100),
     "op2_warc_zstd": warc.SQL,
     "op5_license_set_join": licenses.SQL,
     "op9_quality_cascade": quality.SQL,

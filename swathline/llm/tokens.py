@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,31 +38,18 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Pieces:
-    """Ids of text pieces; short pieces are kept, and the store starts anew when it is full."""
-
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], room: int = 1 << 18, longest: int = 64) -> None:
-        self.encode, self.room, self.longest = encode, room, longest
-        self.known: dict[str, list[int]] = {}
-
-    def ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The number of ids of each piece, and the ids of all in order."""
-        if not len(pieces):
-            return np.zeros(0, np.int64), np.zeros(0, np.int32)
-        coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) > self.room:
-            self.known = {}
-        missing = [p for p in distinct if p not in self.known]
-        made = dict(zip(missing, self.encode(missing), strict=True))
-        each = [made[p] if p in made else self.known[p] for p in distinct]
-        self.known.update((p, v) for p, v in made.items() if len(p) <= self.longest)
-        lengths = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.fromiter(chain.from_iterable(each), np.int32, int(lengths.sum()))
-        at = coded.indices.to_numpy()
-        many = lengths[at]
-        source = (np.cumsum(lengths) - lengths)[at] - (np.cumsum(many) - many)
-        return many, flat[np.repeat(source, many) + np.arange(int(many.sum()))]
+def encode_distinct(pieces: pa.Array, encode: Callable[[str], bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of ids of each piece, and the ids of all in order; ``encode`` gives packed 32-bit ids, once per distinct piece."""
+    if not len(pieces):
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    coded = pieces.dictionary_encode()
+    each = [encode(p) for p in coded.dictionary.to_pylist()]
+    lengths = np.fromiter(map(len, each), np.int64, len(each)) // 4
+    flat = np.frombuffer(b"".join(each), np.int32)
+    at = coded.indices.to_numpy()
+    many = lengths[at]
+    source = (np.cumsum(lengths) - lengths)[at] - (np.cumsum(many) - many)
+    return many, flat[np.repeat(source, many) + np.arange(int(many.sum()))]
 
 
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
