@@ -229,6 +229,17 @@ def _first_root(c2, c1, c0, lo, hi):
     return np.where(np.isfinite(best), best, np.nan)
 
 
+def _surface(heights, x, y):
+    """Bilinear heights at rows x and columns y of a tile; positions on its rim count to the cells inside."""
+    import numpy as np
+
+    i = np.clip(np.floor(x).astype(int), 0, heights.shape[0] - 2)
+    j = np.clip(np.floor(y).astype(int), 0, heights.shape[1] - 2)
+    a, b = x - i, y - j
+    near = (1 - b) * heights[i, j] + b * heights[i, j + 1]
+    return (1 - a) * near + a * ((1 - b) * heights[i + 1, j] + b * heights[i + 1, j + 1])
+
+
 def project_to_terrain(
     ray_table: DataFrame, dtm: DataFrame, keys: list[str], line: str = "line", tile: int = TILE, block: int = 256,
 ) -> DataFrame:
@@ -237,7 +248,8 @@ def project_to_terrain(
     Rays and terrain are in terrain coordinates (x = row, y = column, z). A ray is sent to the tiles its ground track
     can cross between the highest and the lowest terrain; the group key also holds a block of lines, so a tile below
     many rays is worked on by many tasks. Only tiles that a block needs are copied to it. The nearest hit over all
-    tiles of a ray wins. ``keys`` identify a ray.
+    tiles of a ray wins. ``keys`` identify a ray. A level or rising ray from
+    below the surface sees nothing.
     """
     span = dtm.where(spectral.valid_height(F.col("z"))).agg(
         F.struct(F.max("z").alias("hi"), F.min("z").alias("lo"), F.max("i").alias("i"), F.max("j").alias("j"))
@@ -286,6 +298,11 @@ def project_to_terrain(
         o, d = r[["o_0", "o_1", "o_2"]].to_numpy(), r[["d_0", "d_1", "d_2"]].to_numpy()
         s = _first_hits(heights, i0, j0, o, d, r["_s0"].to_numpy(), r["_s1"].to_numpy())
         out = r[keys].assign(s=s, pi=o[:, 0] + s * d[:, 0], pj=o[:, 1] + s * d[:, 1], z=o[:, 2] + s * d[:, 2])
+        # a level or rising ray that comes through the ground from below started under it: its first hit is none
+        up = np.flatnonzero((d[:, 2] >= 0) & ~np.isnan(s))
+        just_before = o[up] + (s[up] - 1e-6)[:, None] * d[up]
+        buried = up[just_before[:, 2] < _surface(heights, just_before[:, 0] - i0, just_before[:, 1] - j0)]
+        out.iloc[buried, [out.columns.get_loc(c) for c in ("pi", "pj", "z")]] = np.nan
         return out[~np.isnan(s)][names]
 
     key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ray_table.select(*keys).schema.fields)
