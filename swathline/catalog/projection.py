@@ -103,6 +103,27 @@ def _(spark, sf):
     return hits.select("line", "sample", r6("pi"), r6("pj"), r6("z"))
 
 
+RISING = {
+    "ce": "SELECT p_partkey // 50 AS i, p_partkey % 50 AS j FROM part",
+    "ra": "SELECT p_partkey AS line, 0.5 + p_partkey % 7 * 0.1::DOUBLE AS a, p_partkey % 40 + 0.25::DOUBLE AS b, p_partkey % 11 * 3 + 2.055::DOUBLE AS c, p_partkey % 4 * 0.5::DOUBLE AS r FROM part",
+    "hi": "SELECT line, a + (c - 3 * a) / (3 - r) AS pi, b AS pj FROM ra WHERE c >= 3 * a",
+    "ok": "SELECT line, pi, pj FROM hi JOIN ce ON i IN (floor(pi), floor(pi) + 1) AND j IN (floor(pj), floor(pj) + 1) GROUP BY ALL HAVING count(*) = 4",
+}
+
+
+@query("P4_project_to_terrain_rising", sql(f"SELECT ra.line, {s6('pi')}, {s6('pj')}, {s6('3 * pi', 'z')} FROM ra LEFT JOIN ok ON ra.line = ok.line", **RISING))
+def _(spark, sf):
+    """Level and rising rays towards an inclined plane, some from below it."""
+    k = F.col("p_partkey")
+    part = inp.table(spark, sf, "part")
+    plane = part.select(F.floor(k / 50).alias("i"), (k % 50).alias("j"), (F.floor(k / 50) * 3.0).alias("z"))
+    start = [0.5 + k % 7 * 0.1, k % 40 + 0.25, k % 11 * 3 + 2.055]
+    ray = part.select(k.alias("line"), F.lit(0).alias("sample"), *[c.alias(f"o_{n}") for n, c in enumerate(start)],
+                      F.lit(1.0).alias("d_0"), F.lit(0.0).alias("d_1"), (k % 4 * 0.5).alias("d_2"))
+    hits = op.project_to_terrain(ray, plane, ["line", "sample"], tile=16)
+    return hits.select("line", r6("pi"), r6("pj"), r6("z"))
+
+
 @query("P4_project_to_terrain")
 def _(spark, sf):
     """Sloped terrain with voids, seen from a flight 1000 above its lowest point."""
