@@ -23,7 +23,7 @@ from swathline.llm.common import slices, split_words, text_of
 from swathline.llm.tokens import WORD_BPE, byte_alphabet, default_path, encode_distinct, load_tokenizer, once
 
 DECODE_TOKENS = 1 << 20
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 WORDS_KEPT = 1 << 17
 # fixed value: the word pattern of the vocabulary file; below it, what it comes to for letters before U+0250
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from swathline.session import cut_lineage
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 """Text handled at once inside a task; a single longer text makes a slice of its own."""
 
 
@@ -37,6 +37,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch
+        pa.default_memory_pool().release_unused()  # workers live on between tasks: give back what the batch took
 
 
 def text_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
