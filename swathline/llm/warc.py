@@ -262,9 +262,11 @@ def _reader(with_payload: bool):
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records of the archives named in ``path`` (with their number in ``records``), one task for some archives."""
+    """The records of the archives named in ``path`` (with their number in ``records``), about one archive per task: the number
+    of tasks is given, as their rows are too small for Spark to tell how much work they are."""
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + (", payload binary" if with_payload else "")
-    return archives.select("path", "records").repartition("path").mapInArrow(_reader(with_payload), schema)
+    names = archives.select("path", "records")
+    return names.repartitionByRange(max(1, names.count()), "path").mapInArrow(_reader(with_payload), schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
