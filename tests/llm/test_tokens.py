@@ -109,11 +109,10 @@ def test_plan_uses_every_length_once():
     assert used == counts
 
 
-def halves(text):
-    return sorted({0, len(text) // 2, len(text) // 2 + 1}) if len(text) > 1 else [0]
-
-
 def test_section_counts(spark):
+    def halves(text):
+        return sorted({0, len(text) // 2, len(text) // 2 + 1}) if len(text) > 1 else [0]
+
     tokenizer = library(tokens.BYTE_BPE)
     for sections in (lines, halves):
         got = defaultdict(dict)
