@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from swathline.llm.common import stored, table
+from swathline.llm.common import bounded_batches, stored, table
 from swathline.llm.ngram_join import SLOTS, near_duplicates
 from swathline.llm.packing import pack
 from swathline.llm.quality import keep_good
@@ -24,6 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
+    bounded_batches(spark)
     return keep_good(docs)
 
 
@@ -32,6 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that repeat a doc_id are one document, of which the row with the smallest text stays. Rows without an id stay.
     """
+    bounded_batches(spark)
     groups = near_duplicates(docs, width=5, num=4, den=5)
     per_id = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("low"))
     decided = stored(per_id.where("n > 1 or low <> doc_id").select(F.col("doc_id").alias("id_"), (F.col("low") == F.col("doc_id")).alias("stays_")))
@@ -48,6 +50,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequence and offset."""
+    bounded_batches(spark)
     return pack(docs)
 
 

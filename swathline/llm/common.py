@@ -16,7 +16,16 @@ SLICE_BYTES = 2 << 20
 """Text handled at once inside a task; a single longer text makes a slice of its own."""
 
 
+BATCH_BYTES = "4m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session are cut at 4 MB of data: by rows alone, 10,000 long texts would be one batch on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
