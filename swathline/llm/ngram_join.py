@@ -66,7 +66,7 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _prefixes(width: int, num: int, den: int, common: np.ndarray, counts: np.ndarray):
-    """One row per document: its size, set signature, chosen match count and prefix in global order."""
+    """One row per document: its size, set signature, chosen match count, prefix in global order and the prefix's last key."""
     by_token = np.argsort(common)
     sorted_common = common[by_token]
 
@@ -84,13 +84,14 @@ def _prefixes(width: int, num: int, den: int, common: np.ndarray, counts: np.nda
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            ids, sizes, sigs, matches, prefixes = part.column("doc_id"), [], [], [], []
+            ids, sizes, sigs, matches, ends, prefixes = part.column("doc_id"), [], [], [], [], []
             for tokens in shingle_sets(text_of(part), width):
                 n = len(tokens)
                 sizes.append(n)
                 if not n:
                     sigs.append(0)
                     matches.append(0)
+                    ends.append(-1)
                     prefixes.append(np.zeros(0, np.int64))
                     continue
                 sigs.append(_signature(tokens))
@@ -101,13 +102,14 @@ def _prefixes(width: int, num: int, den: int, common: np.ndarray, counts: np.nda
                 met = np.cumsum(cost)[base : base + top]  # postings met with l = 1, 2, ...
                 l = 1 + int(np.argmin(met + 8 * met / np.arange(1, top + 1) ** 2))
                 matches.append(l)
+                ends.append(int(keys[base + l - 1]))
                 prefixes.append(keys[: base + l])
             lengths = np.fromiter(map(len, prefixes), np.int64, len(prefixes))
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(matches, pa.int32()), lists],
-                ["doc_id", "n", "sig", "l", "prefix"],
+                [ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(matches, pa.int32()), pa.array(ends, pa.int64()), lists],
+                ["doc_id", "n", "sig", "l", "end", "prefix"],
             )
 
     return prefix
@@ -200,34 +202,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.select("a", "b", shared.alias("o"), (F.size("ta") + F.size("tb")).alias("s")).where(f"o * {num + den} >= s * {num}").select("a", "b")
 
 
-def _still_open(placed: DataFrame, num: int, den: int) -> DataFrame:
+def _still_open(placed: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Places of shingles that two components or more have, of nodes that may still link with another component.
 
-    A shingle met in one component only can't be shared across. ``most`` is the overlap left to a node without those of its
-    prefix; a node with fewer open places than its match count can't reach any other component.
+    A shingle met in one component only can't be shared across. Of a pair, all shingles of the prefix that ends first and
+    are shared lie in the other prefix too, so they are open: ``most``, the open places and what is behind the prefix, bounds the
+    overlap, and a node with fewer places than its match count links with none whose prefix ends at or after its own. The
+    prefix that ends later may share more than its places show, and is not bounded: such a node stays (``leads`` is false)
+    where a leading node's prefix ends no later. No row of a shingle in the prefix that leads a link is ever dropped.
     """
-    placed = placed.select("token", "sig", "n", "pos", "l", "root")
-    apart = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    open_ = stored(placed.join(apart, "token"))
-    most = F.ceil(F.first("n") * num / den) - F.first("l") + F.count("*")
-    able = open_.groupBy("sig").agg(most.cast("long").alias("most"), F.count("*").alias("places"), F.first("l").alias("least"))
-    return open_.join(able.where("places >= least").select("sig", "most"), "sig")
+    for _ in range(2):
+        known = "leads" in placed.columns
+        from_ = F.min(F.when(F.col("leads"), F.col("end"))) if known else F.lit(None).cast("long")
+        apart = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), from_.alias("from")).where("lo < hi")
+        open_ = placed.join(apart.select("token", "from"), "token")
+        if known:
+            open_ = open_.where("leads or end >= from")
+        open_ = stored(open_.select("token", "sig", "n", "pos", "l", "root"))
+        most = F.ceil(F.first("n") * num / den) - F.first("l") + F.count("*")
+        able = open_.groupBy("sig").agg(most.cast("long").alias("most"), (F.count("*") >= F.first("l")).alias("leads"))
+        placed = open_.join(able.join(nodes.select("sig", "end"), "sig"), "sig")
+    return stored(placed)
 
 
 def _candidates(open_: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of nodes in different components that share enough open shingles of their prefixes.
 
-    A pair meets at its first shared shingle, which lies in the shortest prefix of both. A row whose open shingle before
-    is the same on both sides isn't the first and is dropped in the join. Pairs that are asked for more than one match are
-    then held against their longer prefixes.
+    Side a is the one whose prefix ends first. A pair meets at its first shared shingle, which lies in the shortest prefix of
+    both. A row whose open shingle before is the same on both sides isn't the first and is dropped in the join. Pairs that
+    are asked for more than one match are then held against their longer prefixes.
     """
     before = F.lag("token").over(Window.partitionBy("sig").orderBy("pos")).alias("before")
-    columns = ["sig", "n", "pos", "l", "root", "most", "before"]
-    short = open_.select("token", *columns[:-1], before).where(f"pos <= n - ceil(n * {num} / {den})")
-    one = short.select("token", *[F.col(c).alias(f"{c}a") for c in columns])
+    columns = ["sig", "n", "pos", "l", "root", "end", "before"]
+    short = open_.select("token", *columns[:-1], "most", "leads", before).where(f"pos <= n - ceil(n * {num} / {den})")
+    one = short.where("leads").select("token", F.col("most").alias("mosta"), *[F.col(c).alias(f"{c}a") for c in columns])
     two = short.select("token", *[F.col(c).alias(f"{c}b") for c in columns])
-    found = one.join(two, "token").where("siga < sigb and roota <> rootb and (beforea is null or beforeb is null or beforea <> beforeb)")
-    found = found.where(_close(num, den, "a", "b") & _enough(num, den, "a", "b") & _enough(num, den, "a", "b", F.least("mosta", "mostb")))
+    found = one.join(two, "token").where("(enda < endb or enda = endb and siga < sigb) and roota <> rootb")
+    found = found.where("beforea is null or beforeb is null or beforea <> beforeb")
+    found = found.where(_close(num, den, "a", "b") & _enough(num, den, "a", "b") & _enough(num, den, "a", "b", F.col("mosta")))
     pairs = stored(found.select(F.col("siga").alias("a"), F.col("sigb").alias("b"), "na", "nb", F.least("la", "lb").alias("need")).distinct())
 
     lists = stored(open_.where("l > 1").groupBy("sig").agg(F.collect_list(F.struct("token", "pos")).alias("places")))  # parts of one prefix
@@ -251,8 +263,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     common, counts = common_shingles(docs, width)
-    made = stored(docs.mapInArrow(_prefixes(width, num, den, common, counts), "doc_id long, n long, sig long, l int, prefix array<long>"))
-    nodes = stored(made.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")))
+    made = stored(docs.mapInArrow(_prefixes(width, num, den, common, counts), "doc_id long, n long, sig long, l int, end long, prefix array<long>"))
+    nodes = stored(made.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("end").alias("end")))
 
     postings = made.where("n > 0").select("sig", "n", "l", F.posexplode("prefix").alias("pos", "token")).select("token", "pos", "sig", "n", "l")
     shared = stored(
@@ -273,7 +285,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     placed = shared.select("token", "sig", "n", "pos", "l").join(roots, shared.sig == roots.node, "left").select(
         "token", "sig", "n", "pos", "l", F.coalesce("root", "sig").alias("root")
     )
-    open_ = stored(_still_open(_still_open(placed, num, den), num, den))
+    open_ = _still_open(placed, nodes, num, den)
     pairs = _candidates(open_, num, den)
     more = _verified(pairs, _needed_sets(docs, nodes, pairs, width), num, den)
 

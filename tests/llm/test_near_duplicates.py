@@ -2,6 +2,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from swathline.llm import ngram_join
@@ -66,6 +68,61 @@ def test_near_copies_with_a_common_passage(spark, monkeypatch):
     assert result(near_duplicates(df, 4, 85, 100)) == want
 
 
+def match_counts(monkeypatch, choose):
+    """Prefixes with the match count that ``choose`` gives for a set's size, in the order of the shingles' hashes."""
+    def prefixes(width, num, den, common, counts):
+        def prefix(batches):
+            for batch in batches:
+                rows = []
+                for i, tokens in zip(batch.column("doc_id").to_pylist(), ngram_join.shingle_sets(ngram_join.text_of(batch), width), strict=True):
+                    keys, n = sorted((tokens >> np.uint64(2)).astype(np.int64).tolist()), len(tokens)
+                    need = -(-num * n // den)
+                    l = min(choose(n), need)
+                    prefix = keys[: n - need + l]
+                    rows.append({"doc_id": i, "n": n, "sig": ngram_join._signature(tokens), "l": l, "end": prefix[-1], "prefix": prefix})
+                types = [("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("l", pa.int32()), ("end", pa.int64()), ("prefix", pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([t for t in types if t[0] in made]))
+
+        return prefix
+
+    made = ["doc_id", "n", "sig", "l", "end", "prefix"]
+    monkeypatch.setattr(ngram_join, "_prefixes", prefixes)
+
+
+def by_hash(words):
+    """Words in the order that their one-word shingles have."""
+    texts = pa.array(list(words))
+    hashes = [int(t[0] >> np.uint64(2)) for t in ngram_join.shingle_sets(texts, 1)]
+    return [w for _, w in sorted(zip(hashes, words, strict=True))]
+
+
+@pytest.mark.parametrize("choose", [{40: 1, 43: 1, 50: 1}, {40: 1, 43: 5, 50: 3}, {40: 4, 43: 2, 50: 7}])
+def test_shingles_behind_the_prefix_of_one_side(spark, monkeypatch, choose):
+    words = by_hash([f"w{k}" for k in range(50)])  # the seven that only x has come first
+    z, y, x = words[7:47], words[7:], words
+    rows = [(0, " ".join(z)), (1, " ".join(y)), (2, " ".join(x))]
+    want = brute(rows, 1, 85, 100)
+    assert {c for _, c in want.values()} == {0}
+    match_counts(monkeypatch, choose.get)
+    assert result(near_duplicates(table(spark, [t for _, t in rows], range(3)), 1, 85, 100)) == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nested_sets_with_differing_match_counts(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    rows = []
+    for group in range(25):
+        words = by_hash([f"g{group}w{k}" for k in range(rng.randrange(30, 60))])
+        for _ in range(4):  # front, middle and back parts, each inside another
+            a, b = rng.randrange(0, 5), rng.randrange(0, 5)
+            rows.append((len(rows), " ".join(words)))
+            words = words[a : len(words) - b]
+        rows.append((len(rows), " ".join(rng.sample(words, len(words) - 3) + [f"own{group}"])))
+    want = brute(rows, 1, 85, 100)
+    match_counts(monkeypatch, lambda n: 1 + (n * 7 + seed) % 8)
+    assert result(near_duplicates(table(spark, [t for _, t in rows], range(len(rows))), 1, 85, 100)) == want
+
+
 def test_rows_that_share_ids_and_empty_table(spark):
     rows = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in near_duplicates(repeated(spark), 4, 85, 100).collect())
     assert rows == [(0, 1, 0), (0, 1, 0), (1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 0, 2)]
