@@ -172,14 +172,32 @@ def _sets(width: int):
     return sets
 
 
+def _signed(width: int):
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            texts = text_of(part)
+            yield pa.RecordBatch.from_arrays([pa.array([_signature(t) for t in shingle_sets(texts, width)], pa.int64()), texts], ["sig", "text"])
+
+    return signed
+
+
 def _needed_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The sets of all nodes in ``pairs``. Only texts whose id falls in a hit slot are shuffled; there are ``SLOTS`` at most."""
+    """The sets of all nodes in ``pairs``. Only texts whose id falls in a hit slot are shuffled; there are ``SLOTS`` at most.
+
+    Nodes met under no id are found by the signature of their text, among the rows without an id.
+    """
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    own = F.pmod(F.xxhash64("sig"), F.lit(SLOTS))
     sigs = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
     wanted = stored(nodes.join(sigs, "sig").select(F.col("rep").alias("doc_id"), "sig"))
     hit = wanted.select(slot.alias("slot")).distinct()
     near = docs.withColumn("slot", slot).join(F.broadcast(hit), "slot", "left_semi").select("doc_id", "text")
-    return stored(near.join(wanted, "doc_id").select("sig", "text").mapInArrow(_sets(width), "sig long, tokens array<long>"))
+    texts = near.join(wanted, "doc_id").select("sig", "text")
+    nameless = stored(wanted.where("doc_id is null").select("sig"))
+    signed = docs.where("doc_id is null").select("text").mapInArrow(_signed(width), "sig long, text string").withColumn("slot", own)
+    signed = signed.join(F.broadcast(nameless.select(own.alias("slot")).distinct()), "slot", "left_semi")
+    texts = texts.union(signed.dropDuplicates(["sig"]).join(nameless, "sig").select("sig", "text"))
+    return stored(texts.mapInArrow(_sets(width), "sig long, tokens array<long>"))
 
 
 def _close(num: int, den: int, a: str, b: str):
@@ -258,8 +276,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
 
     Sets are distinct ``width``-word shingles of the whole text, lower case in A-Z, words between ASCII white space. A text with
     fewer words is one shingle. A null, empty or blank text has an empty set and is linked with nothing. The component is
-    the smallest doc_id reachable by links. Rows that share a doc_id each get a row; a null doc_id has a null component
-    unless its set occurs under another id. Columns other than doc_id and text are not read.
+    the smallest doc_id reachable by links, over rows without an id too. Rows that share a doc_id each get a row; a null
+    doc_id has a null component unless an id is reachable. Columns other than doc_id and text are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     common, counts = common_shingles(docs, width)

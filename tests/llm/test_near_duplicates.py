@@ -129,6 +129,14 @@ def test_rows_that_share_ids_and_empty_table(spark):
     assert near_duplicates(table(spark, [], []), 4, 85, 100).count() == 0
 
 
+def test_links_through_rows_without_an_id(spark):
+    first, middle, last = (" ".join(f"w{k}" for k in range(a, a + 40)) for a in (0, 3, 6))
+    assert {i: c for i, (_, c) in brute([(0, first), (1, last)], 1, 85, 100).items()} == {0: 0, 1: 1}
+    df = table(spark, [first, middle, middle, last], [4, None, None, 9])
+    got = sorted((r["doc_id"] or 0, r["component_id"]) for r in near_duplicates(df, 1, 85, 100).collect())
+    assert got == [(0, 4), (0, 4), (4, 4), (9, 4)]
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
