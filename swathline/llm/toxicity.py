@@ -46,6 +46,7 @@ EDIT, DROP, SQUEEZE = -1.0, -6.0, -0.5  # log weights of a substitution, of a dr
 _EDGE = re.compile(r"^[^\w@$!|+(€]+|[^\w]+$")
 _SIGNS = re.compile(r"^[@$!|+(€]{2,}")
 _ODD = re.compile(r"[0-9@$!|+(€._*~\-'/\\]|(.)\1\1")
+_STRETCH = re.compile(r"(.)\1{3,}", re.S)
 _DIGITS = re.compile(r"[0-9.,:%/\-+]+")
 
 _CODE = np.zeros(256, np.uint8)
@@ -174,10 +175,20 @@ def _spelled(offsets: np.ndarray, words: pa.Array) -> list[tuple[int, str]]:
 
 
 def _windows(run: str, widest: int = 16) -> list[str]:
-    """A spelled run may hold plain one-letter words at its ends: all its parts of up to ``widest`` letters, for short runs."""
-    if len(run) <= widest:
-        return list(dict.fromkeys(run[a:b] for a in range(len(run) - 2) for b in range(a + 3, len(run) + 1)))
-    return [run[a : a + widest] for a in range(0, len(run), widest // 2)]
+    """A spelled run may hold other one-letter words around a word: its parts of 3 to ``widest`` letters from every start.
+
+    Signs that stand for no letter are left out, repetitions beyond the third change no reading, and a part's length is counted
+    in different letters in a row, so that the parts grow linearly with the run.
+    """
+    run = _STRETCH.sub(r"\1\1\1", "".join(c for c in run if c.isalpha() or c in LEET))
+    change = np.cumsum([0] + [x != y for x, y in zip(run, run[1:])]).tolist()
+    found: dict[str, None] = {}
+    for a in range(len(run) - 2):
+        for b in range(a + 3, len(run) + 1):
+            if b - a > widest and change[b - 1] - change[a] >= widest:
+                break
+            found[run[a:b]] = None
+    return list(found)
 
 
 def _scorer(model: Model, schema_names: list[str], out: str):
@@ -186,6 +197,7 @@ def _scorer(model: Model, schema_names: list[str], out: str):
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = _Words(word_score)
+        widest = max(16, *(len(f) for f in model.rules), 0)
         for part in slices(batches):
             offsets, words = split_words(text_of(part))
             best = np.zeros(part.num_rows)
@@ -195,7 +207,7 @@ def _scorer(model: Model, schema_names: list[str], out: str):
                 full = np.flatnonzero(np.diff(offsets))
                 best[full] = np.maximum.reduceat(each, offsets[:-1][full])
                 for row, run in _spelled(offsets, words):
-                    best[row] = max(best[row], *words_of.of(_windows(run)))
+                    best[row] = max(best[row], *words_of.of(_windows(run, widest)), 0.0)
             value = pa.array(np.where(best > 0, np.maximum(best, model.rest), model.rest))
             yield pa.RecordBatch.from_arrays([part.column(c) for c in schema_names] + [value], [*schema_names, out])
 

@@ -3,6 +3,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 from swathline.llm import licenses, quality, toxicity
@@ -112,6 +113,28 @@ def test_toxicity_of_disguised_words(spark):
     assert all(0 <= r["score"] <= 1 for r in rows.values())
 
 
+def flat_model():
+    """No character is likelier than another; one word is toxic, and so is the beginning of another."""
+    return toxicity.Model(np.full((toxicity.SYMBOLS,) * 3, -3.3, np.float32), {"moron$": 0.95, "stonk": 0.9}, 0.1)
+
+
+def scores(spark, texts):
+    docs = table(spark, texts, range(len(texts)))
+    return {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, flat_model()).collect()}
+
+
+def test_words_in_long_spelled_runs(spark):
+    other = "abcdefghijklmnpqrstuvwxyz" * 2
+    texts = [" ".join(other[:k] + word + other[k:40]) for word in ("moron", "m0r0n", "mmmmoooorrrroooonnnn", "stonkart") for k in range(41)]
+    texts += ["m . o . r . o . n " + "a b c " * 30, "- - - - -", " ".join(other), "1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8 9"]
+    got = scores(spark, texts)
+    assert [texts[i] for i in range(len(texts) - 3) if got[i] < 0.9] == []
+    assert [got[len(texts) - k] for k in (1, 2, 3)] == [0.1] * 3
+    assert len(toxicity._windows("ab" * 5000)) <= 40  # few different ones
+    rng = np.random.default_rng(1)
+    assert len(toxicity._windows("".join(rng.choice(list(other), 5000)))) < 20 * 5000
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.toxicity(table(spark), none).collect()} == {0.0}
