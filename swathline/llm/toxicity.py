@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,7 @@ _EDGE = re.compile(r"^[^\w@$!|+(€]+|[^\w]+$")
 _SIGNS = re.compile(r"^[@$!|+(€]{2,}")
 _ODD = re.compile(r"[0-9@$!|+(€._*~\-'/\\]|(.)\1\1")
 _STRETCH = re.compile(r"(.)\1{3,}", re.S)
+_SEPARATORS, _MARKS, _PLAIN = re.compile(r"(?:[^\w@$!|+(€]|_)+"), re.compile(r"[\W_]+"), re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"[0-9.,:%/\-+]+")
 
 _CODE = np.zeros(256, np.uint8)
@@ -118,16 +120,27 @@ def readings(token: str, logp: np.ndarray, keep: int = READINGS) -> list[str]:
 
 
 def restore(token: str, logp: np.ndarray) -> list[str]:
-    """Lower-case readings of a token between white space; a plain word has just one, bare signs or numbers none."""
+    """Lower-case readings of a token between white space; a plain word has just one, bare signs or numbers none.
+
+    Besides the whole token, the pieces between separators are read, with signs that may be letters kept and with them as
+    separators too, and words spelled by pieces of one letter.
+    """
     word = _SIGNS.sub("", _EDGE.sub("", token.lower()))
     if not word or _DIGITS.fullmatch(word):
         return []
-    if not _ODD.search(word):
-        return [word]
-    if len(word) > 48:  # no spelled-out word: its parts between signs are plain words
-        return [p for p in re.split(r"[\W\d_]+", word) if p]
-    parts = [p for p in re.split(r"[\W\d_]+", word) if len(p) > 2]
-    return list(dict.fromkeys(readings(word, logp) + parts))
+    word = _STRETCH.sub(r"\1\1\1", word)
+    kept, split = _SEPARATORS.split(word), _MARKS.split(word)
+    parts = [word, *kept, *split]
+    for one, run in groupby(kept, lambda p: len(p) == 1):
+        joined = "".join(run) if one else ""
+        parts += _windows(joined) if len(joined) > 2 else []
+    found: dict[str, None] = {}
+    for part in dict.fromkeys(parts):
+        if not any(map(str.isalpha, part)):
+            continue
+        found.update(dict.fromkeys([part] if _PLAIN.fullmatch(part) and not _ODD.search(part) else readings(part, logp)))
+    found.update(dict.fromkeys(p for p in re.split(r"[\W\d_]+", word) if len(p) > 2))
+    return list(found)
 
 
 def features(word: str) -> list[str]:

@@ -135,6 +135,14 @@ def test_words_in_long_spelled_runs(spark):
     assert len(toxicity._windows("".join(rng.choice(list(other), 5000)))) < 20 * 5000
 
 
+def test_words_in_long_and_glued_tokens(spark):
+    texts = ["mo" + "r" * 60 + "on", "word-" * 12 + "m0r0n", "you_m0r0n", "you/m0r0n", "great,moron", "great!m0r0n!!", "great,m.o.r.o.n", "(m0r0n)", "http://a.example/" + "x/" * 400 + "moron?q=1"]
+    clean = ["great,river", "word-" * 12 + "r1v3r", "1,2,3,4", "x" * 20_000, "-" * 300, "m-o-r-e", "12_34"]
+    got = scores(spark, texts + clean)
+    assert [t for i, t in enumerate(texts) if got[i] < 0.9] == []
+    assert [t for i, t in enumerate(clean, len(texts)) if got[i] != 0.1] == []
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.toxicity(table(spark), none).collect()} == {0.0}
