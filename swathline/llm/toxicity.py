@@ -1,7 +1,7 @@
 """Toxicity scores of text restored from leetspeak, spacing and repetition.
 
 A token with digits or signs in place of letters, with stretched letters, or spelled letter by letter is a lattice of
-readings. A beam Viterbi search takes the likeliest readings under a character trigram model of the whole corpus, weighed
+readings. A Viterbi search takes the likeliest readings under a character trigram model of the whole corpus, weighed
 with the cost of each edit (the noisy channel). Restored words are then scored by rules learned from labelled documents.
 
 A rule is a word or a word beginning that hardly occurs in clean documents and explains enough toxic ones on its own. A
@@ -35,7 +35,7 @@ LEAST_CREDIT = 1.0
 PREDICT = 0.7
 SYMBOLS = 28  # a boundary, a to z, any other letter
 READINGS = 6
-BEAM = 24
+_PRIME = (1 << 61) - 1
 
 # fixed values: letters that a sign or digit may stand for
 LEET = {
@@ -93,8 +93,12 @@ def _runs(token: str) -> list[tuple[str, int]]:
 
 
 def readings(token: str, logp: np.ndarray, keep: int = READINGS) -> list[str]:
-    """The likeliest readings of a lower-case token, best first."""
-    beam: list[tuple[float, str, int, int]] = [(0.0, "", 0, 0)]
+    """The likeliest readings of a lower-case token, best first.
+
+    What follows depends on the last two symbols only, so the ``keep`` best texts for each pair of them make the search
+    exact. A text is told by its hash and held as a path of pieces, so that the effort is linear in the token.
+    """
+    live: dict[tuple[int, int], dict[int, tuple[float, tuple | None]]] = {(0, 0): {0: (0.0, None)}}
     for ch, many in _runs(token):
         options: list[tuple[str, float]] = []
         letters = ch if ch.isalpha() else LEET.get(ch, "")
@@ -105,18 +109,30 @@ def readings(token: str, logp: np.ndarray, keep: int = READINGS) -> list[str]:
                 options.append((letter * 2, cost + SQUEEZE * (many > 2)))
         if not ch.isalpha():
             options.append(("", DROP if letters else 0.0))
-        grown: dict[str, tuple[float, str, int, int]] = {}
-        for score, text, a, b in beam:
-            for letters, weight in options:
-                s, x, y = score + weight, a, b
+        grown: dict[tuple[int, int], dict[int, tuple[float, tuple | None]]] = {}
+        for (a, b), held in live.items():
+            for letters, gain in options:
+                x, y = a, b
                 for c in map(symbol, letters):
-                    s, x, y = s + float(logp[x, y, c]), y, c
-                found = grown.get(text + letters)
-                if found is None or found[0] < s:
-                    grown[text + letters] = (s, text + letters, x, y)
-        beam = sorted(grown.values(), reverse=True)[:BEAM]
-    done = sorted(((s + float(logp[a, b, 0]), t) for s, t, a, b in beam if t), reverse=True)
-    return [t for _, t in done[:keep]]
+                    gain, x, y = gain + float(logp[x, y, c]), y, c
+                into = grown.setdefault((x, y), {})
+                for key, (score, path) in held.items():
+                    for c in letters:
+                        key = (key * 1_000_003 + ord(c)) % _PRIME
+                    if key not in into or into[key][0] < score + gain:
+                        into[key] = (score + gain, (path, letters) if letters else path)
+        live = {s: t if len(t) <= keep else dict(sorted(t.items(), key=lambda i: (-i[1][0], i[0]))[:keep]) for s, t in grown.items()}
+    done = [(score + float(logp[a, b, 0]), path) for (a, b), held in live.items() for score, path in held.values() if path]
+    best = sorted(done, key=lambda d: -d[0])[:keep]
+    return [_text(path) for _, path in best]
+
+
+def _text(path: tuple | None) -> str:
+    parts = []
+    while path:
+        path, letters = path
+        parts.append(letters)
+    return "".join(reversed(parts))
 
 
 def restore(token: str, logp: np.ndarray) -> list[str]:

@@ -143,6 +143,27 @@ def test_words_in_long_and_glued_tokens(spark):
     assert [t for i, t in enumerate(clean, len(texts)) if got[i] != 0.1] == []
 
 
+def test_readings_against_all_readings():
+    rng = np.random.default_rng(5)
+    for token in ("1!1|1!1", "aabbccddee", "m00rr11nn", "5t|_|p1d", "1l1l1l", "!!||11"):
+        logp = np.log(rng.dirichlet(np.full(toxicity.SYMBOLS, 0.3), (toxicity.SYMBOLS, toxicity.SYMBOLS)) + 1e-9)
+        scored = {"": (0.0, 0, 0)}
+        for ch, many in toxicity._runs(token):
+            letters, cost = (ch, 0.0) if ch.isalpha() else (toxicity.LEET.get(ch, ""), toxicity.EDIT)
+            options = [(c * k, cost + toxicity.SQUEEZE * (many > k or k == 1 and many > 1)) for c in letters for k in (1, 2)[: 1 + (many > 1)]]
+            options += [] if ch.isalpha() else [("", toxicity.DROP if letters else 0.0)]
+            grown = {}
+            for text, (s, a, b) in scored.items():
+                for more, weight in options:
+                    w, x, y = s + weight, a, b
+                    for c in map(toxicity.symbol, more):
+                        w, x, y = w + float(logp[x, y, c]), y, c
+                    grown[text + more] = max(grown.get(text + more, (w, x, y)), (w, x, y))
+            scored = grown
+        every = sorted(((s + float(logp[a, b, 0]), t) for t, (s, a, b) in scored.items() if t), reverse=True)
+        assert toxicity.readings(token, logp) == [t for _, t in every[: toxicity.READINGS]], token
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.toxicity(table(spark), none).collect()} == {0.0}
