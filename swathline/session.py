@@ -78,12 +78,17 @@ def _own_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written as parquet to the shared folder and read back.
+def own_path(spark: SparkSession) -> str:
+    """A new path in this session's part of the shared folder."""
+    return f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` written as parquet to the shared folder, in a folder per value of ``by``, and read back.
 
     The copy survives lost executors, later steps prune its columns, and, unlike after ``checkpoint()``, the optimizer
     starts afresh: a checkpointed plan keeps its inferred constraints, which double with every round of a loop.
     """
-    path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = own_path(df.sparkSession)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
