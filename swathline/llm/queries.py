@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from swathline.llm import bpe, licenses, ngram_join, packing, quality, warc
+from swathline.llm import bpe, conversation_trie, lexical_search, licenses, line_dedup, ngram_join, packing, quality, warc
 from swathline.llm.common import table
 from swathline.llm.fingerprints import fingerprint_table
 from swathline.llm.ngram_join import near_duplicates
@@ -67,6 +67,21 @@ def op10_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_table(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations with its members and subtree."""
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that ten or more of them hold."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_warc_zstd": op2_warc_zstd,
@@ -78,6 +93,9 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity_deobfuscation": op8_toxicity_deobfuscation,
     "op9_quality_cascade": op9_quality_cascade,
     "op10_minhash_fingerprints": op10_minhash_fingerprints,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -85,4 +103,7 @@ ORACLES: dict[str, str] = {
     "op2_warc_zstd": warc.SQL,
     "op5_license_set_join": licenses.SQL,
     "op9_quality_cascade": quality.SQL,
+    "op11_conversation_trie": conversation_trie.SQL,
+    "op12_ranked_search": lexical_search.SQL,
+    "op13_line_dedup": line_dedup.SQL,
 }
