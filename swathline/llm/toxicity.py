@@ -6,7 +6,8 @@ with the cost of each edit (the noisy channel). Restored words are then scored b
 
 A rule is a word or a word beginning that hardly occurs in clean documents and explains enough toxic ones on its own. A
 document's score is the share of toxic documents among the training documents with its strongest rule, or the rest's share
-if no rule applies.
+if no rule applies. A rule counts from any of the readings kept, whatever its share of the probability: a hidden word is
+mostly unlikelier than harmless readings under a model of the whole corpus.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ LEAST_CREDIT = 1.0
 PREDICT = 0.7
 SYMBOLS = 28  # a boundary, a to z, any other letter
 READINGS = 6
+WIDEST = 16
+"""Letters of a spelled word, where no rule is longer."""
 _PRIME = (1 << 61) - 1
 
 # fixed values: letters that a sign or digit may stand for
@@ -47,7 +50,7 @@ EDIT, DROP, SQUEEZE = -1.0, -6.0, -0.5  # log weights of a substitution, of a dr
 _EDGE = re.compile(r"^[^\w@$!|+(€]+|[^\w]+$")
 _SIGNS = re.compile(r"^[@$!|+(€]{2,}")
 _ODD = re.compile(r"[0-9@$!|+(€._*~\-'/\\]|(.)\1\1")
-_STRETCH = re.compile(r"(.)\1{3,}", re.S)
+_STRETCH, _TRIPLE = re.compile(r"(.)\1{3,}", re.S), re.compile(r"(.)\1\1", re.S)
 _SEPARATORS, _MARKS, _PLAIN = re.compile(r"(?:[^\w@$!|+(€]|_)+"), re.compile(r"[\W_]+"), re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"[0-9.,:%/\-+]+")
 
@@ -135,13 +138,15 @@ def _text(path: tuple | None) -> str:
     return "".join(reversed(parts))
 
 
-def restore(token: str, logp: np.ndarray) -> list[str]:
+def restore(token: str, logp: np.ndarray, widest: int = WIDEST) -> list[str]:
     """Lower-case readings of a token between white space; a plain word has just one, bare signs or numbers none.
 
     Besides the whole token, the pieces between separators are read, with signs that may be letters kept and with them as
-    separators too, and words spelled by pieces of one letter.
+    separators too, and words spelled by pieces of one letter, of up to ``widest`` letters.
     """
     word = _SIGNS.sub("", _EDGE.sub("", token.lower()))
+    if _PLAIN.fullmatch(word) and not _TRIPLE.search(word):
+        return [word]  # no other part, and one reading
     if not word or _DIGITS.fullmatch(word):
         return []
     word = _STRETCH.sub(r"\1\1\1", word)
@@ -149,7 +154,7 @@ def restore(token: str, logp: np.ndarray) -> list[str]:
     parts = [word, *kept, *split]
     for one, run in groupby(kept, lambda p: len(p) == 1):
         joined = "".join(run) if one else ""
-        parts += _windows(joined) if len(joined) > 2 else []
+        parts += _windows(joined, widest) if len(joined) > 2 else []
     found: dict[str, None] = {}
     for part in dict.fromkeys(parts):
         if not any(map(str.isalpha, part)):
@@ -203,7 +208,7 @@ def _spelled(offsets: np.ndarray, words: pa.Array) -> list[tuple[int, str]]:
     return [(int(row[starts[i]]), "".join(words[int(single[starts[i]]) : int(single[stops[i] - 1]) + 1].to_pylist())) for i in long]
 
 
-def _windows(run: str, widest: int = 16) -> list[str]:
+def _windows(run: str, widest: int = WIDEST) -> list[str]:
     """A spelled run may hold other one-letter words around a word: its parts of 3 to ``widest`` letters from every start.
 
     Signs that stand for no letter are left out, repetitions beyond the third change no reading, and a part's length is counted
@@ -220,19 +225,67 @@ def _windows(run: str, widest: int = 16) -> list[str]:
     return list(found)
 
 
+# fixed values: what _EDGE takes off at the two ends, of ASCII, and the letters whose lower case is the same in every library
+_BEFORE, _AFTER = "\"#%&'*,-./:;<=>?[\\]^`{}~)", "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
+_LATIN = "^[a-zß-öø-ÿāăąćčďđēęěğīłńňōőœřśşšťūůűźżž]+$"
+
+
+def plain_words(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words in lower case without signs at their ends, and which of them ``restore`` leaves so, as their only reading.
+
+    A false answer is no loss: such words go through ``restore``. Words with three equal letters in a row are among them.
+    """
+    cores = pc.ascii_rtrim(pc.ascii_ltrim(pc.utf8_lower(words), characters=_BEFORE), characters=_AFTER)
+    other = pc.match_substring(words, "İ")  # its lower case has two characters in Python
+    plain = np.array(pc.and_not(pc.match_substring_regex(cores, _LATIN), other).to_numpy(zero_copy_only=False), dtype=bool)
+    raw, offsets = buffer_of(cores)
+    if len(raw) > 2:
+        stretched = np.zeros(len(raw), bool)
+        stretched[:-2] = (raw[:-2] == raw[1:-1]) & (raw[1:-1] == raw[2:])
+        if len(raw) > 5:  # letters of two bytes
+            two = raw[:-2] == raw[2:]
+            stretched[:-5] |= two[:-3] & two[1:-2] & two[2:-1] & two[3:]
+        plain[np.searchsorted(offsets, np.flatnonzero(stretched), side="right") - 1] = False
+    return cores, plain
+
+
+class _Rules:
+    """Rules by kind, for many plain words at once."""
+
+    def __init__(self, rules: dict[str, float]) -> None:
+        self.kinds: list[tuple[int, pa.Array, np.ndarray]] = []
+        for size in (0, 4, 5, 6):  # whole words, then beginnings
+            own = [(f[:-1], v) for f, v in rules.items() if f.endswith("$")] if not size else [(f, v) for f, v in rules.items() if not f.endswith("$") and len(f) == size]
+            if own:
+                self.kinds.append((size, pa.array([f for f, _ in own], pa.string()), np.array([0.0, *(v for _, v in own)])))
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        best = np.zeros(len(words))
+        for size, names, values in self.kinds:
+            met = words if not size else pc.if_else(pc.greater(pc.utf8_length(words), size), pc.utf8_slice_codeunits(words, 0, size), None)
+            place = pc.fill_null(pc.index_in(met, value_set=names), -1).to_numpy(zero_copy_only=False)
+            best = np.maximum(best, values[place + 1])
+        return best
+
+
 def _scorer(model: Model, schema_names: list[str], out: str):
+    widest = max(WIDEST, *(len(f) for f in model.rules), 0)
+
     def word_score(token: str) -> float:
-        return max((model.rules.get(f, 0.0) for w in restore(token, model.logp) for f in features(w)), default=0.0)
+        return max((model.rules.get(f, 0.0) for w in restore(token, model.logp, widest) for f in features(w)), default=0.0)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of = _Words(word_score)
-        widest = max(16, *(len(f) for f in model.rules), 0)
+        words_of, rules = _Words(word_score), _Rules(model.rules)
         for part in slices(batches):
             offsets, words = split_words(text_of(part))
             best = np.zeros(part.num_rows)
             if len(words):
                 coded = words.dictionary_encode()
-                each = np.array(words_of.of(coded.dictionary.to_pylist()))[coded.indices.to_numpy()]
+                cores, plain = plain_words(coded.dictionary)
+                own = rules.of(cores)
+                odd = np.flatnonzero(~plain)
+                own[odd] = words_of.of(coded.dictionary.take(pa.array(odd)).to_pylist())
+                each = own[coded.indices.to_numpy()]
                 full = np.flatnonzero(np.diff(offsets))
                 best[full] = np.maximum.reduceat(each, offsets[:-1][full])
                 for row, run in _spelled(offsets, words):
@@ -326,13 +379,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = known.agg(F.max("toxic").cast("int").alias("toxic")).where("crc32(cast(doc_id as string)) % 3 <> 1")
     chosen = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     rows = stored(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"))  # at most `sample` ids
-    totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count_distinct("doc_id").alias("n")).collect()}
     counts = rows.mapInArrow(_document_features(logp, None), "feature string, n1 long, n0 long").groupBy("feature")
     counts = counts.agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     sharp = counts.where((F.col("n1") >= LEAST_SUPPORT) & (F.col("n1") >= LEAST_PRECISION * (F.col("n1") + F.col("n0")))).collect()
     table = {r["feature"]: (r["n1"], r["n0"]) for r in sharp}
     having = rows.where("toxic = 1").mapInArrow(_document_features(logp, set(table)), "doc_id long, features array<string>")
-    documents = [r["features"] for r in having.orderBy("doc_id").collect()]
+    each = having.select("doc_id", F.explode("features").alias("feature")).groupBy("doc_id").agg(F.collect_set("feature").alias("features"))
+    documents = [sorted(r["features"]) for r in each.orderBy("doc_id").collect()]  # a row per id, however often it is repeated
     rules, rest = learn(documents, table, (totals.get(0, 0), totals.get(1, 0)))
     return Model(logp, rules, rest)
 

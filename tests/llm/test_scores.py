@@ -210,3 +210,24 @@ def test_fingerprint_edges(spark):
     assert len(rows) == 6 and sum(r["near_next"] is None for r in rows) == 2
     only = fingerprint_table(table(spark, ["just one text of some words here"])).collect()
     assert only[0]["near_next"] == 1.0
+
+
+def test_plain_words_keep_their_only_reading():
+    import pyarrow as pa
+
+    logp = np.log(np.random.default_rng(0).random((28, 28, 28)) + 0.01).astype(np.float32)
+    words = ["İstanbul", "ΣΑΣ", "Straße", "ÉÉÉ", "éé", "éééa", "aaa", "aab", "(word", "word)", "_x_", "don't", '"idiot"', "IDIOT!!", "id1ot", "@idiot", "5tupid", "stup,id", "ÿÿÿ", "œœ", "a-b", "...", "«été»", "Ω", "x"]
+    cores, plain = toxicity.plain_words(pa.array(words))
+    for word, core, is_plain in zip(words, cores.to_pylist(), plain, strict=True):
+        assert not is_plain or toxicity.restore(word, logp) == [core]
+    assert plain[words.index("IDIOT!!")] and plain[words.index("Straße")] and not plain[words.index("aaa")] and not plain[words.index("éééa")]
+    rules = {"idiot$": 0.9, "stup": 0.8, "stupid": 0.85, "été$": 0.7}
+    each = toxicity._Rules(rules).of(pa.array(["idiot", "idiots", "stup", "stupi", "stupid", "stupidly", "été"]))
+    assert each.tolist() == [0.9, 0.0, 0.0, 0.8, 0.8, 0.85, 0.7]
+
+
+def test_spelled_rules_longer_than_usual_are_met_inside_tokens():
+    logp = np.zeros((28, 28, 28), np.float32)
+    word = "abcdefghijklmnopqrst"
+    assert word not in toxicity.restore(".".join("xy" + word + "z"), logp)
+    assert word in toxicity.restore(".".join("xy" + word + "z"), logp, len(word))
