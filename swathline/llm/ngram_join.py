@@ -115,6 +115,18 @@ def _prefixes(width: int, num: int, den: int, common: np.ndarray, counts: np.nda
     return prefix
 
 
+def _tagged(prefix):
+    """``prefix`` with the column ``tag`` of its rows after its own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            at = 0
+            for out in prefix(iter([part])):
+                yield pa.RecordBatch.from_arrays([*out.columns, part.column("tag").slice(at, out.num_rows)], [*out.schema.names, "tag"])
+                at += out.num_rows
+
+    return run
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings sorted by shingle, place and node: rows of shingles that two nodes or more have, with the first node."""
     names = ["token", "pos", "sig", "n", "l"]
@@ -279,9 +291,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     the smallest doc_id reachable by links, over rows without an id too. Rows that share a doc_id each get a row; a null
     doc_id has a null component unless an id is reachable. Columns other than doc_id and text are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return duplicate_groups(docs, width, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def text_tag(text: Column) -> Column:
+    """A hash by which rows of one doc_id are told apart."""
+    return F.xxhash64(text.cast("string"))
+
+
+def duplicate_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """``near_duplicates`` with ``tag``, the row's ``text_tag``, and ``group_id``, which is the same for linked rows and differs for others.
+
+    A component_id may stand for two groups, if an id is repeated with other texts; a group_id doesn't. It is null without shingles.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_tag(F.col("text")).alias("tag"))
     common, counts = common_shingles(docs, width)
-    made = stored(docs.mapInArrow(_prefixes(width, num, den, common, counts), "doc_id long, n long, sig long, l int, end long, prefix array<long>"))
+    made = stored(docs.mapInArrow(_tagged(_prefixes(width, num, den, common, counts)), "doc_id long, n long, sig long, l int, end long, prefix array<long>, tag long"))
     nodes = stored(made.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("end").alias("end")))
 
     postings = made.where("n > 0").select("sig", "n", "l", F.posexplode("prefix").alias("pos", "token")).select("token", "pos", "sig", "n", "l")
@@ -310,10 +335,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     joined = components(links.union(more))
     named = joined.join(nodes, joined.node == nodes.sig).select("node", "root", "rep")
     lowest = named.groupBy("root").agg(F.min("rep").alias("low"))
-    label = stored(named.join(lowest, "root").select(F.col("node").alias("sig"), "low"))
-    known = nodes.join(label, "sig", "left").select("sig", F.coalesce("low", "rep").alias("component_id"))
-    full = made.where("n > 0").join(known, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.union(made.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    label = stored(named.join(lowest, "root").select(F.col("node").alias("sig"), "root", "low"))
+    known = nodes.join(label, "sig", "left").select("sig", F.coalesce("low", "rep").alias("component_id"), F.coalesce("root", "sig").alias("group_id"))
+    full = made.where("n > 0").join(known, "sig").select("doc_id", "tag", F.col("n").alias("n_shingles"), "component_id", "group_id")
+    return full.union(made.where("n = 0").select("doc_id", "tag", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long")))
 
 
 def sql(width: int, num: int, den: int) -> str:

@@ -40,3 +40,16 @@ def test_empty_table_and_rows_without_ids(spark, tmp_path):
         table(spark, texts, ids).write.parquet(str(folder / "documents.parquet"))
         none.write.parquet(str(folder / "labels.parquet"))
         assert corpus_pipeline.run(spark, str(folder)).select("doc_id").count() == want
+
+
+def test_texts_of_a_repeated_id_are_decided_one_by_one(spark, tmp_path):
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    docs = table(spark, [a, a, b, a, a, "", None], [1, 5, 5, None, 1, 7, 7])
+    docs = docs.toDF("doc_id", "text", "slot", "tag", "group_id", "id", "stays", "row", "c0", "first", "toxicity")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, a), (5, b), (7, ""), (7, None), (None, a)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    none.write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).columns == docs.columns
