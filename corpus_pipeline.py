@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from swathline.llm.common import bounded_batches, stored, table
-from swathline.llm.ngram_join import SLOTS, near_duplicates
+from swathline.llm.ngram_join import SLOTS, duplicate_groups, text_tag
 from swathline.llm.packing import pack
 from swathline.llm.quality import keep_good
 from swathline.llm.toxicity import PREDICT, score_toxicity, train
@@ -18,7 +18,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text scores below the limit; rules come from ``labels`` of the documents at hand."""
-    out = "toxicity_of_restored_text"
+    out = "toxicity"
+    while out in docs.columns:
+        out += "_"
     return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")), out).where(F.col(out) < PREDICT).drop(out)
 
 
@@ -29,23 +31,28 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at Jaccard 0.8 on five-word shingles, the document with the smallest id.
+    """Of each group linked at Jaccard 0.8 on five-word shingles, the row with the smallest id (of one id's texts, that with the smallest hash).
 
-    Rows that repeat a doc_id are one document, of which the row with the smallest text stays. Rows without an id stay.
+    Rows are told apart by id and text: a repeated id with other texts is decided text by text, and of rows that repeat both one
+    stays. Rows without an id or without a word are linked with nothing here and stay.
     """
     bounded_batches(spark)
-    groups = near_duplicates(docs, width=5, num=4, den=5)
-    per_id = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("low"))
-    decided = stored(per_id.where("n > 1 or low <> doc_id").select(F.col("doc_id").alias("id_"), (F.col("low") == F.col("doc_id")).alias("stays_")))
+    groups = stored(duplicate_groups(docs, width=5, num=4, den=5).where("doc_id is not null and group_id is not null"))
+    first = groups.groupBy("group_id").agg(F.min(F.struct("doc_id", "tag")).alias("first"))
+    units = groups.groupBy("group_id", "doc_id", "tag").agg(F.count("*").alias("n")).join(first, "group_id")
+    stays = F.col("first") == F.struct("doc_id", "tag")
+    decided = stored(units.where((F.col("n") > 1) | ~stays).select(F.col("doc_id").alias("id"), "tag", stays.alias("stays")))
     # only rows whose id falls in the slot of such an id are shuffled; the table of slots is bounded
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
-    hit = F.broadcast(decided.select(F.pmod(F.xxhash64("id_"), F.lit(SLOTS)).alias("slot_")).distinct())
-    placed = docs.withColumn("slot_of_id_", F.when(F.col("doc_id").isNotNull(), slot))
-    free = placed.join(hit, F.col("slot_of_id_") == F.col("slot_"), "left_anti").select(*docs.columns)
-    met = placed.join(hit, F.col("slot_of_id_") == F.col("slot_"), "left_semi").join(decided, F.col("doc_id") == F.col("id_"), "left")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    met = met.withColumn("row_", first).where("stays_ is null or stays_ and row_ = 1").select(*docs.columns)
-    return free.union(met)
+    hit = F.broadcast(decided.select(F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("slot")).distinct())
+    names = [f"c{i}" for i in range(len(docs.columns))]  # names of our own beside those of any table
+    known = [F.col("doc_id").cast("long").alias("id"), text_tag(F.col("text")).alias("tag")]
+    placed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], *known)
+    placed = placed.withColumn("slot", F.when(F.col("id").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(SLOTS))))
+    free = placed.join(hit, "slot", "left_anti").select(*names)
+    met = placed.join(hit, "slot", "left_semi").join(decided, ["id", "tag"], "left")
+    alone = met.where("stays is null").select(*names)
+    one = met.where("stays").groupBy("id", "tag").agg(F.first(F.struct(*names)).alias("row")).select("row.*")
+    return free.union(alone).union(one).toDF(*docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
