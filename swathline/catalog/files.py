@@ -11,13 +11,14 @@ from swathline.catalog.base import CATALOG, query
 from swathline.catalog.fixture_sql import r6 as s6
 from swathline.catalog.fixture_sql import sql
 from swathline.catalog.geodesy import GT, rounded
-from swathline.catalog.ortho import FIT, rois
+from swathline.catalog.ortho import FIT, _splat_sql, mosaic, rois
 from swathline.catalog.projection import GEOM, geometry
 from swathline.catalog.tiepoints import CAM, TIMED, lines, posed
 from swathline.catalog.trajectory import mounting
 from swathline.operators import geodesy, ortho, radiometry, raster
 from swathline.plans import inputs as inp
-from swathline.sources import text
+from swathline.session import own_path
+from swathline.sources import cubes, datasource, text
 
 def event():
     return F.col("event_id")
@@ -191,6 +192,89 @@ def _(spark, sf):
     return sinks.cube_header_rows(inp.pixels(spark, sf), ["file_id"], "dns")
 
 
+def as_pixels(source):
+    """Decoded pixels as integers, a row per band."""
+    long = source.select("path", "line", "sample", F.posexplode("spectrum").alias("band", "v"))
+    return long.select("path", "line", "sample", "band", F.col("v").cast("bigint").alias("dn"))
+
+
+def saved_cube(spark, sf):
+    """The cube of the tables in files of ten lines below the shared folder."""
+    folder = own_path(spark)
+    sinks.write_cube(inp.pixels(spark, sf).withColumn("seq", F.lit(0)), "dns", folder, block=10)
+    return folder
+
+
+@query("S3_read_cube", sql("SELECT line, sample, band, dn FROM px"))
+def _(spark, sf):
+    """The whole cube, written as files and read through its data source."""
+    folder = saved_cube(spark, sf)
+    return as_pixels(cubes.read_sequence(spark, folder, block=4)).drop("path")
+
+
+@query("S5_read_sequence_pixels", sql("SELECT line, sample, CASE band WHEN 60 THEN 0 WHEN 3 THEN 1 ELSE 2 END::BIGINT AS band, dn FROM px WHERE line >= 7 AND line < 18 AND band IN (60, 3, 31)"))
+def _(spark, sf):
+    """Some lines and bands of the written cube; the range reaches the reader, which opens two of the files."""
+    folder = saved_cube(spark, sf)
+    return as_pixels(cubes.read_sequence(spark, folder, bands=[60, 3, 31]).where("line >= 7 and line < 18")).drop("path")
+
+
+@query("K1_write_cube", sql("SELECT line // 10 AS block, count(DISTINCT line) AS lines, max(dn) AS ceiling FROM px GROUP BY 1"))
+def _(spark, sf):
+    written = sinks.write_cube(inp.pixels(spark, sf).withColumn("seq", F.lit(0)), "dns", own_path(spark), block=10)
+    return written.select(F.regexp_extract("path", r"-(\d+)/frame\.bil$", 1).cast("bigint").alias("block"), "lines", F.col("ceiling").cast("bigint").alias("ceiling"))
+
+
+FLIGHT_LINES = 64
+
+
+def raw_frames(spark, sf):
+    """The cube of the tables as raw frames of 64 lines, 20 samples and 64 bands: path, flight, line (in its frame), header, data.
+
+    Each line's header row holds its number in every place.
+    """
+    flight = F.floor(F.col("line") / FLIGHT_LINES)
+    here = F.col("line") - flight * FLIGHT_LINES
+    rows = inp.pixels(spark, sf).select(flight.alias("flight"), here.alias("line"), "sample", F.concat(F.array(here), "dns").alias("values"))
+    folder = own_path(spark)
+    sinks.save_lines(sinks.cube_lines(rows, "values", F.format_string("flight-%d", "flight"), 12), folder)
+    datasource.register(spark)
+    frames = spark.read.format(datasource.FRAME).options(samples=20, bands=64, block=8, ending=".bil").load(folder)
+    return frames.withColumn("flight", F.regexp_extract("path", r"-(\d+)/frame\.bil$", 1).cast("bigint"))
+
+
+@query("S12_read_aviris_lines", sql("SELECT line // 64 AS flight, line % 64 AS line, line % 64 AS head, count(*) * 2 AS bytes, max(CASE WHEN sample = 3 AND band = 5 THEN dn END) AS picked FROM px WHERE line % 64 >= 5 GROUP BY px.line"))
+def _(spark, sf):
+    """Headers and data of the lines from the fifth on; the value of one pixel is taken from the bytes."""
+    frames = raw_frames(spark, sf).where("line >= 5")
+    byte = lambda c, at: F.conv(F.hex(F.substring(c, at + 1, 1)), 16, 10).cast("bigint")
+    at = (5 * 20 + 3) * 2
+    return frames.select("flight", "line", byte("header", 0).alias("head"), F.octet_length("data").alias("bytes"), (byte("data", at) + 256 * byte("data", at + 1)).alias("picked"))
+
+
+@query("K2_converted_frames", sql("SELECT printf('%04d_%04d', line // 64, line % 64 // 6 + 1) AS folder, line, sample, band, dn FROM px"))
+def _(spark, sf):
+    """Raw frames turned into cubes of six lines each, with their timing files, and read back as one sequence."""
+    folder = own_path(spark)
+    frames = raw_frames(spark, sf)
+    sinks.convert_frames(frames, folder, 20, 64, F.col("flight"), height=6, times=frames.select("path", "line", (F.col("line") / 215).alias("t")))
+    px = as_pixels(spark.read.format(datasource.CUBE).load(folder))  # folders without a number of their own: by name
+    return px.select(F.regexp_extract("path", r"([^/]+)/frame\.bil$", 1).alias("folder"), "line", "sample", "band", "dn")
+
+
+@query("K8_write_ortho_tiles", sql(f"SELECT 'tile_' || tile_i || '_' || tile_j AS tile, i, j, band, {s6('v', 'v', 4)} FROM ort", **_splat_sql(1.3, 16)))
+def _(spark, sf):
+    """Tiles of the mosaic written as cubes with world files and read back; holes are left out again."""
+    folder = own_path(spark)
+    grid = ortho.tile_grid_fixed(inp.dtm(spark, sf), 1.3, 16)
+    world = sinks.world_files(grid.withColumns({"i0": F.col("i0") / 1.3, "j0": F.col("j0") / 1.3}), GT, 1.3)
+    sinks.save_tiles(mosaic(spark, sf, 1.3, 16), grid, world, folder, "dns", 64, data_type=5)
+    datasource.register(spark)
+    cells = spark.read.format(datasource.CUBE).option("sequence", "false").load(folder)
+    cells = cells.select(F.regexp_extract("path", r"([^/]+)/frame\.bil$", 1).alias("tile"), F.col("line").alias("i"), F.col("sample").alias("j"), F.posexplode("spectrum").alias("band", "v"))
+    return cells.where("not isnan(v)").withColumn("v", r6("v", digits=4))
+
+
 @query("K2_convert_frames", sql("SELECT line % 3 AS flight, line // 3 // 2000 AS block, printf('%04d_%04d', line % 3, line // 3 // 2000 + 1) AS folder, min(line // 3) AS first_line, count(*) AS lines FROM clock GROUP BY 1, 2, 3"))
 def _(spark, sf):
     c = inp.frame_clock(spark, sf).select((F.col("line") % 3).alias("flight"), inp.idiv("line", 3).alias("line"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathline.functions import geo, vec
 from swathline.operators import ortho, trajectory
-from swathline.sources.cubes import TYPES, file_system
+from swathline.sources import datasource, text
+from swathline.sources.codec import TYPES
+from swathline.sources.cubes import read_headers
 
 
 def cube_header_rows(px: DataFrame, keys: list[str], array: str, data_type: int = 12) -> DataFrame:
@@ -18,48 +22,126 @@ def cube_header_rows(px: DataFrame, keys: list[str], array: str, data_type: int
     )
 
 
-def write_cube(px: DataFrame, array: str, folder: str, block: int = 512, data_type: int = 12, extra: dict[str, str] | None = None) -> DataFrame:
-    """Write BIL files with headers, one per block of lines (seq-block/frame.bil): path, lines, ceiling.
+def cube_lines(px: DataFrame, array: str, folder: Column, data_type: int = 12, side: Column | None = None) -> DataFrame:
+    """Rows that the cube writer takes: the pixels of each line of each folder, in order, as bytes.
 
-    A group is one block of lines. Files are written under their final name with the same content on every attempt, so
-    a task that is run again leaves the same result. The frame is lazy: files appear when it is evaluated. Values are
-    placed by line and sample; a missing or repeated pixel, spectra of unequal length and values that the type can't hold
-    are errors.
+    ``px`` has ``line, sample`` and the array of bands. All lines of a folder go to one task, where one line is held at a time.
+    A missing or repeated pixel, spectra of unequal length and values that the type can't hold are errors. ``side`` is a
+    map of texts to add to files beside the cube; that of a line's first pixel counts.
     """
     kind = TYPES[data_type]
+    none = F.lit(None).cast("map<string,string>")
+    rows = px.select(folder.alias("folder"), "line", "sample", F.col(array).alias("values"), (none if side is None else side).alias("side"))
+    dealt = rows.repartition("folder").sortWithinPartitions("folder", "line", "sample")
+    return dealt.mapInArrow(codec_lines(kind), datasource.LINE_SCHEMA)
 
-    def write(key, pdf):
+
+def codec_lines(kind: str):
+    def encode(batches):
         import numpy as np
-        import pandas as pd
-
-        where = f"sequence {int(key[0])}, block {int(key[1])}"
-        lines, at = np.unique(pdf["line"].to_numpy(), return_inverse=True)
-        sample = pdf["sample"].to_numpy()
-        width = int(sample.max()) + 1
-        if len({len(v) for v in pdf[array]}) != 1:
-            raise ValueError(f"{where}: spectra differ in length")
-        if len(pdf) != len(lines) * width or len(np.unique(at * width + sample)) != len(pdf) or sample.min() < 0 or lines[-1] - lines[0] >= len(lines):
-            raise ValueError(f"{where}: pixels are missing or repeated")
-        values = np.stack(pdf[array].to_numpy())
-        if np.dtype(kind).kind in "iu":
-            bounds = np.iinfo(kind)
-            if values.min() < bounds.min or values.max() > bounds.max:
-                raise ValueError(f"{where}: values from {values.min()} to {values.max()} don't fit data type {data_type}")
-        data = np.empty((len(lines), values.shape[1], width), kind)
-        data[at, :, sample] = values
-        peak = max(0, data.max())
-        system, root = file_system(folder)
-        target = f"{root}/{int(key[0]):04d}-{int(key[1])}"
-        system.create_dir(target, recursive=True)
-        rows = {"interleave": "bil", "data type": data_type, "lines": len(lines), "samples": data.shape[2], "bands": data.shape[1], "ceiling": peak, **(extra or {})}
-        with system.open_output_stream(f"{target}/frame.bil") as f:
-            f.write(data.tobytes())
-        with system.open_output_stream(f"{target}/frame.bil.hdr") as f:
-            f.write(("ENVI\n" + "".join(f"{k} = {v}\n" for k, v in rows.items())).encode())
-        return pd.DataFrame({"path": [f"{target}/frame.bil"], "lines": [len(lines)], "ceiling": [float(peak)]})
-
-    blocks = px.select("seq", F.floor(F.col("line") / block).alias("block"), "line", "sample", array)
-    return blocks.groupBy("seq", "block").applyInPandas(write, "path string, lines bigint, ceiling double")
+        import pyarrow as pa
+
+        held, key = [], None
+
+        def line(key, rows):
+            place = f"{key[0]}: "
+            table = pa.Table.from_batches(rows).combine_chunks()
+            sample, values = table.column("sample").to_numpy(), table.column("values").combine_chunks()
+            bands = len(values[0])
+            if (np.diff(values.offsets.to_numpy()) != bands).any():
+                raise ValueError(f"{place}spectra differ in length at line {key[1]}")
+            if (sample != np.arange(len(sample))).any():
+                raise ValueError(f"{place}pixels are missing or repeated at line {key[1]}")
+            data = values.flatten().to_numpy(zero_copy_only=False).reshape(len(sample), bands)
+            if np.dtype(kind).kind in "iu":
+                bounds = np.iinfo(kind)
+                if data.min() < bounds.min or data.max() > bounds.max:
+                    raise ValueError(f"{place}values from {data.min()} to {data.max()} don't fit type {kind}")
+            peak = float(max(0, data.max()))
+            return [key[0], int(key[1]), len(sample), bands, np.ascontiguousarray(data.T.astype(kind)).tobytes(), peak, table.column("side")[0].as_py()]
+
+        def out(rows):
+            schema = pa.schema([("folder", pa.string()), ("line", pa.int64()), ("samples", pa.int32()), ("bands", pa.int32()), ("data", pa.binary()), ("peak", pa.float64()), ("side", pa.map_(pa.string(), pa.string()))])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            folders, lines = batch.column("folder").to_pylist(), batch.column("line").to_numpy()
+            cuts = [0, *[i for i in range(1, len(lines)) if lines[i] != lines[i - 1] or folders[i] != folders[i - 1]], len(lines)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                here = (folders[a], lines[a])
+                if here != key:
+                    if held:
+                        yield out([line(key, held)])
+                    held, key = [], here
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield out([line(key, held)])
+
+    return encode
+
+
+def save_lines(lines: DataFrame, folder: str, data_type: int = 12, header: dict[str, str] | None = None, overwrite: bool = False) -> None:
+    """Writes rows of ``cube_lines``: files appear when all tasks have succeeded, and a cube's header after its data."""
+    datasource.register(lines.sparkSession)
+    to = lines.write.format(datasource.CUBE).option("dataType", data_type).option("header", json.dumps(header or {}))
+    to.mode("overwrite" if overwrite else "append").save(folder)
+
+
+def write_cube(px: DataFrame, array: str, folder: str, block: int = 512, data_type: int = 12, extra: dict[str, str] | None = None) -> DataFrame:
+    """Writes BIL files with headers, one per block of lines (seq-block/frame.bil); path, lines, ceiling of the cubes there.
+
+    ``extra`` adds header values, or replaces them. A cube that is there already is an error.
+    """
+    name = F.format_string("%04d-%d", F.col("seq").cast("long"), F.floor(F.col("line") / block))
+    save_lines(cube_lines(px, array, name, data_type), folder, data_type, extra)
+    return text.typed_headers(read_headers(px.sparkSession, folder)).select("path", "lines", "ceiling")
+
+
+# Fixed values of converted frames: header entries beside the sizes, and the ends of the wavelengths.
+FRAME_HEADER = {"ceiling": 65535, "field of view": 39.5, "imager serial number": "AVIRIS-4", "framerate": 215, "wavelength units": "nanometers"}
+WAVELENGTHS = (380.0, 2490.0)
+
+
+def convert_frames(frames: DataFrame, folder: str, samples: int, bands: int, flight: Column, height: int = 2000, times: DataFrame | None = None) -> None:
+    """Raw frames (``path, line, data`` as their source reads them) to cubes of ``height`` lines in LLLL_BBBB folders.
+
+    ``flight`` is the number that a folder's name begins with. ``times`` (``path, line, t``) become a timing file beside each cube,
+    one line each. Only bytes are copied.
+    """
+    rows = frames.select("path", "line", "data", flight.alias("flight"))
+    if times is not None:
+        rows = rows.join(times.select("path", "line", "t"), ["path", "line"], "left")
+        side = F.create_map(F.lit("frame.bil.timing"), F.concat(F.coalesce(F.col("t").cast("string"), F.lit("")), F.lit("\n")))
+    else:
+        side = F.lit(None).cast("map<string,string>")
+    name = F.format_string("%04d_%04d", F.col("flight").cast("long"), F.floor(F.col("line") / height) + 1)
+    lines = rows.select(name.alias("folder"), "line", F.lit(samples).alias("samples"), F.lit(bands).alias("bands"), "data", F.lit(65535.0).alias("peak"), side.alias("side"))
+    low, high = WAVELENGTHS
+    waves = "{" + ",".join(f"{low + (high - low) * k / max(bands - 1, 1):g}" for k in range(bands)) + "}"
+    save_lines(lines.repartition("folder").sortWithinPartitions("folder", "line"), folder, 12, {**FRAME_HEADER, "wavelength": waves})
+
+
+def save_tiles(mosaic: DataFrame, tiles: DataFrame, world: DataFrame, folder: str, array: str, n_bands: int, data_type: int = 4) -> None:
+    """A cube per tile (tile_V_H/frame.bil) with its world file (frame.wld); cells without a value are NaN, or 0 as integers.
+
+    ``mosaic`` has tile_i, tile_j, i, j (in the tile) and the array of bands, ``tiles`` height and width of each tile, ``world``
+    the numbers of ``world_files``.
+    """
+    zero = F.lit(0).cast("bigint")
+    grid = tiles.select("tile_i", "tile_j", "width", F.explode(F.sequence(zero, F.col("height").cast("bigint") - 1)).alias("i"))
+    grid = grid.select("tile_i", "tile_j", "i", F.explode(F.sequence(zero, F.col("width").cast("bigint") - 1)).alias("j"))
+    hole = F.lit(0.0 if TYPES[data_type][-2] in "iu" else float("nan"))
+    on = ["tile_i", "tile_j", "i", "j"]
+    cells = grid.join(mosaic.select(*on, array), on, "left").withColumn(array, F.coalesce(array, F.array_repeat(hole, n_bands)))
+    numbers = ["x_per_col", "y_per_col", "x_per_row", "y_per_row", "x0", "y0"]
+    text_of = F.concat_ws("\n", *[F.format_string("%.16f", c) for c in numbers])
+    cells = cells.join(world.select("tile_i", "tile_j", text_of.alias("world")), ["tile_i", "tile_j"], "left")
+    side = F.when(F.col("i") == 0, F.create_map(F.lit("frame.wld"), F.col("world")))
+    px = cells.select("tile_i", "tile_j", F.col("i").alias("line"), F.col("j").alias("sample"), array, side.alias("side"))
+    name = F.format_string("tile_%d_%d", F.col("tile_i").cast("long"), F.col("tile_j").cast("long"))
+    save_lines(cube_lines(px, array, name, data_type, F.col("side")), folder, data_type)
 
 
 def frame_blocks(lines: DataFrame, height: int = 2000) -> DataFrame:

@@ -1,46 +1,18 @@
-"""Binary cubes: Spark plans blocks of lines, each block is decoded where it is read."""
+"""Binary cubes and raw frames: headers, listings and plans of what to read."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathline.sources import text
+from swathline.sources import datasource, text
+from swathline.sources.codec import FRAME_BANDS, FRAME_SAMPLES, TYPES, file_system, opened, store_uri  # noqa: F401
 
-# Header 'data type' code to numpy type; the complex codes 6 and 9 are not read.
-TYPES = {1: "u1", 2: "<i2", 3: "<i4", 4: "<f4", 5: "<f8", 12: "<u2", 13: "<u4", 14: "<i8", 15: "<u8"}
-# Fixed values of the raw frame: samples, bands, header rows per line.
-FRAME_SAMPLES, FRAME_BANDS = 1280, 327
 FRAME_HEADER_BYTES = FRAME_SAMPLES * 2
 FRAME_LINE_BYTES = FRAME_HEADER_BYTES * (FRAME_BANDS + 1)
-PIXELS = "path string, line bigint, sample bigint, spectrum array<double>"
-
-
-def file_system(path: str):
-    """File system and name of a path as Spark writes it: plain or ``file:`` paths are local (blanks may be escaped), and the
-    cluster scheme ``s3a`` is what pyarrow calls ``s3``."""
-    from urllib.parse import unquote
-
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + unquote(path.removeprefix("file:")).lstrip("/")
-    if "://" not in path:
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(store_uri(path))
-
-
-def store_uri(path: str) -> str:
-    scheme, rest = path.split("://", 1)
-    return f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}"
-
-
-def _open(path: str):
-    """Random-access file on any file system pyarrow knows."""
-    system, name = file_system(path)
-    return system.open_input_file(name)
 
 
 def read_headers(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,55 +41,12 @@ def line_blocks(files: DataFrame, first: int = 0, last: int = -1, block: int = 6
     return cut.withColumn("count", F.least(F.lit(block), F.col("_b") - F.col("start"))).drop("_a", "_b")
 
 
-def read_cube(blocks: DataFrame, bands: list[int] | None = None) -> DataFrame:
-    """Pixels of the blocks: path, line (global), sample, spectrum. Only the bytes of a block are read, and of a
-    band-interleaved line only the wanted bands.
-
-    ``blocks``: path, samples, bands, data_type, interleave, lines, line0, start, count.
-    """
-    cols = ["path", "samples", "bands", "data_type", "interleave", "lines", "line0", "start", "count"]
-
-    def decode(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pandas as pd
-
-        for batch in batches:
-            for b in batch.itertuples(index=False):
-                if b.data_type not in TYPES:
-                    raise ValueError(f"{b.path}: data type {b.data_type} is not supported")
-                kind = np.dtype(TYPES[b.data_type])
-                n_b, n_s = int(b.bands), int(b.samples)
-                picked = list(range(n_b)) if bands is None else bands
-                with _open(b.path) as f:
-                    if f.size() != b.lines * n_b * n_s * kind.itemsize:
-                        raise ValueError(f"{b.path}: file has {f.size()} bytes, not what its header says")
-
-                    def take(offset: int, n: int):
-                        f.seek(offset * kind.itemsize)
-                        return np.frombuffer(f.read(n * kind.itemsize), kind)
-
-                    for line in range(int(b.start), int(b.start + b.count)):
-                        if b.interleave == "bip":
-                            data = take(line * n_s * n_b, n_s * n_b).reshape(n_s, n_b)[:, picked]
-                        elif b.interleave == "bsq":
-                            data = np.stack([take((c * int(b.lines) + line) * n_s, n_s) for c in picked], axis=1)
-                        elif len(picked) < n_b:
-                            data = np.stack([take((line * n_b + c) * n_s, n_s) for c in picked], axis=1)
-                        else:
-                            data = take(line * n_s * n_b, n_s * n_b).reshape(n_b, n_s).T
-                        yield pd.DataFrame({
-                            "path": b.path, "line": int(b.line0) + line, "sample": np.arange(n_s),
-                            "spectrum": list(data.astype(float)),
-                        })
-
-    return blocks.select(*cols).repartition("path", "start").mapInPandas(decode, PIXELS)
-
-
 def read_sequence(spark: SparkSession, folder: str, first: int = 0, last: int = -1, bands: list[int] | None = None, block: int = 64) -> DataFrame:
     """All cubes of a folder as one sequence of lines.
 
     A cube whose header is missing or unreadable, or that differs from the others in samples, bands, type or interleave, is
-    an error: leaving it out would give all later lines wrong numbers. Only headers are looked at here.
+    an error: leaving it out would give all later lines wrong numbers. Only headers are looked at here. Later filters on
+    ``line`` and ``path`` reach the reader, which then plans no other blocks.
     """
     typed = text.typed_headers(read_headers(spark, folder))
     files = list_cubes(spark, folder).join(typed, "path", "left").withColumn("seq", F.lit(0))
@@ -128,7 +57,9 @@ def read_sequence(spark: SparkSession, folder: str, first: int = 0, last: int =
     kinds = files.select(*shape).distinct().take(2)
     if len(kinds) > 1:
         raise ValueError(f"cubes of one sequence differ: {kinds[0].asDict()}, {kinds[1].asDict()}")
-    return read_cube(line_blocks(text.sequence_offsets(files), first, last, block), bands)
+    datasource.register(spark)
+    options = {"path": folder, "first": first, "last": last, "block": block} | ({} if bands is None else {"bands": json.dumps(bands)})
+    return spark.read.format(datasource.CUBE).options(**options).load().select("path", "line", "sample", "spectrum")
 
 
 def list_frames(spark: SparkSession, pattern: str) -> DataFrame:
@@ -150,7 +81,7 @@ def read_frames(frames: DataFrame, block: int = 16, headers_only: bool = False)
 
         for batch in batches:
             for b in batch.itertuples(index=False):
-                with _open(b.path) as f:
+                with opened(b.path) as f:
                     for line in range(int(b.start), int(b.start + b.count)):
                         f.seek(line * FRAME_LINE_BYTES)
                         size = FRAME_HEADER_BYTES if headers_only else FRAME_LINE_BYTES
