@@ -15,26 +15,33 @@ window where an operator allows copies.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOT_SECONDS = 600.0
 SLOT_LINES = 4096
 SLOT = ["_s"]
+GROUP = "_g"
+
+
+def _group(keys: list[str], slot: str) -> Column:
+    """Key and slot as one value that is never NULL: windows and joins on it share one partitioning, and null keys meet."""
+    return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], F.col(slot).alias("s"))
 
 
 def with_slots(df: DataFrame, keys: list[str], order: str, width: float) -> DataFrame:
-    return df.withColumn("_s", F.floor(F.col(order) / width))
+    slotted = df.withColumn("_s", F.floor(F.col(order) / width))
+    return slotted.withColumn(GROUP, _group(keys, "_s"))
 
 
-def _slot_window(keys: list[str], *order: Column | str) -> Window:
-    return Window.partitionBy(*keys, *SLOT).orderBy(*order)
+def _slot_window(*order: Column | str) -> Window:
+    return Window.partitionBy(GROUP).orderBy(*order)
 
 
 FAN = 1 << 14
-LEVELS = 2
+LEVELS = 1
+"""One level holds 16,384 slots in a window and leaves a key one row per 16,384 slots for the last: with slots of ten minutes a row
+per 113 days, with slots of 4096 lines a row per 67 million lines. Narrower slots may ask for more."""
 
 
 def _combined(kind: str, near: Column, far: Column) -> Column:
@@ -50,16 +57,18 @@ def _carried(summary: DataFrame, keys: list[str], specs: list[tuple[str, str, st
     nearest later one. A window holds ``FAN`` slots at most, but for the last level: the rows of a key there are its
     slots divided by ``FAN ** levels``.
     """
-    wide = [] if levels == 0 else [F.floor(F.col("_s") / FAN).alias("_w")]
-    df = summary.select(*keys, "_s", *wide, *dict.fromkeys(v for v, _, _ in specs))
-    group = [*keys, *(["_w"] if wide else [])]
+    df = summary.select(*keys, "_s", *dict.fromkeys(v for v, _, _ in specs))
+    if levels:
+        df = df.withColumn("_w", F.floor(F.col("_s") / FAN))
+        df = df.withColumn("_h", _group(keys, "_w"))
+    group = ["_h"] if levels else keys
 
     def over(value: str, kind: str) -> Column:
         order = F.col("_s").desc() if kind == "next" else F.col("_s").asc()
         w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return (F.sum(value) if kind == "sum" else F.last(value, ignorenulls=True)).over(w)
 
-    local = df.select(*group, "_s", *[over(v, k).alias(n) for v, k, n in specs])
+    local = df.select(*keys, "_s", *(["_h"] if levels else []), *[over(v, k).alias(n) for v, k, n in specs])
     if levels == 0:
         return local
 
@@ -71,17 +80,14 @@ def _carried(summary: DataFrame, keys: list[str], specs: list[tuple[str, str, st
 
     up = df.groupBy(*keys, F.col("_w").alias("_g")).agg(*[whole(v, k).alias(f"_u{levels}_{i}") for i, (v, k, _) in enumerate(specs)])
     up = _carried(up.withColumnRenamed("_g", "_s"), keys, [(f"_u{levels}_{i}", k, f"_f{levels}_{i}") for i, (_, k, _) in enumerate(specs)], levels - 1)
-    up = up.select(*[F.col(c).alias(f"_r_{c}") for c in keys], F.col("_s").alias("_r__w"), *[f"_f{levels}_{i}" for i in range(len(specs))])
-    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in group])
-    both = local.join(up, cond, "left")
+    up = up.select(_group(keys, "_s").alias("_r_h"), *[f"_f{levels}_{i}" for i in range(len(specs))])
+    both = local.join(up, F.col("_h") == F.col("_r_h"), "left")
     return both.select(*keys, "_s", *[_combined(k, F.col(n), F.col(f"_f{levels}_{i}")).alias(n) for i, (_, k, n) in enumerate(specs)])
 
 
 def _join_slots(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    on = [*keys, *SLOT]
-    renamed = summary.select(*[F.col(c).alias(f"_r_{c}") for c in on], *[c for c in summary.columns if c not in on])
-    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
-    return df.join(renamed, cond, "left").drop(*[f"_r_{c}" for c in on])
+    renamed = summary.select(_group(keys, "_s").alias("_r_g"), *[c for c in summary.columns if c not in (*keys, *SLOT)])
+    return df.join(renamed, F.col(GROUP) == F.col("_r_g"), "left").drop("_r_g", GROUP)
 
 
 def with_previous(
@@ -95,7 +101,7 @@ def with_previous(
     summary = slotted.groupBy(*keys, *SLOT).agg(edge.alias("_edge"))
     summary = _carried(summary, keys, [("_edge", "next" if following else "last", "_carry")])
     step = F.lead if following else F.lag
-    local = slotted.withColumn("_near", step(here).over(_slot_window(keys, order)))
+    local = slotted.withColumn("_near", step(here).over(_slot_window(order)))
     out = _join_slots(local, summary, keys)
     return out.withColumn(name, F.coalesce("_near", "_carry")).drop("_near", "_carry", *SLOT)
 
@@ -108,7 +114,7 @@ def with_running_sum(
     slotted = with_slots(df.withColumn("_v", value), keys, order, width)
     summary = slotted.groupBy(*keys, *SLOT).agg(F.sum("_v").alias("_sum"))
     summary = _carried(summary, keys, [("_sum", "sum", "_before")])
-    frame = _slot_window(keys, order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    frame = _slot_window(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = slotted.withColumn("_run", F.sum("_v").over(frame))
     zero = F.lit(0).cast(slotted.schema["_v"].dataType)
     out = _join_slots(local, summary, keys)
@@ -121,7 +127,7 @@ def with_row_index(df: DataFrame, keys: list[str], order: str, name: str, width:
     slotted = with_slots(df, keys, order, width)
     summary = slotted.groupBy(*keys, *SLOT).agg(F.count(F.lit(1)).alias("_n"))
     summary = _carried(summary, keys, [("_n", "sum", "_before")])
-    local = slotted.withColumn("_rn", F.row_number().over(_slot_window(keys, order)))
+    local = slotted.withColumn("_rn", F.row_number().over(_slot_window(order)))
     out = _join_slots(local, summary, keys)
     return out.withColumn(name, F.col("_rn") - 1 + F.coalesce("_before", F.lit(0))).drop("_rn", "_before", *SLOT)
 
@@ -147,10 +153,10 @@ def asof_bracket(
     )
     summary = _carried(summary, keys, [("_last", "last", "_below"), ("_first", "next", "_above")])
     so_far = (Window.unboundedPreceding, Window.currentRow)
-    up = _slot_window(keys, F.col(order).asc(), F.col("_ask").asc()).rowsBetween(*so_far)
-    down = _slot_window(keys, F.col(order).desc(), F.col("_ask").asc()).rowsBetween(*so_far)
+    up = _slot_window(F.col(order).asc(), F.col("_ask").asc()).rowsBetween(*so_far)
+    down = _slot_window(F.col(order).desc(), F.col("_ask").asc()).rowsBetween(*so_far)
     local = slotted.select(
-        *keys, *SLOT, order, "_ask",
+        *keys, *SLOT, GROUP, order, "_ask",
         F.last("_p", ignorenulls=True).over(up).alias("_lo"),
         F.last("_p", ignorenulls=True).over(down).alias("_up"),
     ).where("_ask")
