@@ -124,7 +124,23 @@ def _(spark, sf):
     return hits.select("line", r6("pi"), r6("pj"), r6("z"))
 
 
-@query("P4_project_to_terrain")
+SLOPED = {
+    **{k: FLAT[k] for k in FLAT if k not in ("sz", "fl", "ft")},
+    "ry": "SELECT line, sample, p0, p1, (SELECT min(z) FROM dtm) + 1000 - p2 AS p2, d0, d1, d2 FROM rd",
+    "ce": """SELECT a.i, a.j, a.z AS h, b.z - a.z AS hu, c.z - a.z AS hv, d.z - b.z - c.z + a.z AS huv FROM dtm a JOIN dtm b ON b.i = a.i + 1 AND b.j = a.j
+             JOIN dtm c ON c.i = a.i AND c.j = a.j + 1 JOIN dtm d ON d.i = a.i + 1 AND d.j = a.j + 1 WHERE a.z + b.z + c.z + d.z IS NOT NULL""",
+    "iv": """SELECT *, greatest(least((i - p0) / nullif(d0, 0), (i + 1 - p0) / nullif(d0, 0)), least((j - p1) / nullif(d1, 0), (j + 1 - p1) / nullif(d1, 0)), 0) AS lo,
+             least(greatest((i - p0) / nullif(d0, 0), (i + 1 - p0) / nullif(d0, 0)), greatest((j - p1) / nullif(d1, 0), (j + 1 - p1) / nullif(d1, 0))) AS hi
+             FROM ry, ce WHERE (d0 <> 0 OR p0 BETWEEN i AND i + 1) AND (d1 <> 0 OR p1 BETWEEN j AND j + 1)""",
+    "qd": """SELECT line, sample, p0, p1, p2, d0, d1, d2, lo, hi, -huv * d0 * d1 AS c2, d2 - hu * d0 - hv * d1 - huv * ((p0 - i) * d1 + (p1 - j) * d0) AS c1,
+             p2 - h - hu * (p0 - i) - hv * (p1 - j) - huv * (p0 - i) * (p1 - j) AS c0 FROM iv WHERE lo <= hi""",
+    "rt": """SELECT *, unnest(CASE WHEN c2 = 0 THEN [-c0 / c1] ELSE [q / c2, c0 / nullif(q, 0)] END) AS s FROM
+             (SELECT *, -0.5 * (c1 + CASE WHEN c1 >= 0 THEN 1 ELSE -1 END * sqrt(c1 * c1 - 4 * c2 * c0)) AS q FROM qd WHERE c1 * c1 - 4 * c2 * c0 >= 0)""",
+    "ht": "SELECT line, sample, min(s) AS s FROM rt WHERE s BETWEEN lo - 1e-9 * greatest(1, abs(hi)) AND hi + 1e-9 * greatest(1, abs(hi)) GROUP BY 1, 2",
+}
+
+
+@query("P4_project_to_terrain", sql(f"SELECT ry.line, ry.sample, {s6('p0 + s * d0', 'pi')}, {s6('p1 + s * d1', 'pj')}, {s6('p2 + s * d2', 'z')} FROM ry LEFT JOIN ht ON ht.line = ry.line AND ht.sample = ry.sample", **SLOPED))
 def _(spark, sf):
     """Sloped terrain with voids, seen from a flight 1000 above its lowest point."""
     low = inp.dtm(spark, sf).agg(F.min("z")).scalar()

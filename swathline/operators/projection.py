@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from swathline.functions import geo, spectral, vec
 from swathline.functions.vec import Vec
 from swathline.plans.lines import spread
+from swathline.session import cut_lineage
 
 POSE = [f"{n}_{k}" for n in "rp" for k in range(3)]
 
@@ -240,48 +241,118 @@ def _surface(heights, x, y):
     return (1 - a) * near + a * ((1 - b) * heights[i + 1, j] + b * heights[i + 1, j + 1])
 
 
-def project_to_terrain(
-    ray_table: DataFrame, dtm: DataFrame, keys: list[str], line: str = "line", tile: int = TILE, block: int = 256,
-) -> DataFrame:
-    """First hit of each ray with the terrain: all rays, plus pi, pj, z (NULL without a hit).
+FAN = 8
+
+
+def height_pyramid(dtm: DataFrame, tile: int, levels: int, fan: int = FAN) -> DataFrame:
+    """Lowest and highest terrain of each tile, of each square of ``fan`` x ``fan`` tiles, and so on: level, ti, tj, lo, hi."""
+    own = terrain_tiles(dtm, tile).where("z is not null").groupBy("ti", "tj").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
+    base = cut_lineage(own)
+    out = base.withColumn("level", F.lit(0))
+    for level in range(1, levels + 1):
+        square = [F.floor(F.col(c) / fan**level).alias(c) for c in ("ti", "tj")]
+        up = base.groupBy(*square).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        out = out.unionByName(up.withColumn("level", F.lit(level)))
+    return cut_lineage(out.select("level", "ti", "tj", "lo", "hi"))
+
 
-    Rays and terrain are in terrain coordinates (x = row, y = column, z). A ray is sent to the tiles its ground track
-    can cross between the highest and the lowest terrain; the group key also holds a block of lines, so a tile below
-    many rays is worked on by many tasks. Only tiles that a block needs are copied to it. The nearest hit over all
-    tiles of a ray wins. ``keys`` identify a ray. A level or rising ray from
-    below the surface sees nothing.
+def _squares(size: float, rows: tuple[Column, Column], cols: tuple[Column, Column]) -> Column:
+    """Squares of ``size`` that the ray's ground track meets between parameters ``_a`` and ``_b``: ti, tj, a, b.
+
+    Row after row: the part of the track in a row of squares gives the columns met there, so their number grows with the
+    track's length. Only squares within ``rows`` and ``cols`` (both ends included) count.
     """
-    span = dtm.where(spectral.valid_height(F.col("z"))).agg(
-        F.struct(F.max("z").alias("hi"), F.min("z").alias("lo"), F.max("i").alias("i"), F.max("j").alias("j"))
-    ).scalar()
-    ray = ray_table.withColumn("_t", span)
-    # parameters at which the ray passes the top and the bottom of the terrain
-    s_top = F.try_divide(F.col("_t.hi") + 1e-6 - F.col("o_2"), F.col("d_2"))
-    s_low = F.try_divide(F.col("_t.lo") - 1e-6 - F.col("o_2"), F.col("d_2"))
+    tiny = 1e-6
+
+    def at(axis: int, s: Column) -> Column:
+        return F.col(f"o_{axis}") + s * F.col(f"d_{axis}")
+
+    def range_of(axis: int, a: Column, b: Column, limits: tuple[Column, Column]) -> Column:
+        lo = F.floor((F.least(at(axis, a), at(axis, b)) - tiny) / size)
+        hi = F.floor((F.greatest(at(axis, a), at(axis, b)) + tiny) / size)
+        lo, hi = F.greatest(lo, limits[0]), F.least(hi, limits[1])
+        return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+
+    def in_row(r: Column) -> tuple[Column, Column]:
+        near, far = (F.try_divide(r * size - tiny - F.col("o_0"), F.col("d_0")), F.try_divide((r + 1) * size + tiny - F.col("o_0"), F.col("d_0")))
+        return F.greatest(F.col("_a"), F.least(near, far)), F.least(F.col("_b"), F.greatest(near, far))  # NULL ends count for nothing
+
+    def row(r: Column) -> Column:
+        a, b = in_row(r)
+        return F.transform(range_of(1, a, b, cols), lambda q: F.struct(r.alias("ti"), q.alias("tj"), a.alias("a"), b.alias("b")))
+
+    return F.flatten(F.transform(range_of(0, F.col("_a"), F.col("_b"), rows), row))
+
+
+def tiles_crossed(ray_table: DataFrame, dtm: DataFrame, tile: int = TILE, fan: int = FAN) -> DataFrame:
+    """Rays with the tiles in which they can meet the terrain: all columns, plus ti, tj and the ray's parameters _s0 to _s1.
+
+    A pyramid of lowest and highest heights is descended from one square over the whole raster: the part of a ray inside a
+    square and between its heights goes on to those squares of the next level that it crosses. So a ray over flat land
+    skips what it can't touch in large steps, and the rows per ray grow with its length inside the terrain's heights.
+    """
+    size = dtm.agg(F.max("i").alias("i"), F.max("j").alias("j"), F.min("z").alias("lo"), F.max("z").alias("hi")).first()
+    if size["hi"] is None:
+        none = ray_table.where("false")
+        return none.withColumns({"ti": F.lit(0).cast("bigint"), "tj": F.lit(0).cast("bigint"), "_s0": F.lit(0.0), "_s1": F.lit(0.0)})
+    reach = max(int(size["i"]), int(size["j"])) // tile + 1
+    levels = 0
+    while fan**levels < reach:
+        levels += 1
+    tops = height_pyramid(dtm, tile, levels, fan)
+    hi, lo = F.lit(float(size["hi"]) + 1e-6), F.lit(float(size["lo"]) - 1e-6)
+    # parameters between which the ray is between the highest and the lowest terrain
+    s_top, s_low = F.try_divide(hi - F.col("o_2"), F.col("d_2")), F.try_divide(lo - F.col("o_2"), F.col("d_2"))
     # a level or rising ray can hit a slope until it leaves the top or the raster
-    below = F.when(F.col("o_2") <= F.col("_t.hi") + 1e-6, F.greatest(F.lit(0.0), F.when(F.col("d_2") > 0, s_low).otherwise(0.0)))
+    below = F.when(F.col("o_2") <= hi, F.greatest(F.lit(0.0), F.when(F.col("d_2") > 0, s_low).otherwise(0.0)))
     leaves = [
-        F.greatest(F.try_divide(-F.col(f"o_{k}"), F.col(f"d_{k}")), F.try_divide(F.col(f"_t.{last}") - F.col(f"o_{k}"), F.col(f"d_{k}")))
-        for k, last in ((0, "i"), (1, "j"))
+        F.greatest(F.try_divide(-F.col(f"o_{k}"), F.col(f"d_{k}")), F.try_divide(F.lit(float(last)) - F.col(f"o_{k}"), F.col(f"d_{k}")))
+        for k, last in ((0, size["i"]), (1, size["j"]))
     ]
     until = F.least(s_top, *leaves)  # what is parallel to a border is NULL and left out; all NULL: the ray stands still
     falls = F.col("d_2") < 0
-    ray = ray.withColumns({
+    ray = ray_table.withColumns({
         "_s0": F.when(falls, F.greatest(F.lit(0.0), s_top)).otherwise(below), "_s1": F.when(falls, s_low).otherwise(until + 1e-9),
     }).where(F.col("_s1") >= F.col("_s0"))
-    def tiles(axis: int, last: str) -> Column:
-        a = F.col(f"o_{axis}") + F.col("_s0") * F.col(f"d_{axis}")
-        b = F.col(f"o_{axis}") + F.col("_s1") * F.col(f"d_{axis}")
-        lo, hi = F.floor((F.least(a, b) - 1e-6) / tile), F.floor((F.greatest(a, b) + 1e-6) / tile)
-        lo, hi = F.greatest(lo, F.lit(0)), F.least(hi, F.floor(F.col(f"_t.{last}") / tile))
-        return F.when(lo <= hi, F.sequence(lo, hi))
-    parts = ray.withColumn("ti", F.explode(tiles(0, "i"))).withColumn("tj", F.explode(tiles(1, "j")))
+    zero = F.lit(0).cast("bigint")
+    at = ray.withColumns({"ti": zero, "tj": zero, "_a": F.col("_s0"), "_b": F.col("_s1")})
+    for level in range(levels, -1, -1):
+        known = tops.where(F.col("level") == level).select(F.col("ti").alias("_ti"), F.col("tj").alias("_tj"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+        met = at.join(known, (F.col("ti") == F.col("_ti")) & (F.col("tj") == F.col("_tj")))
+        up, down = (F.try_divide(F.col("_hi") + 1e-6 - F.col("o_2"), F.col("d_2")), F.try_divide(F.col("_lo") - 1e-6 - F.col("o_2"), F.col("d_2")))
+        level_ray = F.col("d_2") == 0
+        inside = F.col("o_2").between(F.col("_lo") - 1e-6, F.col("_hi") + 1e-6)
+        met = met.withColumns({
+            "_a": F.when(level_ray, F.col("_a")).otherwise(F.greatest(F.col("_a"), F.least(up, down) - 1e-9)),
+            "_b": F.when(level_ray, F.col("_b")).otherwise(F.least(F.col("_b"), F.greatest(up, down) + 1e-9)),
+        }).where((F.col("_a") <= F.col("_b")) & (~level_ray | inside))
+        if level:
+            first = [F.col(c) * fan for c in ("ti", "tj")]
+            next_ = _squares(float(tile * fan ** (level - 1)), (first[0], first[0] + fan - 1), (first[1], first[1] + fan - 1))
+            met = met.withColumn("_q", F.explode(next_))
+            met = met.withColumns({"ti": F.col("_q.ti"), "tj": F.col("_q.tj"), "_a": F.col("_q.a"), "_b": F.col("_q.b")})
+        at = met.select(*ray_table.columns, "ti", "tj", "_s0", "_s1", "_a", "_b")
+    return at.drop("_a", "_b")
+
+
+def project_to_terrain(
+    ray_table: DataFrame, dtm: DataFrame, keys: list[str], line: str = "line", tile: int = TILE, block: int = 256,
+) -> DataFrame:
+    """First hit of each ray with the terrain: all rays, plus pi, pj, z (NULL without a hit).
+
+    Rays and terrain are in terrain coordinates (x = row, y = column, z). A ray is sent to the tiles of ``tiles_crossed``; the
+    group key also holds a block of lines, so a tile below many rays is worked on by many tasks. Only tiles that a block
+    needs are copied to it. The nearest hit over all tiles of a ray wins. ``keys`` identify a ray. A cell with a corner that
+    has no valid height has no surface. A level or rising ray from below the surface sees nothing.
+    """
+    solid = dtm.withColumn("z", F.when(spectral.valid_height(F.col("z")), F.col("z")))
+    parts = tiles_crossed(ray_table, solid, tile)
     group = ["ti", "tj", "_b"]
     parts = parts.withColumn("_b", F.floor(F.col(line) / block)).select(
         *group, *keys, *[f"{n}_{k}" for n in "od" for k in range(3)], "_s0", "_s1"
     )
     needed = parts.select(F.col("ti").alias("gi"), F.col("tj").alias("gj"), F.col("_b").alias("gb")).distinct()
-    ground = terrain_tiles(dtm, tile).join(needed, (F.col("ti") == F.col("gi")) & (F.col("tj") == F.col("gj")))
+    ground = terrain_tiles(solid, tile).join(needed, (F.col("ti") == F.col("gi")) & (F.col("tj") == F.col("gj")))
     ground = ground.select("gi", "gj", "gb", "i", "j", "z")
     names = [*keys, "s", "pi", "pj", "z"]
 

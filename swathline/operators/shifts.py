@@ -534,17 +534,59 @@ def map_to_original(points: DataFrame, order: DataFrame, acc: DataFrame) -> Data
     return met.select(*points.columns, (F.col("x") - F.col("acc")).alias("ox"), (F.col("line") + F.col("_over")).alias("oy"))
 
 
+def dyadic_cover(low: Column, high: Column) -> Column:
+    """The aligned intervals of lengths 1, 2, 4, ... that make up ``low`` to ``high`` (included, not negative): level, place.
+
+    Going up the levels, an odd lower end and an even upper end stand alone; at most two intervals of a length are needed.
+    """
+    def step(state: Column, k: Column) -> Column:
+        a, b = state["a"], state["b"]
+        live = a <= b
+        left = F.when(live & (a % 2 == 1), F.array(F.struct(k.alias("level"), a.alias("place"))))
+        right = F.when(live & (b % 2 == 0) & ~((a == b) & (a % 2 == 1)), F.array(F.struct(k.alias("level"), b.alias("place"))))
+        none = F.array().cast("array<struct<level:int,place:bigint>>")
+        return F.struct(
+            F.floor((a + 1) / 2).alias("a"), F.floor((b + 1) / 2 - 1).alias("b"),
+            F.concat(state["out"], F.coalesce(left, none), F.coalesce(right, none)).alias("out"),
+        )
+
+    start = F.struct(low.cast("bigint").alias("a"), high.cast("bigint").alias("b"), F.array().cast("array<struct<level:int,place:bigint>>").alias("out"))
+    # as many levels as the interval has binary digits; its ends meet before that
+    levels = F.sequence(F.lit(0), F.ceil(F.log2((high - low + 1).cast("double"))).cast("int") + 1)
+    return F.aggregate(levels, start, step, lambda state: state["out"])
+
+
+def last_bracket(spans: DataFrame, lines: DataFrame) -> DataFrame:
+    """For each line the bracket over it with the highest order_idx: seq, _line, _at (order_idx, line, _to).
+
+    ``spans``: seq, order_idx, line, _to; ``lines``: seq, _line. A bracket is sent to the O(log n) aligned intervals that make
+    it up, of which only the best bracket of each stays; a line asks for the one interval of each length that it lies in. So
+    an order whose neighbours lie far apart costs n log n rows, not the sum of the distances.
+    """
+    at = F.struct("order_idx", "line", "_to")
+    pieces = spans.select("seq", F.explode(dyadic_cover(F.col("line"), F.col("_to"))).alias("_p"), at.alias("_at"))
+    held = pieces.groupBy("seq", F.col("_p.level").alias("_level"), F.col("_p.place").alias("_place")).agg(F.max("_at").alias("_at"))
+    held = cut_lineage(held)
+    top = held.agg(F.max("_level")).first()[0]
+    if top is None:
+        return lines.withColumn("_at", F.lit(None).cast("struct<order_idx:bigint,line:bigint,_to:bigint>")).where("false")
+    levels = F.sequence(F.lit(0), F.lit(int(top)))
+    asked = lines.select("seq", "_line", F.explode(levels).alias("_level"))
+    asked = asked.withColumn("_place", F.floor(F.col("_line") / F.pow(F.lit(2.0), F.col("_level"))))
+    return asked.join(held, ["seq", "_level", "_place"]).groupBy("seq", "_line").agg(F.max("_at").alias("_at"))
+
+
 def map_from_original(points: DataFrame, order: DataFrame, acc: DataFrame, compat: bool = False) -> DataFrame:
     """Original (x, y) to rectified: y between the last two neighbouring order entries that bracket the line.
 
-    Brackets are spread over the lines they cover (at most the search range) and met by equi-join. Past the line of
-    the last entry y goes on from n-1 (``compat``: from n).
+    Brackets and lines meet in ``last_bracket``. Past the line of the last entry y goes on from n-1 (``compat``: from n).
     """
     nxt = order.select("seq", (F.col("order_idx") - 1).alias("order_idx"), F.col("line").alias("_to"))
     spans = order.join(nxt, ["seq", "order_idx"]).where("line < _to")
-    hits = spans.select("seq", "order_idx", "line", "_to", F.explode(F.sequence("line", "_to")).alias("_line"))
-    y = F.col("order_idx") + (F.col("_line") - F.col("line")) / (F.col("_to") - F.col("line"))
-    last = hits.groupBy("seq", "_line").agg(F.max_by(y, F.col("order_idx")).alias("_y"))
+    lines = order.select("seq", F.col("line").alias("_line")).unionByName(spans.select("seq", F.col("_to").alias("_line"))).distinct()
+    best = last_bracket(spans, lines)
+    y = F.col("_at.order_idx") + (F.col("_line") - F.col("_at.line")) / (F.col("_at._to") - F.col("_at.line"))
+    last = best.select("seq", "_line", y.alias("_y"))
     ends = order.groupBy("seq").agg(F.count(F.lit(1)).alias("_n"), F.max_by("line", "order_idx").alias("_back"), F.max("line").alias("_top"))
     asked = points.join(ends, "seq").withColumn("_line", F.round("y").cast("bigint"))
     asked = asked.withColumn("line", F.greatest(F.lit(0), F.least(F.col("_top"), F.col("_line"))))

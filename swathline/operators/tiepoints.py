@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from swathline.functions import geo, spectral, vec
 from swathline.operators import projection, trajectory
 from swathline.operators.raster import bilinear_sample
+from swathline.session import cut_lineage
 
 
 def group_observations(obs: DataFrame, solved: DataFrame) -> DataFrame:
@@ -164,13 +165,51 @@ def rate_reprojection(df: DataFrame, time_per_pixel: float, **camera) -> DataFra
     return reprojection_residual(moved, **camera)
 
 
-def closest_approach_time(obs: DataFrame, poses: DataFrame, n_samples: int, direction, block: int = 64) -> DataFrame:
+FAN = 16
+"""Children of a node in the hierarchy of trajectory blocks."""
+
+
+def _angle(of: str, to: str) -> Column:
+    """Angle of the rotation between two attitudes held as matrices."""
+    turned = vec.matmul(vec.transpose(vec.ref(of, 9)), vec.ref(to, 9))
+    return F.acos(F.least(F.greatest((turned[0] + turned[4] + turned[8] - 1) / 2, F.lit(-1.0)), F.lit(1.0)))
+
+
+def trajectory_hierarchy(rows: DataFrame, block: int, fan: int) -> tuple[DataFrame, int]:
+    """Spheres and cones around consecutive poses: level, seq, node, c_*, h_* (first pose), rad, cone; and the number of levels above 0.
+
+    ``rows``: seq, k (row number), p_*, m_*. A node of level 0 holds ``block`` rows, one of level l ``fan`` nodes of level l - 1:
+    every origin lies within ``rad`` of c, every attitude within the angle ``cone`` of h.
+    """
+    head = [*[f"c_{k}" for k in range(3)], *[f"h_{k}" for k in range(9)]]
+    of_row = [*[F.col(f"p_{k}").alias(f"c_{k}") for k in range(3)], *[F.col(f"m_{k}").alias(f"h_{k}") for k in range(9)]]
+    placed = rows.withColumn("node", F.floor(F.col("k") / block))
+    first = placed.where(F.col("k") % block == 0).select("seq", "node", *of_row)
+    near = placed.join(first, ["seq", "node"]).groupBy("seq", "node").agg(
+        F.max(vec.norm(vec.sub(vec.ref("p"), vec.ref("c")))).alias("rad"), F.max(_angle("h", "m")).alias("cone"))
+    nodes = cut_lineage(near.join(first, ["seq", "node"]).select(F.lit(0).alias("level"), "seq", "node", *head, "rad", "cone"))
+    last = nodes.agg(F.max("node")).first()[0] or 0
+    levels, out = 0, nodes
+    while fan**levels <= last:
+        levels += 1
+        below = nodes.withColumns({"child": F.col("node"), "node": F.floor(F.col("node") / fan)})
+        first = below.where(F.col("child") % fan == 0).select("seq", "node", *[F.col(c).alias(f"n{c}") for c in head])
+        # a child's sphere reaches as far as its centre is away, and its own radius; and its cone likewise
+        both = below.join(first, ["seq", "node"]).groupBy("seq", "node").agg(
+            F.max(vec.norm(vec.sub(vec.ref("c"), vec.ref("nc"))) + F.col("rad")).alias("rad"), F.max(_angle("nh", "h") + F.col("cone")).alias("cone"))
+        nodes = both.join(first, ["seq", "node"]).select(F.lit(levels).alias("level"), "seq", "node", *[F.col(f"n{c}").alias(c) for c in head], "rad", "cone")
+        nodes = cut_lineage(nodes)
+        out = out.unionByName(nodes)
+    return out, levels
+
+
+def closest_approach_time(obs: DataFrame, poses: DataFrame, n_samples: int, direction, block: int = 64, fan: int = FAN) -> DataFrame:
     """Trajectory row whose ray passes closest to the landmark: obs_id, seq, y, t, dist (first row on a tie).
 
-    Branch and bound in two joins. Consecutive poses form blocks with a sphere around their origins and a cone around
-    their viewing axis; per observation a block gets a lower bound of the distance, and the first row of each block an
-    exact distance. Only blocks whose bound does not exceed the best of those are opened. ``poses``: seq, t, r_*, p_*;
-    ``obs``: seq, obs_id, x, y, l_0..2.
+    Branch and bound down ``trajectory_hierarchy``: an observation begins with its sequence's one top node. At each level a
+    node gives a lower bound of the distance, and its first row an exact one; nodes whose bound doesn't exceed the best exact
+    distance so far go on to their children, and in the end to their rows. ``poses``: seq, t, r_*, p_*; ``obs``: seq,
+    obs_id, x, y, l_0..2.
     """
     from swathline.plans.ordered import with_row_index
 
@@ -180,17 +219,11 @@ def closest_approach_time(obs: DataFrame, poses: DataFrame, n_samples: int, dire
     start, end = F.when(lo < 0, c).otherwise(a), F.when(hi > n_samples - 1, a).otherwise(c)
     seen = obs.where((hi >= 0) & (lo < n_samples))
     ray = [(1 - w) * s + w * e for s, e in zip(direction(start), direction(end))]
-    seen = vec.keep(seen, v=ray).select("seq", "obs_id", "y", *[f"{n}_{k}" for n in "lv" for k in range(3)])
+    of_obs = ["seq", "obs_id", "y", *[f"{n}_{k}" for n in "lv" for k in range(3)]]
+    seen = cut_lineage(vec.keep(seen, v=ray).select(*of_obs))
     rows = vec.with_rodrigues(with_row_index(poses, ["seq"], "t", "k"), "m", vec.ref("r"))
-    rows = rows.withColumn("blk", F.floor(F.col("k") / block)).select(
-        "seq", "blk", "t", "k", *[f"p_{k}" for k in range(3)], *[f"m_{k}" for k in range(9)])
-    heads = rows.where(F.col("k") % block == 0).select(
-        "seq", "blk", *[F.col(f"p_{k}").alias(f"c_{k}") for k in range(3)], *[F.col(f"m_{k}").alias(f"h_{k}") for k in range(9)])
-    spread = rows.join(heads, ["seq", "blk"])
-    turned = vec.matmul(vec.transpose(vec.ref("h", 9)), vec.ref("m", 9))
-    angle = F.acos(F.least(F.greatest((turned[0] + turned[4] + turned[8] - 1) / 2, F.lit(-1.0)), F.lit(1.0)))
-    blocks = spread.groupBy("seq", "blk").agg(
-        F.max(vec.norm(vec.sub(vec.ref("p"), vec.ref("c")))).alias("rad"), F.max(angle).alias("cone")).join(heads, ["seq", "blk"])
+    rows = cut_lineage(rows.select("seq", "t", "k", *[f"p_{k}" for k in range(3)], *[f"m_{k}" for k in range(9)]))
+    nodes, levels = trajectory_hierarchy(rows, block, fan)
 
     def distance(df: DataFrame, m: str, p: str) -> DataFrame:
         """Distance of the landmark to the line through p along m*v."""
@@ -198,15 +231,19 @@ def closest_approach_time(obs: DataFrame, poses: DataFrame, n_samples: int, dire
         df = df.withColumn("_s", vec.dot(vec.ref("g"), vec.ref("e")) / vec.dot(vec.ref("g"), vec.ref("g")))
         return df.withColumn("dist", vec.norm(vec.sub(vec.ref("e"), vec.scale(vec.ref("g"), F.col("_s")))))
 
-    met = distance(seen.join(blocks, "seq"), "h", "c")
     far = vec.norm(vec.ref("e"))
     off = F.asin(F.least(F.try_divide(F.col("dist"), far), F.lit(1.0)))
     slack = F.col("cone") + F.asin(F.least(F.coalesce(F.try_divide(F.col("rad"), far), F.lit(1.0)), F.lit(1.0)))
     bound = F.when(far <= F.col("rad"), 0.0).otherwise((far - F.col("rad")) * F.sin(F.greatest(off - slack, F.lit(0.0))))
-    met = met.withColumn("bound", F.coalesce(bound, F.lit(0.0)) - 1e-9)
-    best = met.groupBy("seq", "obs_id").agg(F.min("dist").alias("_best"))
-    opened = met.select("seq", "obs_id", "blk", "bound").join(best, ["seq", "obs_id"]).where("bound <= _best").select("seq", "obs_id", "blk")
-    pairs = opened.join(seen, ["seq", "obs_id"]).join(rows, ["seq", "blk"])
+    front = seen.withColumns({"node": F.lit(0).cast("bigint"), "_best": F.lit(None).cast("double")})
+    for level in range(levels, -1, -1):
+        met = distance(front.join(nodes.where(F.col("level") == level).drop("level"), ["seq", "node"]), "h", "c")
+        met = met.select(*of_obs, "node", "_best", "dist", (F.coalesce(bound, F.lit(0.0)) - 1e-9).alias("bound"))
+        best = F.min(F.least("dist", "_best")).over(Window.partitionBy("seq", "obs_id"))
+        met = cut_lineage(met.withColumn("_best", best).where("bound <= _best"))
+        children = F.sequence(F.col("node") * fan, F.col("node") * fan + fan - 1) if level else F.array("node")
+        front = met.select(*of_obs, F.explode(children).alias("node"), "_best")
+    pairs = front.join(rows.withColumn("node", F.floor(F.col("k") / block)), ["seq", "node"])
     exact = distance(pairs, "m", "p")
     return exact.groupBy("seq", "obs_id").agg(
         F.first("y").alias("y"), F.min(F.struct(F.col("dist").alias("d"), F.col("t"))).alias("_m")
