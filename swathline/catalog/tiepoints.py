@@ -271,9 +271,14 @@ HARRIS = {"im": "SELECT file_id AS img, line, sample, dn AS value FROM px WHERE
           "co": "SELECT * FROM sc a WHERE response > 0 AND response >= (SELECT max(response) FROM sc b WHERE a.img = b.img AND abs(a.line - b.line) <= 3 AND abs(a.sample - b.sample) <= 3)"}
 
 
-@query("L16_corner_candidates", sql("SELECT img, line, sample, row_number() OVER (PARTITION BY img ORDER BY response DESC, line, sample) AS rank FROM co", **HARRIS))
+ALL_BANDS = {**HARRIS, "im": "SELECT file_id * 64 + band AS img, line, sample, dn AS value FROM px"}
+
+
+@query("L16_corner_candidates", sql("SELECT img, line, sample, row_number() OVER (PARTITION BY img ORDER BY response DESC, line, sample) AS rank FROM co", **ALL_BANDS))
 def _(spark, sf):
-    return op.corner_candidates(image(spark, sf)).select("img", "line", "sample", "rank")
+    """Corners of every band of every file."""
+    every = inp.pixels_long(spark, sf).select((F.col("file_id") * 64 + F.col("band")).alias("img"), "line", "sample", F.col("dn").alias("value"))
+    return op.corner_candidates(every).select("img", "line", "sample", "rank")
 
 
 def matched(spark, sf):
@@ -308,11 +313,22 @@ def _(spark, sf):
     return op.filter_inliers(at.select("pair", "a", F.col("a").alias("b"), "x1", "y1", F.expr(x2).alias("x2"), F.expr(y2).alias("y2"))).select("pair", "a")
 
 
-@query("L17_matched_inliers")
+SEEN_AGAIN = {k: v.replace("<= 3", "<= 1") for k, v in HARRIS.items()}
+
+
+@query("L17_matched_inliers", sql("SELECT img AS pair, line * 32 + sample AS a, (line + 3) * 32 + sample + 2 AS b FROM co WHERE img IN (SELECT img FROM co GROUP BY 1 HAVING count(*) >= 4)", **SEEN_AGAIN))
 def _(spark, sf):
-    m = matched(spark, sf)
-    at = lambda c: [(F.col(c) % 20).alias(f"x{'12'['ab'.index(c)]}"), F.floor(F.col(c) / 20).alias(f"y{'12'['ab'.index(c)]}")]
-    return op.filter_inliers(m.select("pair", "a", "b", *at("a"), *at("b")))
+    """Corners of each file matched with those of the same ground seen three lines and two samples further on, then filtered."""
+    px = inp.pixels(spark, sf).select(F.col("file_id").alias("img"), "line", "sample", "spectrum", F.col("dns")[12].alias("value"))
+
+    def corners(seen):
+        at = op.corner_candidates(seen.select("img", "line", "sample", "value"), radius=1).join(seen, ["img", "line", "sample"])
+        return at.select(F.col("img").alias("pair"), (F.col("line") * 32 + F.col("sample")).alias("id"), F.col("spectrum").alias("desc"))
+
+    moved = px.withColumns({"line": F.col("line") + 3, "sample": F.col("sample") + 2})
+    m = op.match_corners(corners(px), corners(moved))
+    at = [(F.col(c) % 32).alias(f"x{k}") for c, k in (("a", 1), ("b", 2))] + [F.floor(F.col(c) / 32).alias(f"y{k}") for c, k in (("a", 1), ("b", 2))]
+    return op.filter_inliers(m.select("pair", "a", "b", *at), threshold=0.5).select("pair", "a", "b")
 
 
 @query("L18_timed_observations", sql(f"SELECT seq % 3 AS trajectory, seq, obs_id, lm_id, {s6('t', 't', 3)} FROM tm", tm=TIMED))

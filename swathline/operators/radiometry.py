@@ -21,9 +21,11 @@ def average_frame(px_long: DataFrame, keep: list[str], value: str, integer: bool
 
 def subtract_dark(px: DataFrame, dark: DataFrame, array: str = "dns", floor_at_zero: bool = True) -> DataFrame:
     """``array`` minus the dark frame of the sample, saturating at zero. One dark row per sample of the sensor: the frame
-    enters as one scalar map, so the cube is not shuffled."""
-    frame = dark.agg(F.map_from_entries(F.collect_list(F.struct("sample", "dark")))).scalar()
-    left = px.withColumn("_frame", frame).withColumn("dark", F.try_element_at("_frame", F.col("sample"))).drop("_frame")
+    enters as one scalar array, in which a pixel finds its row by the sample's number; so the cube is not shuffled."""
+    by_sample = F.map_from_entries(F.collect_list(F.struct("sample", "dark")))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.max("sample"), F.lit(0)).cast("bigint"))
+    rows = dark.agg(by_sample.alias("m"), numbers.alias("n")).select(F.transform("n", lambda k: F.try_element_at("m", k.cast(dark.schema["sample"].dataType))))
+    left = px.withColumn("_frame", rows.scalar()).withColumn("dark", F.get("_frame", F.col("sample").cast("int"))).drop("_frame")
     def minus(v: Column, d: Column) -> Column:
         d = F.coalesce(d, F.lit(0))
         return v - (F.least(d, v) if floor_at_zero else d)

@@ -430,7 +430,7 @@ def corner_candidates(image: DataFrame, radius: int = 3, top: int | None = None,
     return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
-def match_corners(left: DataFrame, right: DataFrame, cells: int = 8) -> DataFrame:
+def match_corners(left: DataFrame, right: DataFrame) -> DataFrame:
     """Mutual nearest neighbours of corner descriptors: pair, a, b, dist. Inputs: pair, id, desc ARRAY<DOUBLE>.
 
     Every corner of one image is compared with every one of the other; ``corner_candidates`` with ``top`` bounds both.
@@ -444,33 +444,101 @@ def match_corners(left: DataFrame, right: DataFrame, cells: int = 8) -> DataFram
     return from_a.join(from_b, ["pair", "a", "b"])
 
 
-def filter_inliers(matches: DataFrame, iterations: int = 2000, threshold: float = 20.0) -> DataFrame:
-    """Matches that agree with the best affine map of ``iterations`` hypotheses of three matches each.
+POOL = 4096
+"""Matches of an image pair that hypotheses are drawn from, at most: those with the smallest hashes. All matches vote."""
+SLICE = 8192
 
-    ``matches``: pair, a, b, x1, y1, x2, y2; the matches of an image pair are one group. Hypotheses are drawn with a seed
-    from the pair. Fewer than three matches fix no map, so none of them is an inlier.
-    """
-    def consensus(pdf):
+
+def _hypotheses(iterations: int):
+    """Projective maps through four matches each, for the pool of one pair: h and nine numbers, row by row; degenerate draws are left out."""
+    def draw(pdf):
         import numpy as np
+        import pandas as pd
 
-        if len(pdf) < 3:
-            return pdf[:0]
-        pdf = pdf.sort_values(["a", "b"])
-        src = np.c_[pdf[["x1", "y1"]].to_numpy(float), np.ones(len(pdf))]
-        dst = pdf[["x2", "y2"]].to_numpy(float)
-        rng = np.random.default_rng(int(pdf["pair"].iloc[0]))
-        best = np.zeros(len(pdf), bool)
-        for _ in range(iterations):
-            pick = rng.choice(len(pdf), 3, replace=False)
-            if abs(np.linalg.det(src[pick])) < 1e-9:
+        names = ["pair", "h", "map"]
+        if len(pdf) < 4:
+            return pd.DataFrame(columns=names)
+        pdf = pdf.sort_values(["a", "b", "x1", "y1", "x2", "y2"])
+        rng = np.random.default_rng(abs(int(pdf["pair"].iloc[0])))
+        pick = np.argpartition(rng.random((iterations, len(pdf))), 3, axis=1)[:, :4] if len(pdf) < 64 else rng.integers(0, len(pdf), (iterations, 4))
+        src, dst = pdf[["x1", "y1"]].to_numpy(float)[pick], pdf[["x2", "y2"]].to_numpy(float)[pick]
+
+        def flat(p):  # three of the four on a line, or one point twice
+            def area(i, j, k):
+                a, b = p[:, j] - p[:, i], p[:, k] - p[:, i]
+                return abs(a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0])
+
+            return np.minimum.reduce([area(0, 1, 2), area(0, 1, 3), area(0, 2, 3), area(1, 2, 3)]) < 1e-9
+
+        sound = np.flatnonzero(~flat(src) & ~flat(dst))
+        x, y, u, v = src[sound, :, 0], src[sound, :, 1], dst[sound, :, 0], dst[sound, :, 1]
+        one, zero = np.ones_like(x), np.zeros_like(x)
+        to_u = np.stack([x, y, one, zero, zero, zero, -u * x, -u * y], axis=2)
+        to_v = np.stack([zero, zero, zero, x, y, one, -v * x, -v * y], axis=2)
+        found, maps = [], []
+        for h, left, right in zip(sound, np.concatenate([to_u, to_v], axis=1), np.concatenate([u, v], axis=1), strict=True):
+            try:
+                maps.append([*np.linalg.solve(left, right), 1.0])
+                found.append(int(h))
+            except np.linalg.LinAlgError:  # the four allow no such map
                 continue
-            ok = np.linalg.norm(src @ np.linalg.solve(src[pick], dst[pick]) - dst, axis=1) < threshold
-            if ok.sum() > best.sum():
-                best = ok
-        return pdf[best]
+        if not found:
+            return pd.DataFrame(columns=names)
+        return pd.DataFrame({"pair": [pdf["pair"].iloc[0]] * len(found), "h": found, "map": maps}, columns=names)
+
+    return draw
+
+
+def _votes(threshold: float):
+    """How many matches of a slice each map of the pair brings to within the threshold."""
+    def vote(key, part, maps):
+        import numpy as np
+        import pandas as pd
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in matches.schema.fields)
-    return matches.groupBy("pair").applyInPandas(consensus, schema)
+        if not len(part) or not len(maps):
+            return pd.DataFrame(columns=["pair", "h", "votes"])
+        at = np.stack([part["x1"], part["y1"], np.ones(len(part))]).astype(float)
+        want = part[["x2", "y2"]].to_numpy(float).T
+        counts = []
+        for row in maps["map"]:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                moved = np.reshape(row, (3, 3)) @ at
+                counts.append(int((np.hypot(*(moved[:2] / moved[2] - want)) < threshold).sum()))
+        return pd.DataFrame({"pair": [key[0]] * len(maps), "h": maps["h"].to_numpy(), "votes": counts})
+
+    return vote
+
+
+def best_maps(matches: DataFrame, iterations: int = 2000, threshold: float = 20.0) -> DataFrame:
+    """The projective map of each image pair that most matches agree with: pair, map (nine numbers, row by row), votes.
+
+    Maps are drawn from a pool of at most ``POOL`` matches of a pair; all its matches vote in slices of about ``SLICE``, whose
+    counts are summed. So a pair with any number of matches is worked on by many tasks. A pair with less than four
+    matches has no map; of equal counts the earliest draw wins.
+    """
+    kind = matches.schema["pair"].dataType.simpleString()
+    mixed = F.xxhash64("a", "b", "x1", "y1", "x2", "y2")
+    near = Window.partitionBy("pair").orderBy(mixed, "a", "b")
+    pool = matches.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= POOL).drop("_r")  # kept per task before the shuffle
+    maps = cut_lineage(pool.groupBy("pair").applyInPandas(_hypotheses(iterations), f"pair {kind}, h bigint, map array<double>"))
+    sizes = matches.groupBy("pair").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("_n"))
+    sliced = matches.join(sizes, "pair").withColumn("_slice", F.pmod(mixed, F.col("_n"))).select("pair", "_slice", "x1", "y1", "x2", "y2")
+    asked = maps.join(sizes, "pair").withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1))).select("pair", "_slice", "h", "map")
+    counts = sliced.groupBy("pair", "_slice").cogroup(asked.groupBy("pair", "_slice")).applyInPandas(_votes(threshold), f"pair {kind}, h bigint, votes bigint")
+    total = counts.groupBy("pair", "h").agg(F.sum("votes").alias("votes"))
+    best = total.groupBy("pair").agg(F.max_by("h", F.struct("votes", -F.col("h"))).alias("h"), F.max("votes").alias("votes"))
+    return maps.join(best, ["pair", "h"]).select("pair", "map", "votes")
+
+
+def filter_inliers(matches: DataFrame, iterations: int = 2000, threshold: float = 20.0) -> DataFrame:
+    """Matches that agree with the best projective map of their image pair, of ``iterations`` drawn ones (``best_maps``).
+
+    ``matches``: pair, a, b, x1, y1, x2, y2. Less than four matches fix no map, so none of them is an inlier.
+    """
+    at = [F.get("map", F.lit(3 * r)) * F.col("x1") + F.get("map", F.lit(3 * r + 1)) * F.col("y1") + F.get("map", F.lit(3 * r + 2)) for r in range(3)]
+    gap = [F.try_divide(at[r], at[2]) - F.col(c) for r, c in enumerate(("x2", "y2"))]
+    met = matches.join(best_maps(matches, iterations, threshold).select("pair", "map"), "pair")
+    return met.where(F.sqrt(gap[0] * gap[0] + gap[1] * gap[1]) < threshold).select(*matches.columns)
 
 
 def timed_observations(obs: DataFrame, sequences: DataFrame, lines: DataFrame) -> DataFrame:
