@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from swathline.llm.common import stored
 
 SHARDS = 16
-ROUNDS = 14
 RANK_ROWS = 100_000
 
 
@@ -115,9 +114,7 @@ def even_shards(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, in
     low = max(-(-total // bins), rest[0][0])
     high = low + rest[0][0]
     best = best_fit_decreasing(rest, high, bins)
-    for _ in range(ROUNDS):
-        if low >= high:
-            break
+    while low < high:  # to the smallest capacity that bisection finds: as many rounds as the largest size has binary digits
         middle = (low + high) // 2
         found = best_fit_decreasing(rest, middle, bins)
         if found is None:
