@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swathline.llm.common import slices, stored
-from swathline.session import shared_folder
+from swathline.session import own_path
 
 DICTIONARY_MAGIC = 0x184D2A5D
 LEAST_REVISIT = 1000
@@ -186,14 +186,14 @@ def _writer(folder: str):
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Archives of all ``pages`` in ``folder`` (by default one of its own in the shared folder): ``path, records, bytes``.
+    """Archives of all ``pages`` in ``folder`` (by default one of its own in the shared folder, which goes when the session ends): ``path, records, bytes``.
 
     Of pages with equal payloads of 1000 bytes or more the largest page_id owns the payload; others become revisits. Rows
     that repeat the owner's page_id are responses too. A null html is an empty payload; a null page_id or url is left out of
     the record, and a payload that only pages without an id have is stored with each.
     """
     spark = pages.sparkSession
-    folder = folder or f"{shared_folder(spark)}/archives/{uuid.uuid4().hex}"
+    folder = folder or own_path(spark)
     fs, path = open_folder(folder)
     fs.create_dir(path, recursive=True)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
