@@ -5,6 +5,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from swathline.llm import licenses, quality, toxicity
 from swathline.llm.fingerprints import fingerprint_table
@@ -55,6 +56,56 @@ def test_license_filters_lose_nothing():
         assert got == want
 
 
+GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+
+
+def test_licenses_over_lines(spark):
+    filler = " ".join(f"w{i}" for i in range(500))
+    strewn = filler.join(["copyright ", " c ", " all ", " rights ", " reserved"])
+    texts = [
+        GRANT, "# " + GRANT.replace("\n", "\n# "), "/*\n * " + GRANT.replace(" ", "\n * ") + "\n */", filler + "\n" + GRANT + "\n" + filler, strewn,
+        strewn.replace("\n", " "), "Copyright (c) 2020,\nall rights are reserved", GRANT.replace(" ", " x "), GRANT.replace("\n", " "),
+        licenses.TEMPLATES["mit-text"].replace(" software ", "\nsoftware ").upper(), "(" + licenses.TEMPLATES["apache-header"].replace(" the ", "\n// the ") + ")",
+    ]
+    docs = table(spark, texts)
+    found = [r["labels"] for r in licenses.scan_licenses(docs).orderBy("doc_id").collect()]
+    assert found[:4] == ["mit-grant"] * 4 and found[4:6] == ["", ""]
+    assert found[6:9] == ["reserved-notice", "", "mit-grant"]
+    assert found[9] == "mit-grant,mit-text" and found[10] == "apache-2.0,apache-header"
+    same_as_sql(licenses.scan_licenses(docs), licenses.SQL, docs)
+    halves = GRANT.split("\n")
+    apart = table(spark, halves)  # the end of one text and the start of the next are no block
+    assert {r["labels"] for r in licenses.scan_licenses(apart).collect()} == {""}
+    ids = repeated(spark).withColumn("text", F.when(F.col("text") == "another text", GRANT).otherwise(F.col("text")))
+    same_as_sql(licenses.scan_licenses(ids), licenses.SQL, ids)
+
+
+def test_license_windows_against_brute_force():
+    rng = random.Random(11)
+    words = licenses.VOCABULARY
+    for _ in range(8):
+        join = licenses.Join({w: rng.randrange(100) for w in words})
+        texts = []
+        for _ in range(12):
+            text = []
+            for name in rng.choices(list(licenses.TEMPLATES), k=3):
+                own = licenses.TEMPLATES[name].split()
+                for w in own:
+                    text += [] if rng.random() < 0.04 else [w]
+                    text += [None] * rng.choice([0, 0, 0, 0, 1, 2]) if rng.random() < 0.9 else [rng.choice(words)]
+            texts.append(text)
+        place = np.array([-1 if w is None else words.index(w) for text in texts for w in text])
+        block = np.array([b for b, text in enumerate(texts) for _ in text])
+        want = {}
+        for b, text in enumerate(texts):
+            for t, template in enumerate(licenses.TEMPLATES.values()):
+                own, width = set(template.split()), -(-len(template.split()) * 3 // 2)
+                shared = max(len(own & set(text[i : i + width])) for i in range(len(text)))
+                if 10 * shared >= 9 * len(own):
+                    want[b, t] = shared / len(own)
+        assert {(b, t): share for b, t, share in join.matches(place, block, licenses.STRETCH)} == want and want
+
+
 def test_quality(spark):
     rng = random.Random(3)
     texts = awkward_texts() + [" ".join(rng.choices(["a", "b", "c"], k=rng.randrange(60))) for _ in range(60)]
