@@ -159,15 +159,42 @@ def inflexion_peaks(signal: DataFrame, seq: list[str], threshold: float, value:
     return joined.where((F.col(value) > F.col("_p")) & (F.col(value) > F.col("_n"))).select(*seq, "line", value)
 
 
+def _gathered(maps: DataFrame, seq: str, fan: int | None) -> DataFrame:
+    """Maps of neighbouring slots in one row, in order: seq, group, _maps. ``fan`` slots make a group, or all of the sequence."""
+    group = F.floor(F.col("slot") / fan) if fan else F.lit(0).cast("bigint")
+    return maps.groupBy(seq, group.alias("group")).agg(F.array_sort(F.collect_list(F.struct("slot", "exit"))).alias("_maps"))
+
+
+def _entry_states(maps: DataFrame, seq: str, fan: int, levels: int) -> DataFrame:
+    """State in which the walk enters each slot: seq, slot, entry. ``maps`` has seq, slot, exit (the exit state by entry state).
+
+    Maps compose associatively, so a group of ``fan`` slots has a map of its own; the groups are entered as their own table
+    tells, one level up, and hand their state on within. Above the last level a sequence has one row.
+    """
+    groups = _gathered(maps, seq, fan if levels else None)
+    if levels:
+        whole = F.aggregate("_maps", F.array(*[F.lit(s) for s in range(3)]), lambda states, m: F.transform(states, lambda s: F.get(m["exit"], s)))
+        upper = _entry_states(groups.select(seq, F.col("group").alias("slot"), whole.alias("exit")), seq, fan, levels - 1)
+        groups = groups.join(upper.withColumnRenamed("slot", "group"), [seq, "group"])
+    else:
+        groups = groups.withColumn("entry", F.lit(0))
+    states = F.aggregate("_maps", F.array("entry"), lambda known, m: F.concat(known, F.array(F.get(m["exit"], F.element_at(known, -1)))))
+    slots = F.explode(F.arrays_zip(F.col("_maps.slot").alias("slot"), F.slice(states, 1, F.size("_maps")).alias("entry")))
+    return groups.select(seq, slots.alias("_e")).select(seq, "_e.slot", "_e.entry")
+
+
 def select_lines_by_inflexion(
     signal: DataFrame, seq: str, threshold: float, max_interval: int, value: str = "intensity", slot: int = 1024,
+    fan: int = 64, levels: int = 2,
 ) -> DataFrame:
     """Lines to keep. At a visited peak whose next and second next peak follow within ``max_interval`` each, the lines
     after it up to the second next peak are dropped, and the walk goes on behind that peak.
 
     The walk is a three-state automaton over peaks (0, 1 or 2 peaks still to skip). Each slot of peaks is reduced to
-    the map from entry to exit state, the maps are chained over slots, and the slots are replayed with the right entry:
-    no task sees more than ``slot`` peaks. ``signal`` covers lines 1..L-2; lines before and after are always kept.
+    the map from entry to exit state, the maps are composed in a tree (``fan`` slots, ``fan`` of those, ``levels`` times)
+    and the slots are replayed with the entry that comes down the tree: no task sees more than ``slot`` peaks and no row
+    more than ``fan`` maps, but for the top row with one map per ``slot * fan ** levels`` peaks (4.2 million).
+    ``signal`` covers lines 1..L-2; lines before and after are always kept.
     """
     peaks = inflexion_peaks(signal, [seq], threshold, value).select(seq, "line")
     peaks = with_row_index(peaks, [seq], "line", "k", SLOT_LINES)
@@ -175,7 +202,7 @@ def select_lines_by_inflexion(
     walk = peaks.join(nxt(1), [seq, "k"], "left").join(nxt(2), [seq, "k"], "left")
     gap1, gap2 = F.col("l1") - F.col("line"), F.col("l2") - F.col("l1")
     jump = F.coalesce((gap1 >= 2) & (gap1 <= max_interval) & (gap2 >= 2) & (gap2 <= max_interval), F.lit(False))
-    walk = walk.select(seq, "k", "line", "l2", jump.alias("jump"), F.floor(F.col("k") / slot).alias("slot"))
+    walk = cut_lineage(walk.select(seq, "k", "line", "l2", jump.alias("jump"), F.floor(F.col("k") / slot).alias("slot")))
 
     steps = F.array_sort(F.collect_list(F.struct("k", "jump")))
     start = F.array(*[F.lit(s) for s in range(3)])
@@ -185,16 +212,7 @@ def select_lines_by_inflexion(
     maps = walk.groupBy(seq, "slot").agg(steps.alias("_steps")).select(
         seq, "slot", F.aggregate("_steps", start, advance).alias("exit")
     )
-    chained = maps.groupBy(seq).agg(F.array_sort(F.collect_list(F.struct("slot", "exit"))).alias("_maps"))
-    entry = chained.select(seq, F.explode(F.aggregate(
-        "_maps",
-        F.struct(F.lit(0).alias("state"), F.array().cast("array<struct<slot:bigint,entry:int>>").alias("out")),
-        lambda acc, m: F.struct(
-            F.get(m["exit"], acc["state"]).alias("state"),
-            F.concat(acc["out"], F.array(F.struct(m["slot"].alias("slot"), acc["state"].alias("entry")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )).alias("_e")).select(seq, "_e.slot", "_e.entry")
+    entry = _entry_states(maps, seq, fan, levels)
 
     def replay(pdf):
         pdf = pdf.sort_values("k")
