@@ -430,17 +430,93 @@ def corner_candidates(image: DataFrame, radius: int = 3, top: int | None = None,
     return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
-def match_corners(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Mutual nearest neighbours of corner descriptors: pair, a, b, dist. Inputs: pair, id, desc ARRAY<DOUBLE>.
+PIVOTS = 256
+"""Cells that the descriptors of an image are divided into, at most; the number follows the square root of their count."""
+RINGS = 64
+SLACK = 1e-9
+
+
+def _gap(x: Column, y: Column) -> Column:
+    """Squared distance of two descriptors, summed in the order of their elements."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d)
+
+
+def _pivots(points: DataFrame) -> DataFrame:
+    """Per pair, an array of about ``sqrt(n)`` descriptors (those with the smallest hashes, ``PIVOTS`` at most)."""
+    mixed = points.select("pair", F.xxhash64("id", "desc").alias("_x"), "id", "desc")
+    counts = points.groupBy("pair").agg(F.least(F.ceil(F.sqrt(F.count(F.lit(1)))), F.lit(PIVOTS)).alias("_n"))
+    ranked = mixed.withColumn("_r", F.row_number().over(Window.partitionBy("pair").orderBy("_x", "id"))).where(F.col("_r") <= PIVOTS)
+    kept = ranked.join(counts, "pair").where(F.col("_r") <= F.col("_n"))
+    return kept.groupBy("pair").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "desc"))), lambda p: p["desc"]).alias("_pivots"))
+
+
+def _measured(points: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Distances of each point to the pivots of its pair, and which is the nearest."""
+    met = points.join(pivots, "pair").withColumn("_far", F.transform("_pivots", lambda p: F.sqrt(_gap(F.col("desc"), p))))
+    return met.drop("_pivots").withColumn("cell", (F.array_position("_far", F.array_min("_far")) - 1).cast("int"))
+
+
+def _cells(found: DataFrame) -> DataFrame:
+    """Nearest and farthest point of each cell from its pivot, and the width of its rings: an array per pair, by cell."""
+    away = F.get("_far", F.col("cell"))
+    edges = found.groupBy("pair", "cell").agg(F.min(away).alias("inner"), F.max(away).alias("outer"))
+    width = F.greatest((F.col("outer") - F.col("inner")) / RINGS, F.lit(1e-300))
+    return edges.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("cell", "inner", "outer", width.alias("width")))).alias("_cells"))
 
-    Every corner of one image is compared with every one of the other; ``corner_candidates`` with ``top`` bounds both.
+
+def _ring(away: Column, inner: Column, width: Column) -> Column:
+    return F.least(F.greatest(F.floor((away - inner) / width), F.lit(0)), F.lit(RINGS)).cast("int")
+
+
+def _compared(met: DataFrame) -> DataFrame:
+    return met.select("pair", "a", "b", _gap(F.col("da"), F.col("db")).alias("dist"))
+
+
+def nearest_descriptors(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The nearest right descriptor of each left one: pair, a, b, dist (squared); of equal distances the smallest id.
+
+    Inputs: pair, id, desc ARRAY<DOUBLE>. An exact metric join: right points lie in cells around pivots and in rings of a cell by
+    their distance from its pivot. A left point first meets the ring of its nearest pivot's cell where its own distance
+    falls, and the pivots themselves are right points, which bounds its nearest distance. By the triangle inequality only rings
+    within that bound of its distance from their pivot can hold a nearer point, and only those are met. Points without a
+    descriptor, and pairs with points on one side only, give no row.
     """
-    met = left.select("pair", F.col("id").alias("a"), F.col("desc").alias("da")).join(
-        right.select("pair", F.col("id").alias("b"), F.col("desc").alias("db")), "pair")
-    gap = F.aggregate(F.zip_with("da", "db", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    met = met.select("pair", "a", "b", gap.alias("dist"))
-    from_a = met.groupBy("pair", "a").agg(F.min(F.struct("dist", "b")).alias("m")).select("pair", "a", F.col("m.b").alias("b"), F.col("m.dist").alias("dist"))
-    from_b = met.groupBy("pair", "b").agg(F.min(F.struct("dist", "a")).alias("m")).select("pair", "b", F.col("m.a").alias("a"))
+    left, right = (side.select("pair", "id", "desc").where("desc is not null") for side in (left, right))
+    pivots = cut_lineage(_pivots(right))
+    there = cut_lineage(_measured(right, pivots))
+    cells = _cells(there)
+    there = there.join(cells, "pair").withColumn("_c", F.filter("_cells", lambda c: c["cell"] == F.col("cell"))[0])
+    there = there.select("pair", "cell", _ring(F.get("_far", F.col("cell")), F.col("_c.inner"), F.col("_c.width")).alias("ring"),
+                         F.get("_far", F.col("cell")).alias("away"), F.col("id").alias("b"), F.col("desc").alias("db"))
+    here = _measured(left, pivots).join(cells, "pair").withColumnsRenamed({"id": "a", "desc": "da"})
+    here = cut_lineage(here.withColumn("bound", F.array_min("_far") * (1 + SLACK)))
+
+    def met(probes: DataFrame) -> DataFrame:
+        return _compared(probes.join(there, ["pair", "cell", "ring"]).where(F.abs(F.col("reach") - F.col("away")) <= F.col("bound")))
+
+    own = F.filter("_cells", lambda c: c["cell"] == F.col("cell"))[0]
+    reach = F.get("_far", F.col("cell"))
+    first = here.withColumns({"_c": own, "reach": reach}).withColumn("ring", _ring(F.col("reach"), F.col("_c.inner"), F.col("_c.width")))
+    first = met(first).groupBy("pair", "a").agg((F.sqrt(F.min("dist")) * (1 + SLACK)).alias("_b"))
+    near = here.join(first, ["pair", "a"], "left").withColumn("bound", F.least("bound", "_b") + F.array_max("_far") * SLACK)
+
+    def rings(c: Column) -> Column:
+        at = F.get("_far", c["cell"])
+        low, high = at - F.col("bound"), at + F.col("bound")
+        span = F.sequence(_ring(low, c["inner"], c["width"]), _ring(high, c["inner"], c["width"]))
+        open_ = (low <= c["outer"]) & (high >= c["inner"])
+        return F.when(open_, F.transform(span, lambda r: F.struct(c["cell"].alias("cell"), r.alias("ring"), at.alias("reach"))))
+
+    probes = near.withColumn("_p", F.explode(F.flatten(F.filter(F.transform("_cells", rings), lambda x: x.isNotNull()))))
+    probes = probes.select("pair", "a", "da", "bound", "_p.cell", "_p.ring", "_p.reach")
+    best = met(probes).groupBy("pair", "a").agg(F.min(F.struct("dist", "b")).alias("m"))
+    return best.select("pair", "a", F.col("m.b").alias("b"), F.col("m.dist").alias("dist"))
+
+
+def match_corners(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Mutual nearest neighbours of corner descriptors: pair, a, b, dist. Inputs: pair, id, desc ARRAY<DOUBLE>."""
+    from_a = nearest_descriptors(left, right)
+    from_b = nearest_descriptors(right, left).select("pair", F.col("a").alias("b"), F.col("b").alias("a"))
     return from_a.join(from_b, ["pair", "a", "b"])
 
 
