@@ -115,19 +115,34 @@ def _(spark, sf):
     return out.select("tile_i", "tile_j", "i", "j", *[r6(c, digits=4) for c in "rgb"])
 
 
-@query("O8_inpaint_nearest", sql(f"SELECT i, j, painted, {s6('v', 'v', 4)} FROM res", **_splat_sql(4, 100000),
-       occ="SELECT i, j, v FROM ort WHERE band = 7",
-       ext="SELECT max(h) AS h, max(wd) AS wd FROM pt",
-       cell="SELECT a.i, b.j FROM (SELECT unnest(range((SELECT max(i) FROM occ) + 12)) AS i) a, (SELECT unnest(range((SELECT max(j) FROM occ) + 12)) AS j) b, ext WHERE a.i < h AND b.j < wd",
-       hole="SELECT c.i, c.j, arg_min(o.v, (pow(c.i - o.i, 2) + pow(c.j - o.j, 2)) * 1e8 + o.i * 1e4 + o.j) AS v FROM cell c JOIN occ o ON abs(c.i - o.i) <= 3 AND abs(c.j - o.j) <= 3 WHERE NOT EXISTS (SELECT 1 FROM occ x WHERE x.i = c.i AND x.j = c.j) GROUP BY 1, 2",
-       wide="SELECT DISTINCT c.i, c.j FROM cell c JOIN occ o ON abs(c.i - o.i) <= 6 AND abs(c.j - o.j) <= 6",
-       clo="SELECT h.i, h.j, h.v FROM hole h, ext WHERE (SELECT count(*) FROM wide w WHERE abs(w.i - h.i) <= 7 AND abs(w.j - h.j) <= 7) = (least(h.i + 7, ext.h - 1) - greatest(h.i - 7, 0) + 1) * (least(h.j + 7, ext.wd - 1) - greatest(h.j - 7, 0) + 1)",
-       res="SELECT i, j, false AS painted, v FROM occ UNION ALL SELECT i, j, true, v FROM clo"))
+def _tile_size(size, tile, index):
+    n, per = _split(size, tile)
+    return f"CASE WHEN {index} = {n} - 1 THEN {size} - ({n} - 1) * {per} ELSE {per} END::BIGINT"
+
+
+_SAME = "c.tile_i = o.tile_i AND c.tile_j = o.tile_j"
+
+
+@query("O8_inpaint_nearest", sql(f"SELECT tile_i, tile_j, i, j, band, painted, {s6('v', 'v', 4)} FROM res", **_splat_sql(4, 16),
+       occ="SELECT DISTINCT tile_i, tile_j, i, j FROM sp",
+       til=f"SELECT DISTINCT tile_i, tile_j, {_tile_size('h', 16, 'tile_i')} AS hh, {_tile_size('wd', 16, 'tile_j')} AS ww FROM occ, sz",
+       cell="SELECT *, unnest(range(ww)) AS j FROM (SELECT *, unnest(range(hh)) AS i FROM til)",
+       hole=f"SELECT c.tile_i, c.tile_j, c.hh, c.ww, c.i, c.j, min((pow(c.i - o.i, 2) + pow(c.j - o.j, 2))::BIGINT * 100000000 + o.i * 10000 + o.j) AS m FROM cell c JOIN occ o ON {_SAME} AND abs(c.i - o.i) <= 3 AND abs(c.j - o.j) <= 3 GROUP BY ALL HAVING m >= 100000000",
+       wide=f"SELECT DISTINCT c.tile_i, c.tile_j, c.i, c.j FROM cell c JOIN occ o ON {_SAME} AND abs(c.i - o.i) <= 6 AND abs(c.j - o.j) <= 6",
+       seen=f"SELECT c.tile_i, c.tile_j, c.i, c.j, c.hh, c.ww, c.m, count(*) AS n FROM hole c JOIN wide o ON {_SAME} AND abs(c.i - o.i) <= 7 AND abs(c.j - o.j) <= 7 GROUP BY ALL",
+       clo="SELECT *, (m // 10000) % 10000 AS si, m % 10000 AS sj FROM seen WHERE n = (least(i + 7, hh - 1) - greatest(i - 7, 0) + 1) * (least(j + 7, ww - 1) - greatest(j - 7, 0) + 1)",
+       res=f"SELECT tile_i, tile_j, i, j, band, false AS painted, v FROM ort UNION ALL SELECT c.tile_i, c.tile_j, c.i, c.j, o.band, true, o.v FROM clo c JOIN ort o ON {_SAME} AND o.i = c.si AND o.j = c.sj"))
 def _(spark, sf):
+    """All bands, on tiles small enough that many holes lie at a border."""
     h, w = grid_size(spark, sf, 4)
-    flat = ortho.splat(proj(spark, sf), "dns", 4, 100000, h, w, n_bands=64)
-    out = ortho.inpaint_nearest(flat, "dns", 3, h, w)
-    return out.select("i", "j", "painted", r6(F.col("dns")[7], "v", 4))
+
+    def size(whole, index):
+        n, per = ortho.fixed_split(whole, 16)
+        return F.when(F.col(index) == n - 1, whole - (n - 1) * per).otherwise(per)
+
+    tiles = ortho.splat(proj(spark, sf), "dns", 4, 16, h, w, n_bands=64)
+    out = inp.to_long(ortho.inpaint_nearest(tiles, "dns", 3, size(h, "tile_i"), size(w, "tile_j")), "dns", "v")
+    return out.select("tile_i", "tile_j", "i", "j", "band", "painted", r6("v", digits=4))
 
 
 _L = "SELECT *, sqrt({0}0 * {0}0 + {0}1 * {0}1 + {0}2 * {0}2) AS len FROM {1}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swathline.functions import geo, spectral, vec
@@ -146,38 +146,69 @@ def ortho_rgb(ortho: DataFrame, array: str, bands: tuple[int, int, int] = (43, 2
     return ortho.select("tile_i", "tile_j", "i", "j", *[c.alias(k) for c, k in zip(picked, "rgb")])
 
 
-def _spread(cells: DataFrame, keys: list[str], axis: str, radius: int) -> DataFrame:
-    return cells.withColumn(axis, F.explode(F.sequence(F.col(axis) - radius, F.col(axis) + radius))).select(*keys)
+def _along(keys: list[str], axis: str) -> Window:
+    return Window.partitionBy(*[k for k in keys if k != axis]).orderBy(axis)
 
 
-def inpaint_nearest(ortho: DataFrame, array: str, radius: int, height: int, width: int) -> DataFrame:
-    """Fill empty cells that have a sample within ``radius`` rows and columns with the nearest sample.
+def _widened(cells: DataFrame, keys: list[str], axis: str, by: int, size: Column) -> DataFrame:
+    """Cells within ``by`` of a cell along ``axis``, each once: a cell goes as far as its following neighbour lets it."""
+    here, w = F.col(axis), _along(keys, axis)
+    low = F.least(here, F.greatest(here - by, F.coalesce(F.lag(axis).over(w) + by + 1, here - by), F.lit(0)))
+    high = F.least(here + by, F.coalesce(F.lead(axis).over(w) - 1, here + by), size - 1)
+    return cells.select(*keys, low.alias("_low"), high.alias("_high")).withColumn(axis, F.explode(F.sequence("_low", "_high"))).select(*keys)
+
+
+def _narrowed(cells: DataFrame, keys: list[str], axis: str, by: int, size: Column) -> DataFrame:
+    """Cells whose neighbours up to ``by`` along ``axis`` (clipped to the tile) are all present: the run of cells reaches that far."""
+    here, w = F.col(axis), _along(keys, axis)
+    before, after = F.lag(axis).over(w), F.lead(axis).over(w)
+    ends = cells.select(*keys, F.when(before.isNull() | (before < here - 1), here).alias("_a"), F.when(after.isNull() | (after > here + 1), here).alias("_b"))
+    runs = ends.select(
+        *keys, F.last("_a", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_a"),
+        F.first("_b", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_b"))
+    return runs.where((F.col("_a") <= F.greatest(here - by, F.lit(0))) & (F.col("_b") >= F.least(here + by, size - 1))).select(*keys)
+
+
+def _nearest_cells(full: DataFrame, keys: list[str], radius: int, height: Column, width: Column) -> DataFrame:
+    """Empty cells within ``radius`` rows and columns of a sample, and its row and column: keys, si, sj.
+
+    One axis after the other. In a row each empty cell takes the nearer of the samples at both sides, once. In a column
+    the results of the rows travel to the empty cells up to the next sample, which is nearer to all cells behind it.
+    """
+    j, row, column = F.col("j"), _along(keys, "j"), _along(keys, "i")
+    before, after = F.lag("j").over(row), F.lead("j").over(row)
+    low = F.greatest(j - radius, F.coalesce(F.floor((before + j) / 2) + 1, j - radius), F.lit(0))
+    high = F.least(j + radius, F.coalesce(F.floor((j + after) / 2), j + radius), width - 1)
+    rows = full.select(*keys, j.alias("sj"), low.alias("_low"), high.alias("_high"))
+    rows = rows.withColumn("j", F.explode(F.sequence("_low", "_high"))).select(*keys, "sj")
+    sample = F.when(F.col("sj") == j, F.col("i"))
+    up = F.last(sample, ignorenulls=True).over(column.rowsBetween(Window.unboundedPreceding, -1))
+    down = F.first(sample, ignorenulls=True).over(column.rowsBetween(1, Window.unboundedFollowing))
+    sent = rows.select(
+        *keys, "sj", F.greatest(F.col("i") - radius, F.coalesce(up + 1, F.lit(0)), F.lit(0)).alias("_low"),
+        F.least(F.col("i") + radius, F.coalesce(down - 1, height - 1), height - 1).alias("_high"))
+    sent = sent.withColumn("si", F.col("i")).withColumn("i", F.explode(F.sequence("_low", "_high")))
+    sent = sent.where((F.col("i") != F.col("si")) | (j != F.col("sj")))
+    di, dj = F.col("i") - F.col("si"), j - F.col("sj")
+    best = sent.groupBy(*keys).agg(F.min(F.struct((di * di + dj * dj).alias("d"), "si", "sj")).alias("_s"))
+    return best.select(*keys, "_s.si", "_s.sj")
+
+
+def inpaint_nearest(ortho: DataFrame, array: str, radius: int, height: int | Column, width: int | Column) -> DataFrame:
+    """Fill empty cells that have a sample within ``radius`` rows and columns with the nearest sample of their tile.
 
     Ties go to the lower row, then column. Filled cells outside the closed footprint (footprint widened by 2r, then
-    narrowed by 2r+1; off the tile nothing is narrowed) are left out. Work is done per tile on cell keys alone; only
-    samples on the border of the footprint can be nearest, and spectra are fetched at the end for the filled cells.
+    narrowed by 2r+1; off the tile nothing is narrowed) are left out. ``height`` and ``width`` are those of a tile and may
+    be columns of tile_i and tile_j. Work is done on cell keys alone, along rows and columns of a tile: a sample goes to the empty
+    cells next to it, so full areas cost a row per cell whatever the radius. Spectra are fetched at the end for the filled cells.
     """
     keys = ["tile_i", "tile_j", "i", "j"]
-    inside = (F.col("i") >= 0) & (F.col("i") < height) & (F.col("j") >= 0) & (F.col("j") < width)
-    full = ortho.select(*keys)
-    around = _spread(_spread(full, keys, "i", 1), keys, "j", 1).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    border = full.join(around.where("_n < 9"), keys, "left_semi")
-    offsets = F.sequence(F.lit(-radius), F.lit(radius))
-    near = border.select("tile_i", "tile_j", F.col("i").alias("si"), F.col("j").alias("sj"), F.explode(offsets).alias("di"))
-    near = near.withColumn("dj", F.explode(offsets)).where("di <> 0 or dj <> 0").select(
-        "tile_i", "tile_j", (F.col("si") + F.col("di")).alias("i"), (F.col("sj") + F.col("dj")).alias("j"),
-        F.struct((F.col("di") * F.col("di") + F.col("dj") * F.col("dj")).alias("d"), "si", "sj").alias("_s"),
-    ).where(inside)
-    holes = near.groupBy(*keys).agg(F.min("_s").alias("_s")).join(full, keys, "left_anti")
-    wide = _spread(_spread(full, keys, "i", 2 * radius).distinct(), keys, "j", 2 * radius).distinct().where(inside)
-    shrink = 2 * radius + 1
-    def narrowed(cells: DataFrame, axis: str, size: int) -> DataFrame:
-        """Cells whose whole run of 2*shrink+1 neighbours (clipped to the tile) is present along ``axis``."""
-        counted = _spread(cells, keys, axis, shrink).where(inside).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        expected = F.least(F.col(axis) + shrink, F.lit(size - 1)) - F.greatest(F.col(axis) - shrink, F.lit(0)) + 1
-        return counted.where(F.col("_n") == expected).select(*keys)
-    closed = narrowed(narrowed(wide, "j", width), "i", height)
-    filled = holes.join(closed, keys, "left_semi").select(*keys, F.col("_s.si").alias("si"), F.col("_s.sj").alias("sj"))
+    high, wide = (x if isinstance(x, Column) else F.lit(x) for x in (height, width))
+    full = ortho.select(*keys).distinct()
+    holes = _nearest_cells(full, keys, radius, high, wide)
+    closed = _widened(_widened(full, keys, "i", 2 * radius, high), keys, "j", 2 * radius, wide)
+    closed = _narrowed(_narrowed(closed, keys, "j", 2 * radius + 1, wide), keys, "i", 2 * radius + 1, high)
+    filled = holes.join(closed, keys, "left_semi")
     source = ortho.select("tile_i", "tile_j", F.col("i").alias("si"), F.col("j").alias("sj"), array)
     painted = filled.join(source, ["tile_i", "tile_j", "si", "sj"]).select(*keys, array, F.lit(True).alias("painted"))
     return ortho.select(*keys, array, F.lit(False).alias("painted")).unionByName(painted)
