@@ -316,21 +316,31 @@ def _(spark, sf):
 SEEN_AGAIN = {k: v.replace("<= 3", "<= 1") for k, v in HARRIS.items()}
 
 
-@query("L17_matched_inliers", sql("SELECT img AS pair, line * 32 + sample AS a, (line + 3) * 32 + sample + 2 AS b FROM co WHERE img IN (SELECT img FROM co GROUP BY 1 HAVING count(*) >= 4)", **SEEN_AGAIN))
-def _(spark, sf):
-    """Corners of each file matched with those of the same ground seen three lines and two samples further on, then filtered."""
+def seen_again(spark, sf):
+    """Corners of each file, and those of the same ground seen three lines and two samples further on."""
     px = inp.pixels(spark, sf).select(F.col("file_id").alias("img"), "line", "sample", "spectrum", F.col("dns")[12].alias("value"))
 
     def corners(seen):
         at = op.corner_candidates(seen.select("img", "line", "sample", "value"), radius=1).join(seen, ["img", "line", "sample"])
         return at.select(F.col("img").alias("pair"), (F.col("line") * 32 + F.col("sample")).alias("id"), F.col("spectrum").alias("desc"))
 
-    moved = px.withColumns({"line": F.col("line") + 3, "sample": F.col("sample") + 2})
-    m = op.match_corners(corners(px), corners(moved))
+    return corners(px), corners(px.withColumns({"line": F.col("line") + 3, "sample": F.col("sample") + 2}))
+
+
+@query("L17_matched_inliers", sql("SELECT img AS pair, line * 32 + sample AS a, (line + 3) * 32 + sample + 2 AS b FROM co WHERE img IN (SELECT img FROM co GROUP BY 1 HAVING count(*) >= 4)", **SEEN_AGAIN))
+def _(spark, sf):
+    """Mutual nearest corners, then those that agree with a map."""
+    m = op.match_corners(*seen_again(spark, sf))
     at = [(F.col(c) % 32).alias(f"x{k}") for c, k in (("a", 1), ("b", 2))] + [F.floor(F.col(c) / 32).alias(f"y{k}") for c, k in (("a", 1), ("b", 2))]
     return op.filter_inliers(m.select("pair", "a", "b", *at), threshold=0.5).select("pair", "a", "b")
 
 
+@query("L17_assigned_corners", sql("SELECT img AS pair, line * 32 + sample AS a, (line + 3) * 32 + sample + 2 AS b, 0.0::DOUBLE AS dist FROM co", **SEEN_AGAIN))
+def _(spark, sf):
+    """One-to-one matches among all pairs of corners of a file: the same ground costs nothing, so the best total is known."""
+    return op.assign_corners(*seen_again(spark, sf), reach=100.0, step=1e-4).select("pair", "a", "b", "dist")
+
+
 @query("L18_timed_observations", sql(f"SELECT seq % 3 AS trajectory, seq, obs_id, lm_id, {s6('t', 't', 3)} FROM tm", tm=TIMED))
 def _(spark, sf):
     obs = inp.landmark_obs(spark, sf)

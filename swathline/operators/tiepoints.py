@@ -472,34 +472,25 @@ def _compared(met: DataFrame) -> DataFrame:
     return met.select("pair", "a", "b", _gap(F.col("da"), F.col("db")).alias("dist"))
 
 
-def nearest_descriptors(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The nearest right descriptor of each left one: pair, a, b, dist (squared); of equal distances the smallest id.
-
-    Inputs: pair, id, desc ARRAY<DOUBLE>. An exact metric join: right points lie in cells around pivots and in rings of a cell by
-    their distance from its pivot. A left point first meets the ring of its nearest pivot's cell where its own distance
-    falls, and the pivots themselves are right points, which bounds its nearest distance. By the triangle inequality only rings
-    within that bound of its distance from their pivot can hold a nearer point, and only those are met. Points without a
-    descriptor, and pairs with points on one side only, give no row.
-    """
+def _prepared(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Left points with their distances to the pivots and the cells of their pair; right points by cell and ring."""
     left, right = (side.select("pair", "id", "desc").where("desc is not null") for side in (left, right))
     pivots = cut_lineage(_pivots(right))
     there = cut_lineage(_measured(right, pivots))
     cells = _cells(there)
+    away = F.get("_far", F.col("cell"))
     there = there.join(cells, "pair").withColumn("_c", F.filter("_cells", lambda c: c["cell"] == F.col("cell"))[0])
-    there = there.select("pair", "cell", _ring(F.get("_far", F.col("cell")), F.col("_c.inner"), F.col("_c.width")).alias("ring"),
-                         F.get("_far", F.col("cell")).alias("away"), F.col("id").alias("b"), F.col("desc").alias("db"))
+    there = there.select("pair", "cell", _ring(away, F.col("_c.inner"), F.col("_c.width")).alias("ring"), away.alias("away"), F.col("id").alias("b"), F.col("desc").alias("db"))
     here = _measured(left, pivots).join(cells, "pair").withColumnsRenamed({"id": "a", "desc": "da"})
-    here = cut_lineage(here.withColumn("bound", F.array_min("_far") * (1 + SLACK)))
+    return cut_lineage(here), there
 
-    def met(probes: DataFrame) -> DataFrame:
-        return _compared(probes.join(there, ["pair", "cell", "ring"]).where(F.abs(F.col("reach") - F.col("away")) <= F.col("bound")))
 
-    own = F.filter("_cells", lambda c: c["cell"] == F.col("cell"))[0]
-    reach = F.get("_far", F.col("cell"))
-    first = here.withColumns({"_c": own, "reach": reach}).withColumn("ring", _ring(F.col("reach"), F.col("_c.inner"), F.col("_c.width")))
-    first = met(first).groupBy("pair", "a").agg((F.sqrt(F.min("dist")) * (1 + SLACK)).alias("_b"))
-    near = here.join(first, ["pair", "a"], "left").withColumn("bound", F.least("bound", "_b") + F.array_max("_far") * SLACK)
+def _met(probes: DataFrame, there: DataFrame) -> DataFrame:
+    return _compared(probes.join(there, ["pair", "cell", "ring"]).where(F.abs(F.col("reach") - F.col("away")) <= F.col("bound")))
 
+
+def _probes(here: DataFrame) -> DataFrame:
+    """All rings that hold points within ``bound`` of a left point, by the triangle inequality."""
     def rings(c: Column) -> Column:
         at = F.get("_far", c["cell"])
         low, high = at - F.col("bound"), at + F.col("bound")
@@ -507,12 +498,68 @@ def nearest_descriptors(left: DataFrame, right: DataFrame) -> DataFrame:
         open_ = (low <= c["outer"]) & (high >= c["inner"])
         return F.when(open_, F.transform(span, lambda r: F.struct(c["cell"].alias("cell"), r.alias("ring"), at.alias("reach"))))
 
-    probes = near.withColumn("_p", F.explode(F.flatten(F.filter(F.transform("_cells", rings), lambda x: x.isNotNull()))))
-    probes = probes.select("pair", "a", "da", "bound", "_p.cell", "_p.ring", "_p.reach")
-    best = met(probes).groupBy("pair", "a").agg(F.min(F.struct("dist", "b")).alias("m"))
+    probes = here.withColumn("_p", F.explode(F.flatten(F.filter(F.transform("_cells", rings), lambda x: x.isNotNull()))))
+    return probes.select("pair", "a", "da", "bound", "_p.cell", "_p.ring", "_p.reach")
+
+
+def nearest_descriptors(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The nearest right descriptor of each left one: pair, a, b, dist (squared); of equal distances the smallest id.
+
+    Inputs: pair, id, desc ARRAY<DOUBLE>. An exact metric join: right points lie in cells around pivots and in rings of a cell by
+    their distance from its pivot. A left point first meets the ring of its nearest pivot's cell where its own distance
+    falls, and the pivots themselves are right points, which bounds its nearest distance. By the triangle inequality only rings
+    within that bound of its distance from their pivot can hold a nearer point, and only those are met. Points without a
+    descriptor, and pairs with points on one side only, give no row.
+    """
+    here, there = _prepared(left, right)
+    here = here.withColumn("bound", F.array_min("_far") * (1 + SLACK))
+    own = F.filter("_cells", lambda c: c["cell"] == F.col("cell"))[0]
+    first = here.withColumns({"_c": own, "reach": F.get("_far", F.col("cell"))}).withColumn("ring", _ring(F.col("reach"), F.col("_c.inner"), F.col("_c.width")))
+    first = _met(first, there).groupBy("pair", "a").agg((F.sqrt(F.min("dist")) * (1 + SLACK)).alias("_b"))
+    near = here.join(first, ["pair", "a"], "left").withColumn("bound", F.least("bound", "_b") + F.array_max("_far") * SLACK)
+    best = _met(_probes(near), there).groupBy("pair", "a").agg(F.min(F.struct("dist", "b")).alias("m"))
     return best.select("pair", "a", F.col("m.b").alias("b"), F.col("m.dist").alias("dist"))
 
 
+def descriptors_within(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
+    """All pairs of descriptors with a squared distance of at most ``reach``: pair, a, b, dist. Exact, through the same cells and rings."""
+    here, there = _prepared(left, right)
+    here = here.withColumn("bound", F.lit(math.sqrt(reach)) * (1 + SLACK) + F.array_max("_far") * SLACK)
+    return _met(_probes(here), there).where(F.col("dist") <= reach)
+
+
+def assign_corners(left: DataFrame, right: DataFrame, reach: float, step: float | None = None) -> DataFrame:
+    """One-to-one matches of the lowest total cost: pair, a, b, dist. A match costs its squared distance, a left corner without one ``reach``.
+
+    An auction: each left corner without a match bids for the right corner that gains it most at the present price, raising that
+    by what the second best would lose it and by ``step`` (a thousandth of ``reach`` by default); the highest bid takes the corner,
+    and who had it bids again. Prices start at nothing, so the total is at most ``step`` per matched corner above the
+    lowest. All corners of all pairs bid in the same round, a join and two aggregations over the candidate pairs of those
+    still without a match; rounds end when nobody gains by a bid. Ties go to the smaller id.
+    """
+    step = reach / 1000 if step is None else step
+    if step <= 0 or reach <= 0:
+        raise ValueError("reach and step have to be positive")
+    edges = cut_lineage(descriptors_within(left, right, reach).groupBy("pair", "a", "b").agg(F.min("dist").alias("dist")))
+    kinds = {n: t for n, t in edges.dtypes}
+    state = edges.sparkSession.createDataFrame([], f"pair {kinds['pair']}, b {kinds['b']}, price double, owner {kinds['a']}, moved boolean")
+    order = Window.partitionBy("pair", "a").orderBy(F.col("net").desc(), "b")
+    while True:
+        taken = state.select("pair", F.col("owner").alias("a"))
+        open_ = edges.join(taken, ["pair", "a"], "left_anti").join(state.select("pair", "b", "price"), ["pair", "b"], "left")
+        open_ = open_.withColumn("price", F.coalesce("price", F.lit(0.0))).withColumn("net", reach - F.col("dist") - F.col("price"))
+        two = open_.where("net > 0").withColumn("_r", F.row_number().over(order)).where("_r <= 2")
+        bids = two.groupBy("pair", "a").agg(
+            F.max(F.when(F.col("_r") == 1, F.struct("b", "price", "net"))).alias("m"), F.coalesce(F.max(F.when(F.col("_r") == 2, F.col("net"))), F.lit(0.0)).alias("second"))
+        bids = bids.select("pair", "a", "m.b", (F.col("m.price") + F.col("m.net") - F.col("second") + step).alias("bid"))
+        won = bids.groupBy("pair", "b").agg(F.max("bid").alias("bid"), F.min_by("a", F.struct(-F.col("bid"), "a")).alias("by"))
+        after = state.join(won, ["pair", "b"], "full").select(
+            "pair", "b", F.coalesce("bid", "price").alias("price"), F.coalesce("by", "owner").alias("owner"), F.col("by").isNotNull().alias("moved"))
+        state = cut_lineage(after)
+        if state.where("moved").isEmpty():
+            return state.select("pair", F.col("owner").alias("a"), "b").join(edges, ["pair", "a", "b"])
+
+
 def match_corners(left: DataFrame, right: DataFrame) -> DataFrame:
     """Mutual nearest neighbours of corner descriptors: pair, a, b, dist. Inputs: pair, id, desc ARRAY<DOUBLE>."""
     from_a = nearest_descriptors(left, right)

@@ -68,3 +68,44 @@ def test_sides_without_points(spark):
     assert tiepoints.match_corners(some, gone).count() == 0
     same = tiepoints.match_corners(some, some.withColumn("id", F.col("id") + 7)).collect()
     assert {(r.a, r.b, r.dist) for r in same} == {(k, k + 7, 0.0) for k in range(3)}
+
+
+def lowest_cost(gaps, reach):
+    """By trying every right corner for the first left one, and so on."""
+    def rest(a, free):
+        if a == len(gaps):
+            return 0.0
+        best = reach + rest(a + 1, free)
+        for b in free:
+            if gaps[a, b] <= reach:
+                best = min(best, gaps[a, b] + rest(a + 1, free - {b}))
+        return best
+
+    return rest(0, frozenset(range(gaps.shape[1])))
+
+
+def test_assignment_costs_what_the_best_one_does(spark):
+    rng = np.random.default_rng(6)
+    reach, step = 3.0, 0.01
+    cases = {p: (rng.normal(0, 1, (n, 2)), rng.normal(0, 1, (m, 2))) for p, (n, m) in enumerate([(6, 6), (6, 3), (2, 6), (5, 5)])}
+    cases[9] = (np.array([[0.0], [0.1]]), np.array([[0.05], [1.0]]))  # both want the same one
+    left = points(spark, 0, cases[0][0])
+    right = points(spark, 0, cases[0][1])
+    for p in list(cases)[1:]:
+        left, right = left.unionByName(points(spark, p, cases[p][0])), right.unionByName(points(spark, p, cases[p][1]))
+    got = tiepoints.assign_corners(left, right, reach, step).collect()
+    for p, (x, y) in cases.items():
+        mine = [r for r in got if r.pair == p]
+        assert len({r.a for r in mine}) == len({r.b for r in mine}) == len(mine)
+        gaps = nearest(x, y)
+        assert all(r.dist == gaps[r.a, r.b] for r in mine)
+        cost = sum(r.dist for r in mine) + reach * (len(x) - len(mine))
+        assert cost <= lowest_cost(gaps, reach) + step * len(x) + 1e-9
+    assert {(r.a, r.b) for r in got if r.pair == 9} == {(0, 0), (1, 1)}
+
+
+def test_within_equals_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    x, y = np.round(clustered(rng, 200, 3)), np.round(clustered(rng, 250, 3))
+    got = {(r.a, r.b) for r in tiepoints.descriptors_within(points(spark, 1, x), points(spark, 1, y), 5.0).collect()}
+    assert got == set(zip(*map(np.ndarray.tolist, np.nonzero(nearest(x, y) <= 5.0)), strict=True)) and got
