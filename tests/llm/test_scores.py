@@ -130,6 +130,31 @@ def test_cascade_stops_early(monkeypatch):
     assert kept.tolist() == [False, True, False, False] and seen == [2]
 
 
+def test_measures_are_handed_on(monkeypatch):
+    import pyarrow as pa
+
+    calls = []
+    plain = quality.split_words
+    monkeypatch.setattr(quality, "split_words", lambda t: (calls.append(len(t)), plain(t))[1])
+    texts = quality.Texts(pa.array([t or "" for t in awkward_texts()]))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_upper", "n_letters"]
+    rows = np.flatnonzero(texts.n_words % 2 == 1)
+    early = texts.take(rows)  # words alone are known
+    values = {n: getattr(texts, n)[rows].tolist() for n in names}
+    late = texts.take(rows)
+    quality.run_cascade(texts, list(quality.RULES))
+    quality.run_cascade(late, list(quality.RULES)[::-1])
+    for part in (early, late, early.take(np.arange(0)), late.take(np.arange(len(rows)))):
+        if len(part):
+            assert {n: getattr(part, n).tolist() for n in names} == values
+    assert len(calls) == 1
+
+
+def test_sample_with_one_id(spark):
+    docs = table(spark, ["few words"] * 40, [None] * 40)
+    assert sorted(quality.rule_order(docs, 5)) == sorted(quality.RULES)
+
+
 BAD = ["grobnik", "vermilt", "stonkart"]
 
 
