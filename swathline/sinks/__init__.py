@@ -22,16 +22,30 @@ def cube_header_rows(px: DataFrame, keys: list[str], array: str, data_type: int
     )
 
 
-def cube_lines(px: DataFrame, array: str, folder: Column, data_type: int = 12, side: Column | None = None) -> DataFrame:
+def width_of_cut_line(px: DataFrame, seq: list[str]) -> Column:
+    """Samples of a whole line, for the first pixel of a sequence's last line if that has fewer: a recording may end within a
+    line. NULL elsewhere, so that fewer samples are an error there.
+
+    Read from one look at ``line`` and ``sample``; the sequences that end so are a scalar map.
+    """
+    key = lambda line: F.struct(*seq, F.col(line).alias("line"))
+    ends = px.groupBy(*seq).agg(F.max(F.struct("line", "sample")).alias("_end"), (F.max("sample") + 1).cast("int").alias("_width"))
+    cut = ends.where(F.col("_end.sample") + 1 < F.col("_width"))
+    widths = cut.agg(F.map_from_entries(F.collect_list(F.struct(key("_end.line"), "_width")))).scalar()
+    return F.when(F.col("sample") == 0, F.try_element_at(widths, key("line")))
+
+
+def cube_lines(px: DataFrame, array: str, folder: Column, data_type: int = 12, side: Column | None = None, width: Column | None = None) -> DataFrame:
     """Rows that the cube writer takes: the pixels of each line of each folder, in order, as bytes.
 
     ``px`` has ``line, sample`` and the array of bands. All lines of a folder go to one task, where one line is held at a time.
     A missing or repeated pixel, spectra of unequal length and values that the type can't hold are errors. ``side`` is a
-    map of texts to add to files beside the cube; that of a line's first pixel counts.
+    map of texts to add to files beside the cube, ``width`` the samples of a whole line where one was cut off
+    (``width_of_cut_line``); those of a line's first pixel count.
     """
     kind = TYPES[data_type]
     none = F.lit(None).cast("map<string,string>")
-    rows = px.select(folder.alias("folder"), "line", "sample", F.col(array).alias("values"), (none if side is None else side).alias("side"))
+    rows = px.select(folder.alias("folder"), "line", "sample", F.col(array).alias("values"), (none if side is None else side).alias("side"), (F.lit(None) if width is None else width).cast("int").alias("width"))
     dealt = rows.repartition("folder").sortWithinPartitions("folder", "line", "sample")
     return dealt.mapInArrow(codec_lines(kind), datasource.LINE_SCHEMA)
 
@@ -58,10 +72,10 @@ def codec_lines(kind: str):
                 if data.min() < bounds.min or data.max() > bounds.max:
                     raise ValueError(f"{place}values from {data.min()} to {data.max()} don't fit type {kind}")
             peak = float(max(0, data.max()))
-            return [key[0], int(key[1]), len(sample), bands, np.ascontiguousarray(data.T.astype(kind)).tobytes(), peak, table.column("side")[0].as_py()]
+            return [key[0], int(key[1]), len(sample), bands, np.ascontiguousarray(data.T.astype(kind)).tobytes(), peak, table.column("side")[0].as_py(), table.column("width")[0].as_py()]
 
         def out(rows):
-            schema = pa.schema([("folder", pa.string()), ("line", pa.int64()), ("samples", pa.int32()), ("bands", pa.int32()), ("data", pa.binary()), ("peak", pa.float64()), ("side", pa.map_(pa.string(), pa.string()))])
+            schema = pa.schema([("folder", pa.string()), ("line", pa.int64()), ("samples", pa.int32()), ("bands", pa.int32()), ("data", pa.binary()), ("peak", pa.float64()), ("side", pa.map_(pa.string(), pa.string())), ("width", pa.int32())])
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
         for batch in batches:
@@ -92,10 +106,11 @@ def save_lines(lines: DataFrame, folder: str, data_type: int = 12, header: dict[
 def write_cube(px: DataFrame, array: str, folder: str, block: int = 512, data_type: int = 12, extra: dict[str, str] | None = None) -> DataFrame:
     """Writes BIL files with headers, one per block of lines (seq-block/frame.bil); path, lines, ceiling of the cubes there.
 
-    ``extra`` adds header values, or replaces them. A cube that is there already is an error.
+    ``extra`` adds header values, or replaces them. A cube that is there already is an error. The last line of a sequence may be
+    cut off: it is filled up with zeros, and the header tells how many samples it has.
     """
     name = F.format_string("%04d-%d", F.col("seq").cast("long"), F.floor(F.col("line") / block))
-    save_lines(cube_lines(px, array, name, data_type), folder, data_type, extra)
+    save_lines(cube_lines(px, array, name, data_type, width=width_of_cut_line(px, ["seq"])), folder, data_type, extra)
     return text.typed_headers(read_headers(px.sparkSession, folder)).select("path", "lines", "ceiling")
 
 
@@ -108,7 +123,7 @@ def convert_frames(frames: DataFrame, folder: str, samples: int, bands: int, fli
     """Raw frames (``path, line, data`` as their source reads them) to cubes of ``height`` lines in LLLL_BBBB folders.
 
     ``flight`` is the number that a folder's name begins with. ``times`` (``path, line, t``) become a timing file beside each cube,
-    one line each. Only bytes are copied.
+    one line each. Only bytes are copied; a line that was cut off has fewer.
     """
     rows = frames.select("path", "line", "data", flight.alias("flight"))
     if times is not None:
@@ -117,7 +132,10 @@ def convert_frames(frames: DataFrame, folder: str, samples: int, bands: int, fli
     else:
         side = F.lit(None).cast("map<string,string>")
     name = F.format_string("%04d_%04d", F.col("flight").cast("long"), F.floor(F.col("line") / height) + 1)
-    lines = rows.select(name.alias("folder"), "line", F.lit(samples).alias("samples"), F.lit(bands).alias("bands"), "data", F.lit(65535.0).alias("peak"), side.alias("side"))
+    here = F.expr(f"cast(octet_length(data) div {2 * bands} as int)")
+    cut = here < samples
+    sizes = [F.when(cut, here).otherwise(samples).alias("samples"), F.lit(bands).alias("bands")]
+    lines = rows.select(name.alias("folder"), "line", *sizes, "data", F.lit(65535.0).alias("peak"), side.alias("side"), F.when(cut, samples).alias("width"))
     low, high = WAVELENGTHS
     waves = "{" + ",".join(f"{low + (high - low) * k / max(bands - 1, 1):g}" for k in range(bands)) + "}"
     save_lines(lines.repartition("folder").sortWithinPartitions("folder", "line"), folder, 12, {**FRAME_HEADER, "wavelength": waves})

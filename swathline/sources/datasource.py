@@ -28,7 +28,7 @@ CUBE = "swathline_cube"
 FRAME = "swathline_frame"
 PIXEL_SCHEMA = "path string, file_no bigint, line bigint, sample bigint, spectrum array<double>"
 FRAME_SCHEMA = "path string, line bigint, header binary, data binary"
-LINE_SCHEMA = "folder string, line bigint, samples int, bands int, data binary, peak double, side map<string,string>"
+LINE_SCHEMA = "folder string, line bigint, samples int, bands int, data binary, peak double, side map<string,string>, width int"
 ATTEMPTS = "_attempts"
 FAR = 1 << 62
 
@@ -136,7 +136,10 @@ class FrameReader(_RangeReader):
     def partitions(self) -> list[Block]:
         size = self.samples * 2 * (self.bands + 1)
         files = sorted(codec.files_below(self.folder, self.ending))
-        return [b for k, path in enumerate(files) for b in self.blocks(path, k, 0, codec.size_of(path) // size, {})]
+        with ThreadPoolExecutor(16) as pool:
+            lines = [n // size for n in pool.map(codec.size_of, files)]
+            cut = list(pool.map(codec.last_samples, files))
+        return [b for k, path in enumerate(files) for b in self.blocks(path, k, 0, lines[k], {} if cut[k] is None else {"lines": lines[k], "last_samples": cut[k]})]
 
     def read(self, partition: Block):
         import pyarrow as pa
@@ -148,6 +151,8 @@ class FrameReader(_RangeReader):
                 raw = codec.take(f, line * size, wanted)
                 raw = raw if len(raw) == wanted else bytes(wanted)  # a short read gives a line of zeros
                 data = None if self.headers_only else raw[head:]
+                if data and line + 1 == partition.shape.get("lines"):  # a line that was cut off: of each band the pixels it has
+                    data = b"".join(data[at : at + 2 * partition.shape["last_samples"]] for at in range(0, len(data), head))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([partition.path]), pa.array([line], pa.int64()), pa.array([raw[:head]], pa.binary()), pa.array([data], pa.binary())], ["path", "line", "header", "data"]
                 )
@@ -213,7 +218,8 @@ class CubeSource(DataSource):
 
 
 class FrameSource(DataSource):
-    """Options: path (a file or a folder), ending (of its frames' names, .bin), samples, bands, block, headersOnly."""
+    """Options: path (a file or a folder), ending (of its frames' names, .bin), samples, bands, block, headersOnly. A last line that
+    was cut off, as a header beside the frame tells, has fewer bytes of data."""
 
     @classmethod
     def name(cls) -> str:

@@ -165,3 +165,52 @@ def test_tiles_have_world_files_and_holes(spark, tmp_path):
     assert [float(x) for x in (tmp_path / "tile_0_1/frame.wld").read_text().split("\n")] == [0.25, 0.0, 0.0, -0.25, 16.0, 41.0]
     data = np.frombuffer((tmp_path / "tile_0_1/frame.bil").read_bytes(), "<f4").reshape(2, 2, 3)
     assert data[0, 0, 1] == 1.5 and data[1, 1, 0] == 4.0 and np.isnan(data[0, 0, 0]) and np.isnan(data).sum() == 8
+
+
+def cut_off(spark, samples=4, bands=5, lines=21):
+    """21 lines in cubes of ten: the last line has its first two samples only, and a cube of its own."""
+    return cube(spark, lines, samples, bands).where(f"line < {lines - 1} or sample < 2")
+
+
+def test_a_recording_may_end_within_a_line(spark, tmp_path):
+    px = cut_off(spark)
+    written = {r.path.split("/")[-2]: (r.lines, r.ceiling) for r in sinks.write_cube(px, "dns", str(tmp_path), block=10).collect()}
+    assert written == {"0000-0": (10, 934), "0000-1": (10, 1934), "0000-2": (1, 2014)}
+    assert (tmp_path / "0000-2/frame.bil").stat().st_size == 4 * 5 * 2  # a whole line of bytes
+    want = {(r.line, r.sample): [float(v) for v in r.dns] for r in px.collect()}
+    assert {(r.line, r.sample): r.spectrum for r in cubes.read_sequence(spark, str(tmp_path), block=4).collect()} == want and len(want) == 82
+    part = cubes.read_sequence(spark, str(tmp_path), bands=[3, 0]).where("line >= 19").collect()
+    assert {(r.line, r.sample): r.spectrum for r in part} == {k: [v[3], v[0]] for k, v in want.items() if k[0] >= 19}
+
+
+@pytest.mark.parametrize("missing", ["line = 9 and sample = 3", "line = 19 and sample >= 2", "line = 20 and sample = 0"])
+def test_no_other_line_may_be_cut_off(spark, tmp_path, missing):
+    with pytest.raises(Exception, match="missing or repeated"):
+        sinks.write_cube(cube(spark, 21).where(f"not ({missing})"), "dns", str(tmp_path), block=10)
+    assert not all_files(tmp_path)
+
+
+@pytest.mark.parametrize("interleave", ["bil", "bip", "bsq"])
+def test_cut_off_lines_of_all_interleaves(tmp_path, interleave):
+    values = np.arange(3 * 4 * 2, dtype="<u2").reshape(3, 4, 2)  # lines, samples, bands
+    order = {"bil": (0, 2, 1), "bip": (0, 1, 2), "bsq": (2, 0, 1)}[interleave]
+    (tmp_path / "x.bil").write_bytes(np.ascontiguousarray(values.transpose(order)).tobytes())
+    (tmp_path / "x.bil.hdr").write_text(f"ENVI\nlines = 3\nsamples = 4\nbands = 2\ndata type = 12\ninterleave = {interleave}\n{codec.LAST_SAMPLES} = 3\n")
+    path = str(tmp_path / "x.bil")
+    for bands in (None, [1]):
+        got = dict(codec.read_lines(path, codec.cube_header(path), 0, 3, bands))
+        for line, n in ((0, 4), (1, 4), (2, 3)):
+            assert np.array_equal(got[line], values[line, :n] if bands is None else values[line, :n, bands].T.reshape(n, 1))
+
+
+def test_frames_that_end_within_a_line_are_converted(spark, tmp_path):
+    px = cut_off(spark, samples=6, bands=3, lines=8).withColumn("dns", F.concat(F.array(F.lit(7).cast("bigint")), "dns"))
+    rows = px.withColumn("width", sinks.width_of_cut_line(px, []))
+    sinks.save_lines(sinks.cube_lines(rows, "dns", F.lit("raw"), 12, width=F.col("width")), str(tmp_path / "in"))
+    datasource.register(spark)
+    frames = spark.read.format(datasource.FRAME).options(samples=6, bands=3, block=2, ending=".bil").load(str(tmp_path / "in"))
+    sizes = {r.line: (len(r.header), len(r.data)) for r in frames.collect()}
+    assert sizes == {n: (12, 36 if n < 7 else 12) for n in range(8)}
+    sinks.convert_frames(frames, str(tmp_path / "out"), 6, 3, F.lit(1), height=3)
+    back = spark.read.format(datasource.CUBE).load(str(tmp_path / "out")).collect()
+    assert {(r.line, r.sample): r.spectrum for r in back} == {(r.line, r.sample): [float(v) for v in r.dns[1:]] for r in px.collect()} and len(back) == 7 * 6 + 2
