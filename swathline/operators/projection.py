@@ -335,23 +335,32 @@ def tiles_crossed(ray_table: DataFrame, dtm: DataFrame, tile: int = TILE, fan: i
     return at.drop("_a", "_b")
 
 
+RAYS = 1 << 14
+
+
 def project_to_terrain(
     ray_table: DataFrame, dtm: DataFrame, keys: list[str], line: str = "line", tile: int = TILE, block: int = 256,
 ) -> DataFrame:
     """First hit of each ray with the terrain: all rays, plus pi, pj, z (NULL without a hit).
 
-    Rays and terrain are in terrain coordinates (x = row, y = column, z). A ray is sent to the tiles of ``tiles_crossed``; the
-    group key also holds a block of lines, so a tile below many rays is worked on by many tasks. Only tiles that a block
-    needs are copied to it. The nearest hit over all tiles of a ray wins. ``keys`` identify a ray. A cell with a corner that
-    has no valid height has no surface. A level or rising ray from below the surface sees nothing.
+    Rays and terrain are in terrain coordinates (x = row, y = column, z). The rays are spread over all tasks, and each is sent to
+    the tiles of ``tiles_crossed``. The blocks of lines over a tile are dealt to groups of about ``RAYS`` rays, so a tile below
+    many rays is worked on by many tasks, and a group's fixed costs and copy of the tile are shared by many rays. The nearest
+    hit over all tiles of a ray wins. ``keys`` identify a ray. A cell with a corner that has no valid height has no surface.
+    A level or rising ray from below the surface sees nothing.
     """
     solid = dtm.withColumn("z", F.when(spectral.valid_height(F.col("z")), F.col("z")))
-    parts = tiles_crossed(ray_table, solid, tile)
+    spread_rays = spread(ray_table.select(*keys, *([] if line in keys else [line]), *[f"{n}_{k}" for n in "od" for k in range(3)]), *keys)
+    parts = cut_lineage(tiles_crossed(spread_rays, solid, tile))
     group = ["ti", "tj", "_b"]
-    parts = parts.withColumn("_b", F.floor(F.col(line) / block)).select(
+    per_tile = parts.groupBy("ti", "tj").agg(F.ceil(F.count(F.lit(1)) / RAYS).alias("_n"))
+    dealt = per_tile.select(F.col("ti").alias("gi"), F.col("tj").alias("gj"), "_n")
+    parts = parts.join(dealt, (F.col("ti") == F.col("gi")) & (F.col("tj") == F.col("gj")))
+    parts = parts.withColumn("_b", F.pmod(F.xxhash64(F.floor(F.col(line) / block)), F.col("_n"))).select(
         *group, *keys, *[f"{n}_{k}" for n in "od" for k in range(3)], "_s0", "_s1"
     )
-    needed = parts.select(F.col("ti").alias("gi"), F.col("tj").alias("gj"), F.col("_b").alias("gb")).distinct()
+    zero = F.lit(0).cast("bigint")
+    needed = dealt.select("gi", "gj", F.explode(F.sequence(zero, F.col("_n") - 1)).alias("gb"))
     ground = terrain_tiles(solid, tile).join(needed, (F.col("ti") == F.col("gi")) & (F.col("tj") == F.col("gj")))
     ground = ground.select("gi", "gj", "gb", "i", "j", "z")
     names = [*keys, "s", "pi", "pj", "z"]

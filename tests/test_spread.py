@@ -1,8 +1,9 @@
 """Work that is dealt to more tasks, or to fuller groups, as inputs grow."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from swathline.operators import radiometry
+from swathline.operators import projection, radiometry
 from swathline.plans import inputs
 
 
@@ -19,3 +20,24 @@ def test_lines_of_a_big_cube_are_dealt_to_tasks_by_their_number(spark, tmp_path,
     assert mean._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     got = {(r.line, r.band): r["mean"] for r in mean.collect()}
     assert len(got) == 600 * 4 and all(got[n, 0] == sum((5 * n + s) % 50 for s in range(5)) // 5 for n in range(600))
+
+
+def test_rays_are_spread_and_share_groups(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    heights = spark.createDataFrame([(i, j, float(rng.uniform(0, 3))) for i in range(20) for j in range(20)], "i bigint, j bigint, z double")
+    rays = [(n, 0, float(rng.uniform(1, 18)), float(rng.uniform(1, 18)), 9.0, *map(float, rng.normal(size=2) / 3), -1.0) for n in range(600)]
+    table = spark.createDataFrame(rays, "line bigint, sample bigint, o_0 double, o_1 double, o_2 double, d_0 double, d_1 double, d_2 double").coalesce(1)
+    whole, tasks, groups = projection.tiles_crossed, [], []
+
+    def crossed(ray_table, *rest):
+        tasks.append(ray_table.rdd.getNumPartitions())
+        return whole(ray_table, *rest)
+
+    monkeypatch.setattr(projection, "tiles_crossed", crossed)
+    found = []
+    for size in (1 << 14, 40):
+        monkeypatch.setattr(projection, "RAYS", size)
+        hits = projection.project_to_terrain(table, heights, ["line", "sample"], tile=64, block=2)
+        found.append({r.line: (r.pi, r.pj, r.z) for r in hits.collect()})
+    assert tasks == [int(spark.conf.get("spark.sql.shuffle.partitions"))] * 2
+    assert len(found[0]) == 600 and sum(v[0] is not None for v in found[0].values()) > 400 and found[0] == found[1]
