@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from swathline.functions import geo, spectral, vec
 from swathline.operators import projection, trajectory
 from swathline.operators.raster import bilinear_sample
+from swathline.plans.lines import spread
 from swathline.session import cut_lineage
 
 
@@ -206,10 +207,11 @@ def trajectory_hierarchy(rows: DataFrame, block: int, fan: int) -> tuple[DataFra
 def closest_approach_time(obs: DataFrame, poses: DataFrame, n_samples: int, direction, block: int = 64, fan: int = FAN) -> DataFrame:
     """Trajectory row whose ray passes closest to the landmark: obs_id, seq, y, t, dist (first row on a tie).
 
-    Branch and bound down ``trajectory_hierarchy``: an observation begins with its sequence's one top node. At each level a
-    node gives a lower bound of the distance, and its first row an exact one; nodes whose bound doesn't exceed the best exact
-    distance so far go on to their children, and in the end to their rows. ``poses``: seq, t, r_*, p_*; ``obs``: seq,
-    obs_id, x, y, l_0..2.
+    Branch and bound down ``trajectory_hierarchy``: an observation begins with the children of its sequence's one top node. At
+    each level a node gives a lower bound of the distance, and its first row an exact one; nodes whose bound doesn't exceed the
+    best exact distance so far go on to their children, and in the end to their rows. Children and rows come as one array a
+    node and are worked on inside the observation's row, so only nodes that stay open become rows, and rows of poses never do.
+    Sequences without observations are left out. ``poses``: seq, t, r_*, p_*; ``obs``: seq, obs_id, x, y, l_0..2.
     """
     from swathline.plans.ordered import with_row_index
 
@@ -220,33 +222,58 @@ def closest_approach_time(obs: DataFrame, poses: DataFrame, n_samples: int, dire
     seen = obs.where((hi >= 0) & (lo < n_samples))
     ray = [(1 - w) * s + w * e for s, e in zip(direction(start), direction(end))]
     of_obs = ["seq", "obs_id", "y", *[f"{n}_{k}" for n in "lv" for k in range(3)]]
-    seen = cut_lineage(vec.keep(seen, v=ray).select(*of_obs))
+    seen = cut_lineage(spread(vec.keep(seen, v=ray).select(*of_obs), "seq", "obs_id"))
+    poses = poses.join(cut_lineage(seen.select("seq").distinct()), "seq", "left_semi")
     rows = vec.with_rodrigues(with_row_index(poses, ["seq"], "t", "k"), "m", vec.ref("r"))
     rows = cut_lineage(rows.select("seq", "t", "k", *[f"p_{k}" for k in range(3)], *[f"m_{k}" for k in range(9)]))
     nodes, levels = trajectory_hierarchy(rows, block, fan)
 
-    def distance(df: DataFrame, m: str, p: str) -> DataFrame:
-        """Distance of the landmark to the line through p along m*v."""
-        df = vec.keep(df, g=vec.matvec(vec.ref(m, 9), vec.ref("v")), e=vec.sub(vec.ref("l"), vec.ref(p)))
-        df = df.withColumn("_s", vec.dot(vec.ref("g"), vec.ref("e")) / vec.dot(vec.ref("g"), vec.ref("g")))
-        return df.withColumn("dist", vec.norm(vec.sub(vec.ref("e"), vec.scale(vec.ref("g"), F.col("_s")))))
+    def parts(x: Column, name: str, n: int = 3) -> list[Column]:
+        return [x[f"{name}_{k}"] for k in range(n)]
 
-    far = vec.norm(vec.ref("e"))
-    off = F.asin(F.least(F.try_divide(F.col("dist"), far), F.lit(1.0)))
-    slack = F.col("cone") + F.asin(F.least(F.coalesce(F.try_divide(F.col("rad"), far), F.lit(1.0)), F.lit(1.0)))
-    bound = F.when(far <= F.col("rad"), 0.0).otherwise((far - F.col("rad")) * F.sin(F.greatest(off - slack, F.lit(0.0))))
+    def distances(of: str, m: str, p: str) -> Column:
+        """For each pose of an array: itself, the distance of the landmark to the line through p along m*v, and to p. Each step
+        names what the next one uses more than once."""
+        def ray_to(x: Column) -> Column:
+            g, e = vec.matvec(parts(x, m, 9), vec.ref("v")), vec.sub(vec.ref("l"), parts(x, p))
+            return F.struct(x.alias("of"), *[v.alias(f"{n}_{k}") for n, vs in (("g", g), ("e", e)) for k, v in enumerate(vs)])
+
+        def along(x: Column) -> Column:
+            g, e = parts(x, "g"), parts(x, "e")
+            return F.struct(x.alias("at"), (vec.dot(g, e) / vec.dot(g, g)).alias("s"))
+
+        def beside(x: Column) -> Column:
+            g, e = parts(x["at"], "g"), parts(x["at"], "e")
+            return F.struct(x["at"]["of"].alias("of"), vec.norm(vec.sub(e, vec.scale(g, x["s"]))).alias("dist"), vec.norm(e).alias("far"))
+
+        return F.transform(F.transform(F.transform(of, ray_to), along), beside)
+
+    def bounded(x: Column) -> Column:
+        far, rad = x["far"], x["of"]["rad"]
+        off = F.asin(F.least(F.try_divide(x["dist"], far), F.lit(1.0)))
+        slack = x["of"]["cone"] + F.asin(F.least(F.coalesce(F.try_divide(rad, far), F.lit(1.0)), F.lit(1.0)))
+        bound = F.when(far <= rad, 0.0).otherwise((far - rad) * F.sin(F.greatest(off - slack, F.lit(0.0))))
+        return F.struct(x["of"]["node"].alias("node"), x["dist"].alias("dist"), (F.coalesce(bound, F.lit(0.0)) - 1e-9).alias("bound"))
+
+    top = max(levels - 1, 0)
     front = seen.withColumns({"node": F.lit(0).cast("bigint"), "_best": F.lit(None).cast("double")})
-    for level in range(levels, -1, -1):
-        met = distance(front.join(nodes.where(F.col("level") == level).drop("level"), ["seq", "node"]), "h", "c")
-        met = met.select(*of_obs, "node", "_best", "dist", (F.coalesce(bound, F.lit(0.0)) - 1e-9).alias("bound"))
-        best = F.min(F.least("dist", "_best")).over(Window.partitionBy("seq", "obs_id"))
-        met = cut_lineage(met.withColumn("_best", best).where("bound <= _best"))
-        children = F.sequence(F.col("node") * fan, F.col("node") * fan + fan - 1) if level else F.array("node")
-        front = met.select(*of_obs, F.explode(children).alias("node"), "_best")
-    pairs = front.join(rows.withColumn("node", F.floor(F.col("k") / block)), ["seq", "node"])
-    exact = distance(pairs, "m", "p")
-    return exact.groupBy("seq", "obs_id").agg(
-        F.first("y").alias("y"), F.min(F.struct(F.col("dist").alias("d"), F.col("t"))).alias("_m")
+    for level in range(top, -1, -1):
+        child = F.struct(*[c for c in nodes.columns if c not in ("level", "seq")])
+        below = nodes.where(F.col("level") == level).select("seq", F.floor(F.col("node") / fan).alias("node"), child.alias("child"))
+        below = below.groupBy("seq", "node").agg(F.array_sort(F.collect_list("child")).alias("_at"))
+        met = front.join(below, ["seq", "node"]).withColumn("_at", distances("_at", "h", "c")).withColumn("_at", F.transform("_at", bounded))
+        if level == top:
+            met = met.where(F.col("_at")[0]["dist"].isNotNull())  # that of the top node's first row, the first best one
+        met = met.withColumn("_best", F.least("_best", F.array_min(F.transform("_at", lambda x: x["dist"]))))
+        if level < top:  # before, all nodes of an observation are in its one row
+            met = met.withColumn("_best", F.min("_best").over(Window.partitionBy("seq", "obs_id")))
+        met = met.select(*of_obs, "_best", F.explode("_at").alias("_n")).select(*of_obs, "_best", "_n.node", "_n.bound")
+        front = met = cut_lineage(met.where("bound <= _best"))
+    held = rows.groupBy("seq", F.floor(F.col("k") / block).alias("node")).agg(F.collect_list(F.struct("t", *[f"p_{k}" for k in range(3)], *[f"m_{k}" for k in range(9)])).alias("_at"))
+    pairs = front.drop("_best", "bound").join(held, ["seq", "node"]).withColumn("_at", distances("_at", "m", "p"))
+    nearest = F.array_min(F.transform("_at", lambda x: F.struct(x["dist"].alias("d"), x["of"]["t"].alias("t"))))
+    return pairs.select("seq", "obs_id", "y", nearest.alias("_m")).groupBy("seq", "obs_id").agg(
+        F.first("y").alias("y"), F.min("_m").alias("_m")
     ).select("seq", "obs_id", "y", F.col("_m.t").alias("t"), F.col("_m.d").alias("dist"))
 
 

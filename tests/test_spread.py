@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from swathline.operators import projection, radiometry
+from swathline.operators import projection, radiometry, tiepoints
 from swathline.plans import inputs
 
 
@@ -41,3 +41,22 @@ def test_rays_are_spread_and_share_groups(spark, monkeypatch):
         found.append({r.line: (r.pi, r.pj, r.z) for r in hits.collect()})
     assert tasks == [int(spark.conf.get("spark.sql.shuffle.partitions"))] * 2
     assert len(found[0]) == 600 and sum(v[0] is not None for v in found[0].values()) > 400 and found[0] == found[1]
+
+
+def test_sequences_without_observations_are_left_out(spark, monkeypatch):
+    k = F.col("id")
+    names = [*[f"r_{n}" for n in range(3)], *[f"p_{n}" for n in range(3)]]
+    values = [F.sin(k / 30) * 0.05, F.lit(0.01), F.lit(0.0), k * 0.5, F.lit(0.0), F.lit(400.0)]
+    poses = spark.range(4000).select((k % 40).alias("seq"), k.cast("double").alias("t"), *[v.alias(n) for v, n in zip(values, names, strict=True)])
+    obs = spark.createDataFrame([(3, 1, 7.0, 0.0, 900.0, 4.0, 0.0)], "seq bigint, obs_id bigint, x double, y double, l_0 double, l_1 double, l_2 double")
+    written, whole = [], tiepoints.cut_lineage
+
+    def counted(df):
+        out = whole(df)
+        if "k" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(tiepoints, "cut_lineage", counted)
+    out = tiepoints.closest_approach_time(obs, poses, 32, lambda s: [F.lit(0.0), (s - 15.5) / 40, F.lit(-1.0)], block=4, fan=3)
+    assert [r.obs_id for r in out.collect()] == [1] and written == [100]
